@@ -138,3 +138,12 @@ def uniform(ids: np.ndarray, seed: int) -> np.ndarray:
     """A number in (0, 1) that depends on the id and the seed alone."""
     h = mix(mix(ids.astype(np.int64).view(U64) + U64(seed)) ^ U64(BASE))
     return ((h >> U64(11)).astype(np.float64) + 0.5) / 2.0**53
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Least of each ``width`` values in a row, by doubling."""
+    out, have = values, 1
+    while have * 2 <= width:
+        out, have = np.minimum(out[:-have], out[have:]), have * 2
+    rest = width - have
+    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
