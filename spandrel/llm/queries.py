@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm import decontamination, language_id, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, substring_dedup
+from spandrel.llm import decontamination, language_id, lm_scoring, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, substring_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(read(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -57,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.sql(), "op5_substring_dedup": substring_dedup.SQL, "op10_benchmark_decontamination": decontamination.SQL}
+    return {"op1_quality_rules": quality_rules.sql(), "op2_lm_scoring": lm_scoring.SQL, "op5_substring_dedup": substring_dedup.SQL, "op10_benchmark_decontamination": decontamination.SQL}
