@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from spandrel.plans import code_queries, graph_queries, relation_queries, stream_queries, text_queries  # noqa: F401
+from spandrel.plans.registry import QUERIES, SQL, Query
 
-def queries() -> dict:
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql() -> dict:
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
