@@ -9,7 +9,7 @@ so each order is one join of exploded n-grams with a count table partitioned by
 
 The ``HEAD`` most frequent words have exact numbers, other words are hashed to 32 bits. Counts of the head, and of pairs of its first ``HOT`` words,
 are added up in each task and broadcast: tables of fixed size that hold every hot n-gram, which are scored where they are read. All others are
-dealt to buckets by their hash, packed as arrays of 8 bytes an n-gram; a bucket gets more n-grams only through one word or pair, whose share is bounded by
+dealt to buckets by their hash, packed as arrays of 8 bytes an n-gram for a block of documents, and their sums return by block; a bucket gets more n-grams only through one word or pair, whose share is bounded by
 the head. Pairs that are seen but have a rare word get its count by a join with the word counts.
 
 Defined results: rows of equal doc_id (null too) are one document; a null text, or one without words, has score 0; an empty table gives an
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,10 @@ from spandrel.llm.lineage import materialize, small_batches
 
 U64 = np.uint64
 HEAD, HOT, MIN_COUNT, BACKOFF = 65_536, 1024, 2, 0.4
-BUCKET_GRAMS = 3_000_000
+BUCKET_GRAMS = 2_000_000
 LOG_BACKOFF = math.log(BACKOFF)
+#: Stands for a null doc_id in packed rows.
+NO_ID = -(2**63)
 
 
 @dataclass
@@ -150,14 +153,34 @@ def own_sums(docs: DataFrame, head: Head, hot: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_words long, score double")
 
 
+def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array of consecutive runs of ``values``; run i ends before ends[i + 1]."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column, and how many each row has."""
+    values, sizes, width = [np.empty(0, kind)], [np.empty(0, np.int64)], np.dtype(kind).itemsize
+    for c in column.chunks:
+        if len(c):
+            ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+            sizes.append(np.diff(ends) // width)
+            values.append(np.frombuffer(c.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind) if c.buffers()[2] is not None else np.empty(0, kind))
+    return np.concatenate(values), np.concatenate(sizes)
+
+
 def dealt(docs: DataFrame, head: Head, buckets: int, word_buckets: int) -> DataFrame:
-    """bucket, doc_id and grams (8 bytes each) of the n-grams outside the broadcast tables: pairs in the first buckets, words in those after them."""
+    """The n-grams outside the broadcast tables: pairs in the first buckets, words in those after them.
+
+    A row holds those of one bucket in one block (documents of about 2 MB of text): docs (ids, 8 bytes), sizes (n-grams of each, 4 bytes) and grams (8 bytes
+    each).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = shared.value
+        h, block = shared.value, TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
             for lo, _, data, offsets in tx.slices(batch.column("text"), 1 << 21):
                 words = tx.words_of(data, offsets)
                 number = h.numbers(words.hashes())
@@ -167,27 +190,28 @@ def dealt(docs: DataFrame, head: Head, buckets: int, word_buckets: int) -> DataF
                 gram = np.concatenate([code[cold], number[rare]])
                 doc = np.concatenate([doc[cold], words.doc[rare]])
                 bucket = np.concatenate([(tx.mix(code[cold]) % U64(buckets)).astype(np.int64), buckets + (tx.mix(number[rare]) % U64(word_buckets)).astype(np.int64)])
-                order = np.lexsort((gram, doc, bucket))
+                order = np.lexsort((doc, bucket))
                 gram, doc, bucket = gram[order], doc[order], bucket[order]
-                first = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-                ends = (np.append(first, len(gram)) * 8).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(gram.astype("<u8"))])
-                for i in range(0, len(first), 16_384):
-                    k = first[i : i + 16_384]
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[k].astype(np.int32)), ids.take(pa.array(lo + doc[k])), packed[i : i + 16_384]], ["bucket", "doc_id", "grams"])
+                runs = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+                rows = np.flatnonzero(np.diff(bucket[runs], prepend=-1) != 0)
+                of_runs, of_grams = np.append(rows, len(runs)), np.append(runs[rows], len(gram))
+                sizes = np.diff(runs, append=len(gram)).astype("<i4")
+                columns = [pa.array(bucket[runs[rows]].astype(np.int32)), pa.array(np.full(len(rows), block)), packed(ids[lo + doc[runs]].astype("<i8"), of_runs), packed(sizes, of_runs), packed(gram.astype("<u8"), of_grams)]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "docs", "sizes", "grams"])
+                block += 1
+
+    return docs.mapInArrow(run, "bucket int, block long, docs binary, sizes binary, grams binary")
+
 
-    return docs.mapInArrow(run, "bucket int, doc_id long, grams binary")
+def summed(parts: DataFrame) -> DataFrame:
+    """doc_id, n_words (0) and score from the rows (block, docs, sums) of all buckets; blocks are of bounded size."""
 
+    def run(table: pa.Table) -> pa.Table:
+        ids, inverse = np.unique(unpacked(table.column("docs"), "<i8")[0], return_inverse=True)
+        total = np.bincount(inverse, unpacked(table.column("sums"), "<f8")[0], len(ids))
+        return pa.table({"doc_id": pa.array(ids, mask=ids == NO_ID), "n_words": pa.array(np.zeros(len(ids), np.int64)), "score": pa.array(total)})
 
-def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of a bucket, and the row of each."""
-    parts = [c for c in table.column("grams").chunks if len(c)]
-    sizes = np.concatenate([np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]) for c in parts]) // 8
-    values = []
-    for c in parts:
-        ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
-        values.append(np.frombuffer(c.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u8"))
-    return np.concatenate(values), np.repeat(np.arange(len(sizes)), sizes)
+    return parts.groupBy("block").applyInArrow(run, "doc_id long, n_words long, score double")
 
 
 def score(docs: DataFrame, bucket_grams: int = BUCKET_GRAMS, size: int = HEAD, hot: int = HOT) -> DataFrame:
@@ -211,7 +235,7 @@ def score(docs: DataFrame, bucket_grams: int = BUCKET_GRAMS, size: int = HEAD, h
         found = {"bucket": pa.int32(), "pair": pa.int64(), "v": pa.int64(), "w": pa.int64(), "n": pa.int64()}
         if bucket >= buckets:
             return pa.table({k: pa.array([], t) for k, t in found.items()})
-        code, n = np.unique(_unpacked(table)[0], return_counts=True)
+        code, n = np.unique(unpacked(table.column("grams"), "<u8")[0], return_counts=True)
         v, w = code >> U64(32), code & U64(2**32 - 1)
         keep = (n >= MIN_COUNT) & ((v >= size) | (w >= size))
         columns = [np.full(int(keep.sum()), bucket, np.int32), *(x[keep].astype(np.int64) if x is n else x[keep].view(np.int64) for x in (code, v, w, n))]
@@ -227,10 +251,9 @@ def score(docs: DataFrame, bucket_grams: int = BUCKET_GRAMS, size: int = HEAD, h
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"block": pa.array([], pa.int64()), "docs": pa.array([], pa.binary()), "sums": pa.array([], pa.binary())})
         h, bucket = shared.value, left.column("bucket")[0].as_py()
-        gram, row = _unpacked(left)
-        code, inverse, n = np.unique(gram, return_inverse=True, return_counts=True)
+        code, inverse, n = np.unique(unpacked(left.column("grams"), "<u8")[0], return_inverse=True, return_counts=True)
         if bucket >= buckets:
             d = np.log(n / h.total)
         else:
@@ -239,11 +262,12 @@ def score(docs: DataFrame, bucket_grams: int = BUCKET_GRAMS, size: int = HEAD, h
             d[near] = np.log(n[near] / h.counts[v[near]]) - np.log(h.counts[w[near]] / h.total) - LOG_BACKOFF
             if right.num_rows:
                 d[np.searchsorted(code, right.column("pair").to_numpy().view(U64))] = right.column("d").to_numpy()
-        total = np.bincount(row, d[inverse], left.num_rows)
-        return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(np.zeros(left.num_rows, np.int64)), "score": pa.array(total)})
+        sizes, runs = unpacked(left.column("sizes"), "<i4")
+        total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), d[inverse], len(sizes))
+        return pa.table({"block": left.column("block"), "docs": left.column("docs"), "sums": packed(total, np.concatenate([[0], np.cumsum(runs)]))})
 
-    parts = grams.groupBy("bucket").cogroup(rated.groupBy("bucket")).applyInArrow(sums, "doc_id long, n_words long, score double")
-    parts = own_sums(docs, head, hot_d).unionAll(parts.where("score <> 0")).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
+    parts = summed(grams.groupBy("bucket").cogroup(rated.groupBy("bucket")).applyInArrow(sums, "block long, docs binary, sums binary"))
+    parts = own_sums(docs, head, hot_d).unionAll(parts).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
     return parts.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round(F.col("score") / F.greatest(F.col("n_words"), F.lit(1)), 4).alias("mean_score"))
 
 
