@@ -11,6 +11,7 @@ of one document count as bad if one of them is; without any good label every doc
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,13 @@ from spandrel.llm.lineage import materialize, small_batches
 #: Documented bound of the labelled sample that the target model is fitted on.
 MAX_LABELLED = 50_000
 BUCKETS = 1 << 18
+#: Tables with hashes of their own; of an n-gram's ratios the one nearest to 0 counts, so that one must share its buckets in all tables to be misjudged.
+TABLES = 2
 ORDERS = (1, 2)
 #: A bucket's log ratio counts if its Poisson deviance from "as in raw text" and its size are at least these; else it is 0.
-MIN_DEVIANCE, MIN_RATIO = 16.0, 1.5
+MIN_DEVIANCE, MIN_RATIO = 8.0, 1.3
+#: Bytes of the beginnings of words (in lower case), which rare forms of a word share.
+PREFIXES = (4, 5)
 #: So many equal words in a row (and one before them) count as a feature.
 RUN = 4
 LETTER = np.zeros(256, bool)
@@ -34,57 +39,64 @@ LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tr
 SEED = 17
 
 
-def features(words: tx.Words, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents, buckets and occurrences of their n-grams: words, word pairs, what stands after a word's last letter or digit, and runs of one word."""
+def features(words: tx.Words, buckets: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Documents, buckets in each table and occurrences of their n-grams: words, word pairs, beginnings of words, what stands after a word's last letter or digit, and runs of one word."""
     h, doc, keys = words.hashes(), words.doc.astype(tx.U64), []
     bits = tx.U64(buckets.bit_length() - 1)
-    put = lambda at, grams: keys.append((doc[at] << bits) | (grams >> (tx.U64(64) - bits)))
+    both = bits * tx.U64(TABLES)
+    put = lambda at, grams: keys.append((doc[at] << both) | (grams >> (tx.U64(64) - both)))
     for n in ORDERS:
         grams, at = words.windows(h, n)
         put(at, grams)
     if len(h):
         letters = np.maximum.accumulate(np.where(LETTER[words.data], np.arange(len(words.data)), -1))
         put(slice(None), tx.Words(words.data, np.maximum(letters[words.end - 1] + 1, words.start), words.end, words.first).hashes())
+        for n in PREFIXES:
+            at = np.flatnonzero(words.end - words.start >= n)
+            start = words.start[at]
+            put(at, tx.Words(tx.LOWER[words.data], start, start + n, words.first).hashes() ^ tx.U64(n))
         grams, at = words.windows((h == np.roll(h, 1)).astype(tx.U64), RUN)
         run = tx.rolling(np.ones(RUN, tx.U64), RUN)
         put(at[grams == run], np.full(int((grams == run).sum()), run[0]))
     keys = np.sort(np.concatenate(keys))
     at = np.flatnonzero(np.diff(keys, prepend=keys[:1] + tx.U64(1)))
     keys, times = keys[at], np.diff(at, append=len(keys))
-    return (keys >> bits).astype(np.int64), (keys & tx.U64(buckets - 1)).astype(np.int64), times
+    in_table = [((keys >> (bits * tx.U64(k))) & tx.U64(buckets - 1)).astype(np.int64) + k * buckets for k in range(TABLES)]
+    return (keys >> both).astype(np.int64), in_table, times
 
 
-def labelled(labels: DataFrame, bound: int = MAX_LABELLED) -> tuple[DataFrame, float]:
-    """doc_id and good (labelled good and not toxic) of at most about ``bound`` labelled documents, and the share of good ones among all."""
+def labelled(labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
+    """doc_id and good (labelled good and not toxic) of at most about ``bound`` labelled documents."""
     one = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("doc_id is not null")
     one = one.select("doc_id", ((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
-    n, n_good = one.agg(F.count("*"), F.count_if("good")).first()
-    part = min(1.0, bound / max(1, n))
-    return one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)), (n_good / n if n else 1.0)
+    part = min(1.0, bound / max(1, one.count()))
+    return one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, bound: int = MAX_LABELLED, prior: float = 1.0) -> tuple[np.ndarray, float]:
-    """Log ratio of target to raw probability for each bucket, 0 where the counts cannot tell it from raw text, and the share of target documents.
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, bound: int = MAX_LABELLED, prior: float = 1.0) -> np.ndarray:
+    """Log ratio of target to raw probability for each bucket, 0 where the counts cannot tell it from raw text.
 
     Raw counts cover every document. Each task adds up its own counts and sends one row per bucket that it met. Occurrences
     count by their square root in each document; the numbers of documents decide what is significant.
     """
-    known, share = labelled(labels, bound)
+    known = labelled(labels, bound)
     marked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"), F.col("good").isNotNull().alias("known"))
     names = ("raw", "target", "raw_docs", "known_docs", "target_docs")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((5, buckets))
+        size = TABLES * buckets
+        sums = np.zeros((5, size))
         for batch in batches:
             good, known = (batch.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("good", "known"))
-            for lo, hi, data, offsets in tx.slices(batch.column("text")):
-                doc, b, times = features(tx.words_of(data, offsets), buckets)
-                of_good = good[lo:hi][doc]
-                sums[0] += np.bincount(b, np.sqrt(times), buckets)
-                sums[1] += np.bincount(b[of_good], np.sqrt(times[of_good]), buckets)
-                sums[2] += np.bincount(b, minlength=buckets)
-                sums[3] += np.bincount(b[known[lo:hi][doc]], minlength=buckets)
-                sums[4] += np.bincount(b[of_good], minlength=buckets)
+            for lo, hi, data, offsets in tx.slices(batch.column("text"), 1 << 22):
+                doc, in_table, times = features(tx.words_of(data, offsets), buckets)
+                of_good, of_known, root = good[lo:hi][doc], known[lo:hi][doc], np.sqrt(times)
+                for b in in_table:
+                    sums[0] += np.bincount(b, root, size)
+                    sums[1] += np.bincount(b[of_good], root[of_good], size)
+                    sums[2] += np.bincount(b, minlength=size)
+                    sums[3] += np.bincount(b[of_known], minlength=size)
+                    sums[4] += np.bincount(b[of_good], minlength=size)
         met = np.flatnonzero(sums[2])
         for i in range(0, len(met), 65_536):
             k = met[i : i + 65_536]
@@ -92,12 +104,12 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, bound: int =
 
     small_batches(docs.sparkSession)
     found = marked.mapInArrow(count, "bucket int, " + ", ".join(f"{x} float" for x in names)).groupBy("bucket").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
-    sums = np.zeros((5, buckets))
+    sums = np.zeros((5, TABLES * buckets))
     for i, x in enumerate(names):
         sums[i, found.column("bucket").to_numpy()] = found.column(x).to_numpy()
     raw, target, raw_docs, known_docs, target_docs = sums
     if not target.sum():
-        return np.zeros(buckets, np.float32), 1.0
+        return np.zeros(TABLES * buckets, np.float32)
     ratio = np.log((target + prior) / (raw * (target.sum() / raw.sum()) + prior))
     sure = np.abs(ratio) >= MIN_RATIO
     for base in (raw_docs, known_docs):  # labels may favour a language: what is as rare in all labelled text says nothing
@@ -105,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, bound: int =
         with np.errstate(divide="ignore", invalid="ignore"):
             deviance = 2 * (np.where(target_docs > 0, target_docs * np.log(target_docs / expected), 0) - (target_docs - expected))
         sure &= deviance >= MIN_DEVIANCE
-    return np.where(sure, ratio, 0).astype(np.float32), share
+    return np.where(sure, ratio, 0).astype(np.float32)
 
 
 def log_weights(docs: DataFrame, model: np.ndarray, seed: int = SEED) -> DataFrame:
@@ -118,8 +130,10 @@ def log_weights(docs: DataFrame, model: np.ndarray, seed: int = SEED) -> DataFra
             weight, grams = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for lo, hi, data, offsets in tx.slices(batch.column("text")):
                 words = tx.words_of(data, offsets)
-                doc, b, times = features(words, len(m))
-                weight[lo:hi] = np.bincount(doc, m[b] * np.sqrt(times), hi - lo)
+                doc, in_table, times = features(words, len(m) // TABLES)
+                ratios = np.stack([m[b] for b in in_table])
+                nearest = np.take_along_axis(ratios, np.abs(ratios).argmin(0)[None], 0)[0]
+                weight[lo:hi] = np.bincount(doc, nearest * np.sqrt(times), hi - lo)
                 grams[lo:hi] = words.counts
             ids = batch.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(grams), pa.array(weight), pa.array(-np.log(-np.log(tx.uniform(ids, seed))))], ["doc_id", "n_words", "log_weight", "gumbel"])
@@ -156,8 +170,9 @@ def top_k(scored: DataFrame, k: int, key: str, tie: str, exact_below: int = 100_
 
 
 def classify(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, bound: int = MAX_LABELLED, keep: float | None = None, seed: int = SEED) -> DataFrame:
-    """doc_id, n_words, log_weight, kept for every document; ``keep`` is the share to draw, by default the target's share of the labels."""
-    model, share = fit(docs, labels, buckets, bound)
+    """doc_id, n_words, log_weight, kept for every document. ``keep`` is the share to draw; by default as many as have a weight of one half or more."""
+    model = fit(docs, labels, buckets, bound)
     scored = materialize(log_weights(docs, model, seed).withColumn("key", F.col("log_weight") + F.col("gumbel")))
-    k = round((share if keep is None else keep) * scored.count())
+    n, likely = scored.agg(F.count("*"), F.count_if(F.col("log_weight") >= -math.log(2))).first()
+    k = likely if keep is None else round(keep * n)
     return top_k(scored, k, "key", "doc_id").select("doc_id", "n_words", "log_weight", "kept")
