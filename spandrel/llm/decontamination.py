@@ -44,7 +44,8 @@ def seed_rows(table: DataFrame, key: str) -> DataFrame:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """doc_id, item_id and agreeing (the most words that agree in a window) of each overlapping pair, once for each alignment."""
-    items = benchmark.where("item_id is not null").select("item_id", word_hashes(F.col("text")).alias("item_words"))
+    # Items too short for a seed are left out, so that few seeds mean few items and few words.
+    items = benchmark.where("item_id is not null").select("item_id", word_hashes(F.col("text")).alias("item_words")).where(F.size("item_words") >= SPAN)
     texts = docs.where("doc_id is not null").select("doc_id", word_hashes(F.col("text")).alias("words"))
     item_seeds = seed_rows(items.withColumnRenamed("item_words", "words"), "item_id").select("item_id", F.col("at").alias("item_at"), "seed").distinct()
     small = item_seeds.count() <= max_broadcast
