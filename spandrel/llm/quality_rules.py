@@ -1,8 +1,9 @@
 """Weakly supervised quality rules, with built-in functions only.
 
 Each rule votes good (1) or bad (-1) or abstains (0). Expectation-maximisation over the counts of vote patterns (3 ** rules at most, whatever the
-table's size) estimates each rule's accuracy and the share of good documents, taking the votes as independent given the
-truth. A document is kept if it passes the base limits and its posterior probability of being good is at least one half.
+table's size) estimates how often each rule votes either way on good and on bad documents, and the share of good ones, taking the votes as
+independent given the truth. A document is kept if it passes the base limits and its posterior probability of being good is at
+least one half. Good votes never count against a document, bad ones never for it, abstentions not at all.
 
 Texts are read once, for a table of counts and votes. One job adds up its vote patterns (a few rows a task are shuffled), the next looks the
 posterior up in a broadcast of those patterns.
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from spandrel.llm.lineage import materialize
 
 ROUNDS = 20
-#: Accuracies stay in these bounds, so that no rule decides alone or votes against itself.
-LOWEST, HIGHEST, START, SHARE = 0.55, 0.98, 0.8, 0.7
+#: First guesses for documents with and without a bad vote; bound of one vote's log evidence.
+WITH_BAD, WITHOUT_BAD, MOST = 0.2, 0.9, 4.0
 # Frequent function words of English, German, French and Spanish.
 STOPWORDS = "the of and to in a is that it for was on are as with be by der die das und ist in den von zu mit sich auf nicht ein eine im le la les de des et est un une dans que pour en qui el los las y que se con por una no su para es".split()
 SPACES = " \t\n\x0b\x0c\r"
@@ -81,28 +82,31 @@ def vote(rule: str) -> str:
 
 def posteriors(patterns: DataFrame) -> DataFrame:
     """votes and quality (posterior probability) of each pattern in ``patterns`` (votes, n); all rounds are one expression over one row."""
-    rules = len(RULES)
     table = F.sort_array(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n"))))
+    total = lambda rows, of: F.aggregate(rows, F.lit(0.0), lambda s, r: s + of(r))
 
     def quality(p: Column, state: Column) -> Column:
-        evidence = F.aggregate(F.zip_with(p["votes"], state["accuracy"], lambda v, a: v * F.log(a / (1 - a))), F.lit(0.0), lambda s, x: s + x)
+        evidence = F.aggregate(F.zip_with(p["votes"], state["evidence"], lambda v, e: F.when(v > 0, e["good"]).when(v < 0, e["bad"]).otherwise(F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
         return 1 / (1 + F.exp(-(F.log(state["share"] / (1 - state["share"])) + evidence)))
 
-    total = lambda rows, of: F.aggregate(rows, F.lit(0.0), lambda s, r: s + of(r))
-    bounded = lambda x, low, high: F.greatest(F.lit(low), F.least(F.lit(high), x))
-
     def maximise(rows: Column) -> Column:
-        def accuracy(j: Column) -> Column:
-            right = total(rows, lambda r: r["n"] * F.when(F.get(r["votes"], j) > 0, r["q"]).when(F.get(r["votes"], j) < 0, 1 - r["q"]).otherwise(F.lit(0.0)))
-            cast = total(rows, lambda r: r["n"] * F.abs(F.get(r["votes"], j)))
-            return F.when(cast > 0, bounded(right / cast, LOWEST, HIGHEST)).otherwise(F.lit(START))
+        good, bad = total(rows, lambda r: r["n"] * r["q"]), total(rows, lambda r: r["n"] * (1 - r["q"]))
+
+        def weight(j: Column, sign: int, sums: Column) -> Column:
+            cast = lambda r: F.get(r["votes"], j) == sign
+            on_good, on_bad = total(rows, lambda r: F.when(cast(r), r["n"] * r["q"]).otherwise(F.lit(0.0))), total(rows, lambda r: F.when(cast(r), r["n"] * (1 - r["q"])).otherwise(F.lit(0.0)))
+            return F.log((on_good + 1) / (sums["good"] + 3)) - F.log((on_bad + 1) / (sums["bad"] + 3))
+
+        def fitted(sums: Column) -> Column:
+            votes = F.transform(F.sequence(F.lit(0), F.lit(len(RULES) - 1)), lambda j: F.struct(F.greatest(F.lit(0.0), F.least(F.lit(MOST), weight(j, 1, sums))).alias("good"), F.least(F.lit(0.0), F.greatest(F.lit(-MOST), weight(j, -1, sums))).alias("bad")))
+            return F.struct(votes.alias("evidence"), F.greatest(F.lit(0.01), F.least(F.lit(0.99), sums["good"] / (sums["good"] + sums["bad"]))).alias("share"))
 
-        share = bounded(total(rows, lambda r: r["n"] * r["q"]) / total(rows, lambda r: r["n"]), 0.01, 0.99)
-        return F.struct(F.transform(F.sequence(F.lit(0), F.lit(rules - 1)), accuracy).alias("accuracy"), share.alias("share"))
+        return let(F.struct(good.alias("good"), bad.alias("bad")), fitted)
 
-    start = F.struct(F.array_repeat(F.lit(START), rules).alias("accuracy"), F.lit(SHARE).alias("share"))
-    step = lambda state, _: let(F.transform("table", lambda p: F.struct(p["votes"].alias("votes"), p["n"].alias("n"), quality(p, state).alias("q"))), maximise)
-    fitted = patterns.agg(table.alias("table")).where(F.size("table") > 0).select("table", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step).alias("state"))
+    rated = lambda q: F.transform("table", lambda p: F.struct(p["votes"].alias("votes"), p["n"].alias("n"), q(p).alias("q")))
+    guess = rated(lambda p: F.when(F.exists(p["votes"], lambda v: v < 0), F.lit(WITH_BAD)).otherwise(F.lit(WITHOUT_BAD)))
+    step = lambda state, _: let(rated(lambda p: quality(p, state)), maximise)
+    fitted = patterns.agg(table.alias("table")).where(F.size("table") > 0).withColumn("state", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), let(guess, maximise), step))
     return fitted.select(F.explode("table").alias("p"), "state").select(F.col("p.votes").alias("votes"), quality(F.col("p"), F.col("state")).alias("quality"))
 
 
@@ -118,12 +122,15 @@ def sql() -> str:
     """The same in DuckDB; the rounds are unrolled."""
     names = list(RULES)
     words = ", ".join(f"'{w}'" for w in dict.fromkeys(STOPWORDS))
-    logit = lambda x: f"ln({x} / (1 - {x}))"
-    q = "1 / (1 + exp(-(" + logit("share") + "".join(f" + v{i} * {logit(f'a{i}')}" for i in range(len(names))) + ")))"
-    rounds = [f"e0 AS MATERIALIZED (SELECT {SHARE}::DOUBLE AS share, " + ", ".join(f"{START}::DOUBLE AS a{i}" for i in range(len(names))) + ")"]
-    for k in range(1, ROUNDS + 1):
-        fit = ", ".join(f"CASE WHEN sum(n * abs(v{i})) > 0 THEN greatest({LOWEST}, least({HIGHEST}, sum(n * CASE WHEN v{i} > 0 THEN q WHEN v{i} < 0 THEN 1 - q ELSE 0 END) / sum(n * abs(v{i})))) ELSE {START} END AS a{i}" for i in range(len(names)))
-        rounds.append(f"e{k} AS MATERIALIZED (SELECT greatest(0.01, least(0.99, sum(n * q) / sum(n))) AS share, {fit} FROM (SELECT p.*, {q} AS q FROM p, e{k - 1}))")
+    n = range(len(names))
+    q = "1 / (1 + exp(-(ln(share / (1 - share))" + "".join(f" + CASE WHEN v{i} > 0 THEN g{i} WHEN v{i} < 0 THEN b{i} ELSE 0 END" for i in n) + ")))"
+    guess = f"CASE WHEN least({', '.join(f'v{i}' for i in n)}) < 0 THEN {WITH_BAD} ELSE {WITHOUT_BAD} END"
+    weight = lambda i, sign: f"ln((sum(CASE WHEN v{i} = {sign} THEN n * q ELSE 0 END) + 1) / (sum(n * q) + 3)) - ln((sum(CASE WHEN v{i} = {sign} THEN n * (1 - q) ELSE 0 END) + 1) / (sum(n * (1 - q)) + 3))"
+    fit = ", ".join(f"greatest(0, least({MOST}, {weight(i, 1)})) AS g{i}, least(0, greatest(-{MOST}, {weight(i, -1)})) AS b{i}" for i in n)
+    rounds = []
+    for k in range(ROUNDS + 1):
+        source = f"(SELECT p.*, {q} AS q FROM p, e{k - 1})" if k else f"(SELECT *, CAST({guess} AS DOUBLE) AS q FROM p)"
+        rounds.append(f"e{k} AS MATERIALIZED (SELECT greatest(0.01, least(0.99, sum(n * q) / sum(n))) AS share, {fit} FROM {source})")
     votes = ", ".join(f"{vote(r)} AS v{i}" for i, r in enumerate(names))
     keys = ", ".join(f"v{i}" for i in range(len(names)))
     return rf"""
