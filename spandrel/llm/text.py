@@ -35,9 +35,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 BYTE_VALUE = mix((np.arange(256, dtype=U64) + U64(1)) * U64(BASE))
 
 
-@cache
-def _powers(exponent: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << exponent
+#: Tables of powers are kept up to this length, which slices of a megabyte need; a longer text has its own while it is read.
+KEPT_POWERS = (1 << 20) + 1
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for b in (BASE, INVERSE):
         p = np.full(n, b, U64)
@@ -46,9 +48,14 @@ def _powers(exponent: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+@cache
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(KEPT_POWERS)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse modulo 2**64, to the powers 0 to n - 1."""
-    a, b = _powers(max(16, int(n - 1).bit_length())) if n > 1 else _powers(16)
+    a, b = _kept_powers() if n <= KEPT_POWERS else _powers(n)
     return a[:n], b[:n]
 
 
