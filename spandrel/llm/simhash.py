@@ -11,7 +11,8 @@ fingerprints are one row before that, so neither copies nor a hot source gather
 of the links that it finds, which has the same components as all of them.
 
 For a similarity of shingle sets, distances up to ``sure`` are links; pairs beyond that, up to the largest distance, are links if the
-exact Jaccard similarity of their shingles is high enough. Only pairs whose ends are not yet in one component are checked.
+exact Jaccard similarity of their shingles is high enough. First the pairs of each task's nearest spanning forest are checked, as many as documents at
+most; only where one of these fails, all pairs between what is still apart are.
 
 Defined results: a null text or one without words has fingerprint zero; fewer words than a shingle are one shingle; rows with
 equal doc_id are separate rows of one component; null doc_ids get a component through other members of their group,
@@ -38,6 +39,8 @@ U64 = np.uint64
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(U64).ravel()
 #: Distinct fingerprints that one side of a trie task should hold, and bits of prefix at most.
 TASK_ROWS, MAX_PREFIX = 250_000, 8
+#: Doubtful pairs that a task holds before it reduces them to the nearest tree.
+WAITING = 2_000_000
 
 
 def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -189,12 +192,30 @@ class Forest:
                 self.root = up
 
 
-def links(prints: DataFrame, bits: int, max_distance: int, bands: int = 1, budget: int | None = None, sure: int | None = None) -> DataFrame:
+def nearest_tree(forest: Forest, pairs: np.ndarray) -> np.ndarray:
+    """Those of ``pairs`` (i, j, distance) that join the trees of ``forest`` at the least distances: a minimum spanning forest, by Borůvka's rounds."""
+    root, kept = forest.root.copy(), []
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], pairs[:, 2]))]
+    while len(pairs := pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]):
+        # Pairs are in one strict order, so the first of each tree never closes a cycle.
+        ends = root[pairs[:, :2]]
+        _, first = np.unique(ends.ravel(), return_index=True)
+        took = pairs[np.unique(first // 2)]
+        kept.append(took)
+        joined = Forest(len(root))
+        joined.root = root
+        joined.add(took[:, 0], took[:, 1])
+        root = joined.root
+    return np.concatenate(kept) if kept else np.empty((0, 3), np.int64)
+
+
+def links(prints: DataFrame, bits: int, max_distance: int, bands: int = 1, budget: int | None = None, sure: int | None = None, spanning: bool = True) -> DataFrame:
     """u, v and sure of links between the rows (node, f0, f1, ...) of different fingerprints.
 
-    Sure ones (all up to ``sure`` bits, by default max_distance) are spanning forests. Others are all pairs found whose ends no forest of their task connects.
+    Sure ones (all up to ``sure`` bits, by default max_distance) are spanning forests. Others are, of the pairs found, those that join the trees of their task's
+    forest at the least distances; without ``spanning``, all whose ends differ in the column ``component`` of ``prints``.
     """
-    names = [c for c in prints.columns if c != "node"]
+    names = [c for c in prints.columns if c.startswith("f")]
     width = bits // bands
     budget = (max_distance + 1 + bands - 1) // bands - 1 if budget is None else budget
     sure = max_distance if sure is None else sure
@@ -209,7 +230,7 @@ def links(prints: DataFrame, bits: int, max_distance: int, bands: int = 1, budge
     def band(k: int) -> DataFrame:
         value = F.shiftrightunsigned(F.col(names[k // per_word]), width * (k % per_word))
         at = F.shiftrightunsigned(value, width - prefix).bitwiseAND(F.lit((1 << prefix) - 1)).cast("int")
-        return prints.select(F.lit(k).alias("band"), at.alias("prefix"), "node", *names)
+        return prints.select(F.lit(k).alias("band"), at.alias("prefix"), "node", *([] if spanning else ["component"]), *names)
 
     dealt = reduce(DataFrame.unionAll, [band(k) for k in range(bands)]).join(units, "prefix")
 
@@ -222,19 +243,25 @@ def links(prints: DataFrame, bits: int, max_distance: int, bands: int = 1, budge
         order = np.argsort(value, kind="stable")
         value, words, node = value[order], words[order], table.column("node").to_numpy()[order]
         cut = len(value) if low == high else int(np.searchsorted(value >> U64(width - prefix), U64(high)))
-        forest, doubtful = Forest(len(value)), [np.empty((0, 2), np.int64)]
+        component = None if spanning else table.column("component").to_numpy()[order]
+        forest, doubtful, waiting = Forest(len(value)), [np.empty((0, 3), np.int64)], 0
         for i, j in trie_pairs(value[:cut], None if low == high else value[cut:], width, budget):
             j = j + (0 if low == high else cut)
             if len(names) > 1:
                 apart = sum(np.bitwise_count(words[i, w] ^ words[j, w]).astype(np.int32) for w in range(len(names)))
                 maybe = (apart > sure) & (apart <= max_distance)
+                maybe &= forest.root[i] != forest.root[j] if spanning else component[i] != component[j]
                 if maybe.any():
-                    doubtful.append(np.stack([i[maybe], j[maybe]], axis=1))
+                    doubtful.append(np.stack([i[maybe], j[maybe], apart[maybe]], axis=1).astype(np.int64))
+                    waiting += len(doubtful[-1])
                 i, j = i[apart <= sure], j[apart <= sure]
             forest.add(i, j)
+            if spanning and waiting > WAITING:
+                # The nearest tree of all pairs lies in those of its parts, so memory stays bounded.
+                doubtful, waiting = [nearest_tree(forest, np.concatenate(doubtful))], 0
         found, more = np.array(forest.links, np.int64).reshape(-1, 2), np.concatenate(doubtful)
-        more = more[forest.root[more[:, 0]] != forest.root[more[:, 1]]]
-        both = np.concatenate([found, more])
+        more = nearest_tree(forest, more) if spanning else more
+        both = np.concatenate([found, more[:, :2]])
         return pa.table({"u": node[both[:, 0]], "v": node[both[:, 1]], "sure": np.arange(len(both)) < len(found)})
 
     return dealt.groupBy("band", "low", "high").applyInArrow(run, "u long, v long, sure boolean")
@@ -275,8 +302,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 64, max_distanc
         doubtful = found.where("not sure").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         for c in ("u", "v"):
             doubtful = doubtful.join(known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
-        apart = doubtful.where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
-        found = certain.unionAll(similar(materialize(apart), docs, width, similarity))
+        apart = materialize(doubtful.where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v"))
+        alike = materialize(similar(apart, docs, width, similarity))
+        failed = apart.join(alike, ["u", "v"], "left_anti")
+        certain = certain.unionAll(alike)
+        if not failed.isEmpty():
+            # Pairs that a tree left out can matter only where one of its own pairs has failed. There all pairs between components are checked.
+            trees, known = components(found.select("u", "v")), components(certain)
+            open_trees = failed.join(trees.select(F.col("node").alias("u"), "component"), "u").select("component").distinct()
+            open_nodes = trees.join(open_trees, "component", "left_semi").select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+            rest = links(materialize(groups.join(open_nodes, "node").select("node", "component", *names)), bits, max_distance, bands, budget, sure, spanning=False)
+            rest = rest.where("not sure").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(failed, ["u", "v"], "left_anti")
+            certain = certain.unionAll(similar(materialize(rest), docs, width, similarity))
+        found = certain
     found = components(found.select("u", "v"))
     groups = groups.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     return prints.join(groups, names).select("doc_id", *names, "component_id")

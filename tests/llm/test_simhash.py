@@ -130,3 +130,43 @@ def test_components_of_chains_and_cycles(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_nearest_tree_is_a_minimum_spanning_forest():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 0), (6, 9), (40, 200)):
+        pairs = np.array(sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, n, (m, 2)).tolist() if a != b}), np.int64).reshape(-1, 2)
+        pairs = np.column_stack([pairs, rng.integers(31, 50, len(pairs))])
+        forest = simhash.Forest(n)
+        if n > 4:
+            forest.add(np.array([0, 1]), np.array([2, 3]))
+        root = {i: int(r) for i, r in enumerate(forest.root)}
+        total = count = 0
+        for i, j, d in sorted(pairs.tolist(), key=lambda p: (p[2], p[0], p[1])):  # Kruskal
+            if root[i] != root[j]:
+                a, b = root[i], root[j]
+                root = {k: a if r == b else r for k, r in root.items()}
+                total, count = total + d, count + 1
+        got = simhash.nearest_tree(forest, pairs)
+        assert (len(got), got[:, 2].sum()) == (count, total)
+
+
+def test_pairs_beside_a_failed_one_are_checked(spark):
+    # Stars: copies with one changed word are over 0.8 like their base and below it like each other.
+    rng = np.random.default_rng(7)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 10**6, n)]
+    texts = []
+    for _ in range(6):
+        base = words(75)
+        texts.append(base)
+        for at in rng.choice(np.arange(6, 69), 24, replace=False):
+            texts.append([*base[:at], *words(1 + int(at) % 2), *base[at + 1 :]])
+        texts += [[*base[:k], *words(15), *base[k:]] for k in (10, 30, 50)]
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, **simhash.SIMILAR).collect()}
+    sets = [shingles(t) for t in texts]
+    want = list(range(len(texts)))
+    for _ in range(8):
+        want = [min(want[j] for j in range(len(texts)) if alike(sets[i], sets[j])) for i in range(len(texts))]
+    assert got == dict(enumerate(want))
