@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spandrel.llm.lineage import small_batches
+from spandrel.llm.lineage import materialize, small_batches
 
 #: Documented bound of the labelled documents that the model is fitted on.
 MAX_TRAINING = 20_000
@@ -77,11 +77,11 @@ def _table(rows: list[tuple[str, str, int]], langs: list[str], totals: dict[str,
 
 
 def fit(docs: DataFrame, bound: int = MAX_TRAINING) -> Model:
-    words = training(docs, bound).select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n")).withColumn("size", F.lit(0))
+    words = materialize(training(docs, bound).select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n")).withColumn("size", F.lit(0)))
     marked = F.concat(F.lit("^"), "key", F.lit("$"))
     grams_of = lambda k: F.when(F.length(marked) >= k, F.transform(F.sequence(F.lit(1), F.length(marked) - (k - 1)), lambda i: F.struct(F.lit(k).alias("size"), F.substr(marked, i, F.lit(k)).alias("key"))))
     grams = words.select("lang", "n", F.explode(F.flatten(F.array_compact(F.array(*(grams_of(k) for k in range(1, LONGEST + 1)))))).alias("g")).groupBy("lang", F.col("g.size").alias("size"), F.col("g.key").alias("key")).agg(F.sum("n").alias("n"))
-    counts = words.select("lang", "size", "key", "n").unionAll(grams.select("lang", "size", "key", "n"))
+    counts = materialize(words.select("lang", "size", "key", "n").unionAll(grams.select("lang", "size", "key", "n")))
     totals = {(lang, size): n for lang, size, n in counts.groupBy("lang", "size").agg(F.sum("n")).collect()}
     rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.col("n").desc(), "key"))
     top = counts.withColumn("rank", rank).where(((F.col("size") == 0) & (F.col("rank") <= TOP_WORDS)) | (F.col("rank") <= TOP_GRAMS)).where(F.col("rank") <= max(TOP_WORDS, TOP_GRAMS)).where("size > 0 OR n > 1")
