@@ -10,8 +10,8 @@ fingerprints are compared at the leaves. Work is dealt out by pairs of trie pref
 fingerprints are one row before that, so neither copies nor a hot source gather in a task. A task reports a spanning forest
 of the links that it finds, which has the same components as all of them.
 
-For a similarity of shingle sets, distances up to ``sure`` are links; pairs beyond that, up to the largest distance, are links if the
-exact Jaccard similarity of their shingles is high enough. First the pairs of each task's nearest spanning forest are checked, as many as documents at
+For a similarity of shingle sets, fingerprints are those of the distinct shingles, and documents with equal sets are one node. Distances up to ``sure``
+(none in the pipeline) are links; pairs beyond that, up to the largest distance, are links if the exact Jaccard similarity of their shingles is high enough. First the pairs of each task's nearest spanning forest are checked, as many as documents at
 most; only where one of these fails, all pairs between what is still apart are.
 
 Defined results: a null text or one without words has fingerprint zero; fewer words than a shingle are one shingle; rows with
@@ -93,22 +93,45 @@ def rolling_hashes(words: tx.Words, width: int) -> tuple[np.ndarray, np.ndarray]
     return grams, np.concatenate([[0], np.cumsum(shingles)])
 
 
-def fingerprints(docs: DataFrame, width: int, bits: int = 64, xxh64: bool = True) -> DataFrame:
-    """doc_id and f0, f1, ... (64 bits each, as longs) of every document. A-Z is lower-cased."""
+def distinct(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each document in order, and where each document's begin."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    keep = np.ones(len(h), bool)
+    keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[keep], np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=len(first) - 1))])
+
+
+def set_hashes(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each document's set, from its distinct hashes."""
+    sums = [np.concatenate([np.zeros(1, U64), np.cumsum(tx.mix(h ^ U64(seed)), dtype=U64)]) for seed in (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)]
+    return sums[0][first[1:]] - sums[0][first[:-1]], sums[1][first[1:]] - sums[1][first[:-1]]
+
+
+def fingerprints(docs: DataFrame, width: int, bits: int = 64, xxh64: bool = True, sets: bool = False) -> DataFrame:
+    """doc_id and f0, f1, ... (64 bits each, as longs) of every document. A-Z is lower-cased.
+
+    With ``sets``, repeats of a shingle do not count, and s0 and s1 are hashes of the set of shingles.
+    """
     n = bits // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((batch.num_rows, n), U64)
+            out = np.zeros((batch.num_rows, n + 2 * sets), U64)
             for lo, hi, data, offsets in tx.slices(batch.column("text"), 1 << 19):
                 words = tx.words_of(tx.LOWER[data], offsets)
                 h, first = shingle_hashes(words, width) if xxh64 else rolling_hashes(words, width)
+                if sets:
+                    h, first = distinct(h, first)
+                    out[lo:hi, n], out[lo:hi, n + 1] = set_hashes(h, first)
                 wide = np.stack([h] + [tx.mix(h + U64(k * 0x9E3779B97F4A7C15 % 2**64)) for k in range(1, n)], axis=1)
-                out[lo:hi] = majority(wide, first)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(out[:, k].view(np.int64)) for k in range(n))], ["doc_id", *(f"f{k}" for k in range(n))])
+                out[lo:hi, :n] = majority(wide, first)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T)], ["doc_id", *names])
 
+    names = [f"f{k}" for k in range(n)] + ["s0", "s1"] * sets
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"f{k} long" for k in range(n)))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names))
 
 
 def trie_pairs(a: np.ndarray, b: np.ndarray | None, bits: int, budget: int, leaf: int = 16, chunk: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -291,9 +314,10 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) ->
 
 def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 64, max_distance: int = 3, bands: int = 1, xxh64: bool = True, budget: int | None = None, sure: int | None = None, similarity: float | None = None) -> DataFrame:
     """doc_id, f0, f1, ... and component_id (the smallest doc_id reachable over links) of every document."""
-    prints = materialize(fingerprints(docs, width, bits, xxh64))
-    names = [c for c in prints.columns if c != "doc_id"]
-    groups = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("node")))
+    prints = materialize(fingerprints(docs, width, bits, xxh64, similarity is not None))
+    names = [c for c in prints.columns if c.startswith("f")]
+    keys = [c for c in prints.columns if c != "doc_id"]
+    groups = materialize(prints.groupBy(*keys).agg(F.min("doc_id").alias("node")))
     found = links(groups.where("node is not null"), bits, max_distance, bands, budget, sure)
     if similarity is not None:
         found = materialize(found.distinct())
@@ -316,13 +340,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 64, max_distanc
             certain = certain.unionAll(similar(materialize(rest), docs, width, similarity))
         found = certain
     found = components(found.select("u", "v"))
-    groups = groups.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(groups, names).select("doc_id", *names, "component_id")
+    groups = groups.join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(groups, keys).select("doc_id", *names, "component_id")
 
 
 #: Shingle sets of Jaccard 0.8 differ in 37 of 256 bits on average and, but for 1 in 100 pairs, in at most 50. Up to 47 bits every pair is found, as
-#: one of 8 bands then differs in 5 bits at most; of pairs that differ in 50, 98 in 100. Up to 30 bits the similarity is over 0.8 without a check.
-SIMILAR = {"width": 5, "bits": 256, "max_distance": 50, "bands": 8, "budget": 5, "sure": 30, "similarity": 0.8, "xxh64": False}
+#: one of 8 bands then differs in 5 bits at most; of pairs that differ in 50, 98 in 100. No distance is a link without a check.
+SIMILAR = {"width": 5, "bits": 256, "max_distance": 50, "bands": 8, "budget": 5, "sure": -1, "similarity": 0.8, "xxh64": False}
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -170,3 +170,13 @@ def test_pairs_beside_a_failed_one_are_checked(spark):
     for _ in range(8):
         want = [min(want[j] for j in range(len(texts)) if alike(sets[i], sets[j])) for i in range(len(texts))]
     assert got == dict(enumerate(want))
+
+
+def test_a_repeated_line_does_not_join_documents(spark):
+    rng = random.Random(2)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line = words(11)
+    texts = [" ".join(line * repeats + words(n)) for n in (60, 100, 200) for repeats in (20, 50) for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, **simhash.SIMILAR).collect()}
+    assert got == {i: i for i in range(len(texts))}
