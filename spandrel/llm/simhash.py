@@ -10,9 +10,7 @@ fingerprints are compared at the leaves. Work is dealt out by pairs of trie pref
 fingerprints are one row before that, so neither copies nor a hot source gather in a task. A task reports a spanning forest
 of the links that it finds, which has the same components as all of them.
 
-For a similarity of shingle sets, fingerprints are those of the distinct shingles, and documents with equal sets are one node. Distances up to ``sure``
-(none in the pipeline) are links; pairs beyond that, up to the largest distance, are links if the exact Jaccard similarity of their shingles is high enough. First the pairs of each task's nearest spanning forest are checked, as many as documents at
-most; only where one of these fails, all pairs between what is still apart are.
+A similarity of shingle sets needs no fingerprints: see ``similar_sets``.
 
 Defined results: a null text or one without words has fingerprint zero; fewer words than a shingle are one shingle; rows with
 equal doc_id are separate rows of one component; null doc_ids get a component through other members of their group,
@@ -39,8 +37,6 @@ U64 = np.uint64
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(U64).ravel()
 #: Distinct fingerprints that one side of a trie task should hold, and bits of prefix at most.
 TASK_ROWS, MAX_PREFIX = 250_000, 8
-#: Doubtful pairs that a task holds before it reduces them to the nearest tree.
-WAITING = 2_000_000
 
 
 def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -109,27 +105,21 @@ def set_hashes(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return sums[0][first[1:]] - sums[0][first[:-1]], sums[1][first[1:]] - sums[1][first[:-1]]
 
 
-def fingerprints(docs: DataFrame, width: int, bits: int = 64, xxh64: bool = True, sets: bool = False) -> DataFrame:
-    """doc_id and f0, f1, ... (64 bits each, as longs) of every document. A-Z is lower-cased.
-
-    With ``sets``, repeats of a shingle do not count, and s0 and s1 are hashes of the set of shingles.
-    """
+def fingerprints(docs: DataFrame, width: int, bits: int = 64, xxh64: bool = True) -> DataFrame:
+    """doc_id and f0, f1, ... (64 bits each, as longs) of every document. A-Z is lower-cased."""
     n = bits // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((batch.num_rows, n + 2 * sets), U64)
+            out = np.zeros((batch.num_rows, n), U64)
             for lo, hi, data, offsets in tx.slices(batch.column("text"), 1 << 19):
                 words = tx.words_of(tx.LOWER[data], offsets)
                 h, first = shingle_hashes(words, width) if xxh64 else rolling_hashes(words, width)
-                if sets:
-                    h, first = distinct(h, first)
-                    out[lo:hi, n], out[lo:hi, n + 1] = set_hashes(h, first)
                 wide = np.stack([h] + [tx.mix(h + U64(k * 0x9E3779B97F4A7C15 % 2**64)) for k in range(1, n)], axis=1)
-                out[lo:hi, :n] = majority(wide, first)
+                out[lo:hi] = majority(wide, first)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T)], ["doc_id", *names])
 
-    names = [f"f{k}" for k in range(n)] + ["s0", "s1"] * sets
+    names = [f"f{k}" for k in range(n)]
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names))
 
@@ -232,16 +222,11 @@ def nearest_tree(forest: Forest, pairs: np.ndarray) -> np.ndarray:
     return np.concatenate(kept) if kept else np.empty((0, 3), np.int64)
 
 
-def links(prints: DataFrame, bits: int, max_distance: int, bands: int = 1, budget: int | None = None, sure: int | None = None, spanning: bool = True) -> DataFrame:
-    """u, v and sure of links between the rows (node, f0, f1, ...) of different fingerprints.
-
-    Sure ones (all up to ``sure`` bits, by default max_distance) are spanning forests. Others are, of the pairs found, those that join the trees of their task's
-    forest at the least distances; without ``spanning``, all whose ends differ in the column ``component`` of ``prints``.
-    """
+def links(prints: DataFrame, bits: int, max_distance: int, bands: int = 1, budget: int | None = None) -> DataFrame:
+    """u and v of links between the rows (node, f0, f1, ...) of different fingerprints: spanning forests of each task's."""
     names = [c for c in prints.columns if c.startswith("f")]
     width = bits // bands
     budget = (max_distance + 1 + bands - 1) // bands - 1 if budget is None else budget
-    sure = max_distance if sure is None else sure
     n = prints.count()
     prefix = min(MAX_PREFIX, max(3 if bands == 1 else 2, int(np.ceil(np.log2(max(1, n) / TASK_ROWS)))))
     spark = prints.sparkSession
@@ -253,7 +238,7 @@ def links(prints: DataFrame, bits: int, max_distance: int, bands: int = 1, budge
     def band(k: int) -> DataFrame:
         value = F.shiftrightunsigned(F.col(names[k // per_word]), width * (k % per_word))
         at = F.shiftrightunsigned(value, width - prefix).bitwiseAND(F.lit((1 << prefix) - 1)).cast("int")
-        return prints.select(F.lit(k).alias("band"), at.alias("prefix"), "node", *([] if spanning else ["component"]), *names)
+        return prints.select(F.lit(k).alias("band"), at.alias("prefix"), "node", *names)
 
     dealt = reduce(DataFrame.unionAll, [band(k) for k in range(bands)]).join(units, "prefix")
 
@@ -266,28 +251,17 @@ def links(prints: DataFrame, bits: int, max_distance: int, bands: int = 1, budge
         order = np.argsort(value, kind="stable")
         value, words, node = value[order], words[order], table.column("node").to_numpy()[order]
         cut = len(value) if low == high else int(np.searchsorted(value >> U64(width - prefix), U64(high)))
-        component = None if spanning else table.column("component").to_numpy()[order]
-        forest, doubtful, waiting = Forest(len(value)), [np.empty((0, 3), np.int64)], 0
+        forest = Forest(len(value))
         for i, j in trie_pairs(value[:cut], None if low == high else value[cut:], width, budget):
             j = j + (0 if low == high else cut)
             if len(names) > 1:
                 apart = sum(np.bitwise_count(words[i, w] ^ words[j, w]).astype(np.int32) for w in range(len(names)))
-                maybe = (apart > sure) & (apart <= max_distance)
-                maybe &= forest.root[i] != forest.root[j] if spanning else component[i] != component[j]
-                if maybe.any():
-                    doubtful.append(np.stack([i[maybe], j[maybe], apart[maybe]], axis=1).astype(np.int64))
-                    waiting += len(doubtful[-1])
-                i, j = i[apart <= sure], j[apart <= sure]
+                i, j = i[apart <= max_distance], j[apart <= max_distance]
             forest.add(i, j)
-            if spanning and waiting > WAITING:
-                # The nearest tree of all pairs lies in those of its parts, so memory stays bounded.
-                doubtful, waiting = [nearest_tree(forest, np.concatenate(doubtful))], 0
-        found, more = np.array(forest.links, np.int64).reshape(-1, 2), np.concatenate(doubtful)
-        more = nearest_tree(forest, more) if spanning else more
-        both = np.concatenate([found, more[:, :2]])
-        return pa.table({"u": node[both[:, 0]], "v": node[both[:, 1]], "sure": np.arange(len(both)) < len(found)})
+        found = np.array(forest.links, np.int64).reshape(-1, 2)
+        return pa.table({"u": node[found[:, 0]], "v": node[found[:, 1]]})
 
-    return dealt.groupBy("band", "low", "high").applyInArrow(run, "u long, v long, sure boolean")
+    return dealt.groupBy("band", "low", "high").applyInArrow(run, "u long, v long")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -312,41 +286,24 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) ->
     return both.select("u", "v", shared.alias("n"), (F.size("a") + F.size("b") - shared).alias("of")).where(F.col("n") >= similarity * F.col("of")).select("u", "v").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 64, max_distance: int = 3, bands: int = 1, xxh64: bool = True, budget: int | None = None, sure: int | None = None, similarity: float | None = None) -> DataFrame:
-    """doc_id, f0, f1, ... and component_id (the smallest doc_id reachable over links) of every document."""
-    prints = materialize(fingerprints(docs, width, bits, xxh64, similarity is not None))
-    names = [c for c in prints.columns if c.startswith("f")]
-    keys = [c for c in prints.columns if c != "doc_id"]
-    groups = materialize(prints.groupBy(*keys).agg(F.min("doc_id").alias("node")))
-    found = links(groups.where("node is not null"), bits, max_distance, bands, budget, sure)
+def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 64, max_distance: int = 3, bands: int = 1, xxh64: bool = True, budget: int | None = None, similarity: float | None = None) -> DataFrame:
+    """doc_id, f0, f1, ... and component_id (the smallest doc_id reachable over links) of every document.
+
+    With ``similarity``, links are the pairs of that Jaccard similarity, and f0 and f1 are hashes of the shingle set.
+    """
     if similarity is not None:
-        found = materialize(found.distinct())
-        certain = found.where("sure").select("u", "v")
-        known = components(certain)
-        doubtful = found.where("not sure").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        for c in ("u", "v"):
-            doubtful = doubtful.join(known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
-        apart = materialize(doubtful.where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v"))
-        alike = materialize(similar(apart, docs, width, similarity))
-        failed = apart.join(alike, ["u", "v"], "left_anti")
-        certain = certain.unionAll(alike)
-        if not failed.isEmpty():
-            # Pairs that a tree left out can matter only where one of its own pairs has failed. There all pairs between components are checked.
-            trees, known = components(found.select("u", "v")), components(certain)
-            open_trees = failed.join(trees.select(F.col("node").alias("u"), "component"), "u").select("component").distinct()
-            open_nodes = trees.join(open_trees, "component", "left_semi").select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-            rest = links(materialize(groups.join(open_nodes, "node").select("node", "component", *names)), bits, max_distance, bands, budget, sure, spanning=False)
-            rest = rest.where("not sure").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(failed, ["u", "v"], "left_anti")
-            certain = certain.unionAll(similar(materialize(rest), docs, width, similarity))
-        found = certain
-    found = components(found.select("u", "v"))
-    groups = groups.join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(groups, keys).select("doc_id", *names, "component_id")
-
-
-#: Shingle sets of Jaccard 0.8 differ in 37 of 256 bits on average and, but for 1 in 100 pairs, in at most 50. Up to 47 bits every pair is found, as
-#: one of 8 bands then differs in 5 bits at most; of pairs that differ in 50, 98 in 100. No distance is a link without a check.
-SIMILAR = {"width": 5, "bits": 256, "max_distance": 50, "bands": 8, "budget": 5, "sure": -1, "similarity": 0.8, "xxh64": False}
+        from spandrel.llm import similar_sets
+
+        return similar_sets.groups(docs, width, similarity)
+    prints = materialize(fingerprints(docs, width, bits, xxh64))
+    names = [c for c in prints.columns if c != "doc_id"]
+    groups = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("node")))
+    found = components(links(groups.where("node is not null"), bits, max_distance, bands, budget).select("u", "v"))
+    groups = groups.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(groups, names).select("doc_id", *names, "component_id")
+
+
+SIMILAR = {"width": 5, "similarity": 0.8}
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -180,3 +180,30 @@ def test_a_repeated_line_does_not_join_documents(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, **simhash.SIMILAR).collect()}
     assert got == {i: i for i in range(len(texts))}
+
+
+def test_pairs_of_just_the_similarity_and_repeats_are_found(spark):
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(30):  # 5 shingles and 4 of them: 0.8
+        base = words(9)
+        texts += [base, base[:8]]
+    for repeats in (10, 30):  # a line once and many times
+        base, line = words(200), words(11)
+        texts += [line + base, line * repeats + base]
+    for _ in range(10):  # one changed block of 1,000 words: 0.8 and just below
+        base = words(1004)
+        texts += [base, base[:400] + words(107) + base[507:]]
+        base = words(1004)
+        texts += [base, base[:400] + words(108) + base[508:]]
+    line = words(40)  # one line that all of these share
+    texts += [line + words(6) for _ in range(30)] + [line + words(14) for _ in range(30)]
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, **simhash.SIMILAR).collect()}
+    sets = [shingles(t) for t in texts]
+    want = list(range(len(texts)))
+    for _ in range(4):
+        want = [min(want[j] for j in range(len(texts)) if alike(sets[i], sets[j])) for i in range(len(texts))]
+    assert got == dict(enumerate(want)) and len(set(want)) < len(want) - 40
