@@ -1,23 +1,34 @@
 """Benchmark decontamination by spaced seeds, with built-in functions only.
 
-A mask fixes which of ``SPAN`` consecutive words are hashed; the others may differ. Seeds of the benchmark are joined to those
-of the documents; around each hit the two texts are laid side by side, and the pair overlaps if some window of ``WINDOW`` aligned
+A mask fixes which of some consecutive words are hashed; the others may differ. Each length of item has masks such that every alignment that
+agrees in enough words shares a seed. Seeds of the benchmark are joined to those of the documents; around each hit the two texts are laid side by side, and the pair overlaps if some window of ``WINDOW`` aligned
 words (or the whole item, if shorter) agrees in at least ``AGREE`` of its words. Letters are compared in lower case.
 
 Seeds of the benchmark are broadcast while they are few; beyond ``MAX_BROADCAST`` rows both sides are shuffled by hash. Texts never go
 through the seed join: only ids, positions and hashes do, and texts meet the few verified candidates afterwards.
 
-Defined results: a null or short text is clean; an item of fewer than ``SPAN`` words has no seed and is never found; rows of equal
+Defined results: a null or short text is clean; an item of fewer than ``SPAN`` words is found with ``short`` only (the pipeline); rows of equal
 doc_id share a verdict; a null doc_id is not judged (clean); repeated items count once each item_id; of equal overlaps the smallest item_id is
 reported; empty tables give clean documents or an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASKS = ((0, 1, 3, 5, 6), (0, 2, 3, 4, 6))
+#: Least and greatest words of an item, and its masks; a longer item has those of ``WINDOW`` words.
+MASKS = (
+    (13, 13, ((0, 1, 2, 4, 5), (0, 1, 6, 8, 9), (0, 2, 4, 9, 11))),
+    (7, 12, ((0, 1, 2, 4), (0, 3, 4, 5), (0, 1, 3, 6))),
+    (5, 6, ((0, 1, 2), (0, 3, 4))),
+    (4, 4, ((0, 1, 2), (0, 1, 3), (0, 2, 3))),
+    (3, 3, ((0, 1, 2),)),
+    (2, 2, ((0, 1),)),
+    (1, 1, ((0,),)),
+)
 SPAN = 7
 WINDOW, AGREE = 13, 0.75
 #: Rows of 24 bytes that may be broadcast.
@@ -29,27 +40,33 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(words: Column) -> Column:
-    """Per mask, a hash at each position; those of the first mask, then those of the second."""
-    starts = F.sequence(F.lit(0), F.size(words) - SPAN)
-    of = lambda k, mask: F.transform(starts, lambda i: F.xxhash64(F.lit(k), *(F.get(words, i + o) for o in mask)))
-    return F.when(F.size(words) >= SPAN, F.concat(*(of(k, m) for k, m in enumerate(MASKS))))
+def seeds(words: Column, classes: list[int]) -> Column:
+    """For each mask of ``classes`` (places in MASKS), a hash at each position, null where the mask goes beyond the end."""
+    n = F.size(words)
+    of = lambda c, k, mask: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i + mask[-1] < n, F.xxhash64(F.lit(10 * c + k), *(F.get(words, i + o) for o in mask))))
+    return F.when(n > 0, F.concat(*(of(c, k, m) for c in classes for k, m in enumerate(MASKS[c][2]))))
 
 
-def seed_rows(table: DataFrame, key: str) -> DataFrame:
+def seed_rows(table: DataFrame, key: str, classes: list[int]) -> DataFrame:
     """key, at (position of the seed's first word) and seed of every text in ``table`` (key, words)."""
-    rows = table.select(key, F.size("words").alias("n"), F.posexplode(seeds(F.col("words"))).alias("at", "seed"))
-    return rows.select(key, F.pmod("at", F.col("n") - (SPAN - 1)).alias("at"), "seed")
+    rows = table.select(key, F.size("words").alias("n"), F.posexplode(seeds(F.col("words"), classes)).alias("at", "seed")).where("seed is not null")
+    return rows.select(key, F.pmod("at", "n").alias("at"), "seed")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST, short: bool = False) -> DataFrame:
     """doc_id, item_id and agreeing (the most words that agree in a window) of each overlapping pair, once for each alignment."""
-    # Items too short for a seed are left out, so that few seeds mean few items and few words.
-    items = benchmark.where("item_id is not null").select("item_id", word_hashes(F.col("text")).alias("item_words")).where(F.size("item_words") >= SPAN)
+    # Items without words are left out, so that few seeds mean few items and few words.
+    items = benchmark.where("item_id is not null").select("item_id", word_hashes(F.col("text")).alias("item_words")).where(F.size("item_words") >= (1 if short else SPAN))
     texts = docs.where("doc_id is not null").select("doc_id", word_hashes(F.col("text")).alias("words"))
-    item_seeds = seed_rows(items.withColumnRenamed("item_words", "words"), "item_id").select("item_id", F.col("at").alias("item_at"), "seed").distinct()
+    length = F.least(F.size("words"), F.lit(WINDOW))
+    by_words = items.withColumnRenamed("item_words", "words")
+    met = {n for (n,) in by_words.select(length).distinct().collect()}
+    # Documents get the seeds of the lengths that the benchmark has.
+    classes = [c for c, (least, most, _) in enumerate(MASKS) if any(least <= n <= most for n in met)] or [0]
+    of_class = lambda c: seed_rows(by_words.where(length.between(*MASKS[c][:2])), "item_id", [c])
+    item_seeds = reduce(DataFrame.unionAll, map(of_class, classes)).select("item_id", F.col("at").alias("item_at"), "seed").distinct()
     small = item_seeds.count() <= max_broadcast
-    hits = seed_rows(texts, "doc_id").join(F.broadcast(item_seeds) if small else item_seeds, "seed")
+    hits = seed_rows(texts, "doc_id", classes).join(F.broadcast(item_seeds) if small else item_seeds, "seed")
     aligned = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     # Few documents have hits; their texts are read again and hashed anew.
     pairs = aligned.join(items if not small else F.broadcast(items), "item_id").join(texts, "doc_id")
@@ -67,9 +84,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADC
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "best_item", F.col("agreeing").cast("long").alias("agreeing"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, short: bool = False) -> DataFrame:
     """The documents without an overlap, all columns."""
-    return docs.join(overlaps(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(overlaps(docs, benchmark, short=short).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 SQL = r"""

@@ -1,3 +1,7 @@
+import itertools
+import math
+import random
+
 import pandas as pd
 from helpers import DATA, same, sql_rows
 
@@ -44,3 +48,33 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert dc.judge(none[0], spark.createDataFrame(items, ITEMS)).count() == 0
     assert not dc.judge(spark.createDataFrame(docs, DOCS), none[1]).where("contaminated").count()
+
+
+def test_every_alignment_that_agrees_has_a_seed():
+    for n in range(1, dc.WINDOW + 1):
+        masks = next(m for least, most, m in dc.MASKS if least <= n <= most)
+        placed = [{i + o for o in m} for m in masks for i in range(n - m[-1])]
+        for other in itertools.combinations(range(n), n - math.ceil(n * dc.AGREE)):
+            assert any(p.isdisjoint(other) for p in placed), (n, other)
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(6)
+    items = [[f"i{k}w{i}" for i in range(n)] for k, n in enumerate([13, 13, 15, 20, 8, 7, 10, 12, 6, 5, 4, 3, 1])]
+    texts = []
+    for k, item in enumerate(items):
+        n = min(13, len(item))
+        patterns = [p for s in range(n - math.ceil(n * dc.AGREE), n - math.ceil(n * dc.AGREE) + 2) for p in itertools.combinations(range(n), s)]
+        for p in [(5, 6), (6, 7)] * (n == 13) + rng.sample(patterns, min(40, len(patterns))):
+            at = rng.randrange(len(item) - n + 1)
+            texts.append([f"a{i}" for i in range(9)] + [f"x{i}" if i in p else w for i, w in enumerate(item[at : at + n])] + [f"b{i}" for i in range(9)])
+
+    def leaks(w, x):
+        n = min(13, len(x))
+        return any(sum(a == b for a, b in zip(w[i : i + n], x[j : j + n], strict=True)) >= math.ceil(n * dc.AGREE) for i in range(len(w) - n + 1) for j in range(len(x) - n + 1))
+
+    docs = spark.createDataFrame([(i, " ".join(t), 7) for i, t in enumerate(texts)], DOCS)
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], ITEMS)
+    for short in (False, True):
+        kept = {r.doc_id for r in dc.clean(docs, benchmark, short).collect()}
+        assert kept == {i for i, t in enumerate(texts) if not any(leaks(t, x) for x in items if short or len(x) >= dc.SPAN)}
