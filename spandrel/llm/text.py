@@ -12,6 +12,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -32,7 +33,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-BYTE_VALUE = mix((np.arange(256, dtype=U64) + U64(1)) * U64(BASE))
+#: Masks of the first 0 to 8 bytes.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Bytes of a word beyond which it is hashed on its own.
+LONG_WORD = 256
 
 
 #: Tables of powers are kept up to this length, which slices of a megabyte need; a longer text has its own while it is read.
@@ -91,12 +95,20 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        up, down = powers(n + 1)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(BYTE_VALUE[self.data] * up[:n], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start] if len(self) else np.empty(0, U64))
+        """A 64-bit hash of each word's bytes: its length, then eight bytes at a time, go through the finaliser. Very long words get XXH64."""
+        size = self.end - self.start
+        h = mix((size.astype(U64) + U64(1)) * U64(BASE))
+        raw = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))  # the eight bytes from each place on
+        at, k = np.flatnonzero(size <= LONG_WORD), 0
+        while len(at):
+            left = size[at] - k
+            part = eight[self.start[at] + k] & FIRST_BYTES[np.minimum(left, 8)]
+            h[at] = mix((h[at] ^ part) * U64(BASE) + U64(k + 1))
+            at, k = at[left > 8], k + 8
+        for i in np.flatnonzero(size > LONG_WORD):
+            h[i] = xxhash.xxh64_intdigest(self.data[self.start[i] : self.end[i]].tobytes(), 42)
+        return h
 
     def windows(self, values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the windows of ``width`` words that lie in one document, and the index of each one's first word."""
