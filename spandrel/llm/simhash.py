@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from spandrel.llm import text as tx
 from spandrel.llm.components import components
+from spandrel.llm.hot_keys import joined_back
 from spandrel.llm.lineage import materialize, small_batches
 
 U64 = np.uint64
@@ -57,6 +58,11 @@ def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def widened(h: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes of ``bits`` bits from those of 64."""
+    return np.stack([h] + [tx.mix(h + U64(k * 0x9E3779B97F4A7C15 % 2**64)) for k in range(1, bits // 64)], axis=1)
+
+
 def shingle_hashes(words: tx.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 (seed 42) of the space-joined shingles, and where each document's begin. Fewer words than ``width`` are one shingle."""
     counts = words.counts
@@ -115,8 +121,7 @@ def fingerprints(docs: DataFrame, width: int, bits: int = 64, xxh64: bool = True
             for lo, hi, data, offsets in tx.slices(batch.column("text"), 1 << 19):
                 words = tx.words_of(tx.LOWER[data], offsets)
                 h, first = shingle_hashes(words, width) if xxh64 else rolling_hashes(words, width)
-                wide = np.stack([h] + [tx.mix(h + U64(k * 0x9E3779B97F4A7C15 % 2**64)) for k in range(1, n)], axis=1)
-                out[lo:hi] = majority(wide, first)
+                out[lo:hi] = majority(widened(h, bits), first)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T)], ["doc_id", *names])
 
     names = [f"f{k}" for k in range(n)]
@@ -124,25 +129,30 @@ def fingerprints(docs: DataFrame, width: int, bits: int = 64, xxh64: bool = True
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names))
 
 
-def trie_pairs(a: np.ndarray, b: np.ndarray | None, bits: int, budget: int, leaf: int = 16, chunk: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(a: np.ndarray, b: np.ndarray | None, bits: int, budget: int, leaf: int = 16, chunk: int = 1 << 17, roots: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i into a, j into b) of sorted values that differ in at most ``budget`` of their low ``bits`` bits; without b, pairs i < j of a.
 
+    Values are 64-bit words, or rows of such words, the first one on top. ``roots`` (begins and ends) are parts of ``a`` that are sorted and joined each with itself alone.
     Node pairs wait on a stack in chunks, so memory stays bounded however many there are.
     """
     own = b is None
-    b = a if own else b
-    if not len(a) or not len(b):
+    if not len(a) or not own and not len(b):
         return
+    a = a.reshape(len(a), -1)
+    b = a if own else b.reshape(len(b), -1)
     ranks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def zeros(level: int) -> tuple[np.ndarray, np.ndarray]:
         if level not in ranks:
-            rank = lambda x: np.concatenate([[0], np.cumsum((x >> U64(bits - 1 - level)) & U64(1) == 0)])
+            word, shift = a.shape[1] - 1 - (bits - 1 - level) // 64, U64((bits - 1 - level) % 64)
+            rank = lambda x: np.concatenate([[0], np.cumsum((x[:, word] >> shift) & U64(1) == 0)])
             ranks[level] = (z := rank(a), z if own else rank(b))
         return ranks[level]
 
     one = np.array([0])
-    stack = [(0, one, one + len(a), one, one + len(b), one)]
+    a0, a1 = roots or (one, one + len(a))
+    b0, b1 = (a0, a1) if own else (one, one + len(b))
+    stack = [(0, a0, a1, b0, b1, np.zeros(len(a0), np.int64))]
     while stack:
         level, a0, a1, b0, b1, d = stack.pop()
         if len(d) > chunk:
@@ -151,22 +161,14 @@ def trie_pairs(a: np.ndarray, b: np.ndarray | None, bits: int, budget: int, leaf
         done = ((a1 - a0) * (b1 - b0) <= leaf) | (level == bits)
         if done.any():
             p0, p1, q0, q1 = (x[done] for x in (a0, a1, b0, b1))
-            ends = np.cumsum((p1 - p0) * (q1 - q0))
-            lo = 0
-            while lo < len(ends):  # pieces of about a million pairs
-                base = ends[lo - 1] if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(ends, base + (1 << 20), "right")))
-                width = q1[lo:hi] - q0[lo:hi]
-                n = (p1[lo:hi] - p0[lo:hi]) * width
-                node = np.repeat(np.arange(hi - lo), n)
-                k = np.arange(len(node)) - np.repeat(np.cumsum(n) - n, n)
-                i, j = p0[lo:hi][node] + k // width[node], q0[lo:hi][node] + k % width[node]
-                near = np.bitwise_count(a[i] ^ b[j]) <= budget
+            for node, k in pieces((p1 - p0) * (q1 - q0)):
+                width = (q1 - q0)[node]
+                i, j = p0[node] + k // width, q0[node] + k % width
+                near = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= budget
                 if own:
                     near &= i < j
                 if near.any():
                     yield i[near], j[near]
-                lo = hi
             a0, a1, b0, b1, d = (x[~done] for x in (a0, a1, b0, b1, d))
         if not len(d):
             continue
@@ -182,6 +184,15 @@ def trie_pairs(a: np.ndarray, b: np.ndarray | None, bits: int, budget: int, leaf
         stack.append((level + 1, *(np.concatenate(x) for x in zip(*kids, strict=True))))
 
 
+def pieces(counts: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of sum(counts) things: whose it is and its number there, about ``most`` at a time; a count may be larger."""
+    ends = np.cumsum(counts)
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, most):
+        k = np.arange(lo, min(lo + most, int(ends[-1])))
+        of = np.searchsorted(ends, k, "right")
+        yield of, k - (ends[of] - counts[of])
+
+
 class Forest:
     """Joins of the nodes 0 to n - 1; ``links`` are those that joined two trees."""
 
@@ -205,23 +216,6 @@ class Forest:
                 self.root = up
 
 
-def nearest_tree(forest: Forest, pairs: np.ndarray) -> np.ndarray:
-    """Those of ``pairs`` (i, j, distance) that join the trees of ``forest`` at the least distances: a minimum spanning forest, by Borůvka's rounds."""
-    root, kept = forest.root.copy(), []
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], pairs[:, 2]))]
-    while len(pairs := pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]):
-        # Pairs are in one strict order, so the first of each tree never closes a cycle.
-        ends = root[pairs[:, :2]]
-        _, first = np.unique(ends.ravel(), return_index=True)
-        took = pairs[np.unique(first // 2)]
-        kept.append(took)
-        joined = Forest(len(root))
-        joined.root = root
-        joined.add(took[:, 0], took[:, 1])
-        root = joined.root
-    return np.concatenate(kept) if kept else np.empty((0, 3), np.int64)
-
-
 def links(prints: DataFrame, bits: int, max_distance: int, bands: int = 1, budget: int | None = None) -> DataFrame:
     """u and v of links between the rows (node, f0, f1, ...) of different fingerprints: spanning forests of each task's."""
     names = [c for c in prints.columns if c.startswith("f")]
@@ -264,28 +258,6 @@ def links(prints: DataFrame, bits: int, max_distance: int, bands: int = 1, budge
     return dealt.groupBy("band", "low", "high").applyInArrow(run, "u long, v long")
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """node (the doc_id) and the distinct rolling shingle hashes of every document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in tx.slices(batch.column("text")):
-                h, first = rolling_hashes(tx.words_of(tx.LOWER[data], offsets), width)
-                sets = [np.unique(h[a:b]).view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi].cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, grams array<long>")
-
-
-def similar(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose documents have shingle sets of Jaccard ``similarity`` or more. Only texts of documents in pairs are shingled."""
-    nodes = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sets = materialize(shingle_sets(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi"), width))
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.select("u", "v", shared.alias("n"), (F.size("a") + F.size("b") - shared).alias("of")).where(F.col("n") >= similarity * F.col("of")).select("u", "v").distinct()
-
-
 def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 64, max_distance: int = 3, bands: int = 1, xxh64: bool = True, budget: int | None = None, similarity: float | None = None) -> DataFrame:
     """doc_id, f0, f1, ... and component_id (the smallest doc_id reachable over links) of every document.
 
@@ -297,10 +269,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 64, max_distanc
         return similar_sets.groups(docs, width, similarity)
     prints = materialize(fingerprints(docs, width, bits, xxh64))
     names = [c for c in prints.columns if c != "doc_id"]
-    groups = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("node")))
-    found = components(links(groups.where("node is not null"), bits, max_distance, bands, budget).select("u", "v"))
-    groups = groups.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(groups, names).select("doc_id", *names, "component_id")
+    groups = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")))
+    found = components(links(groups.drop("rows").where("node is not null"), bits, max_distance, bands, budget).select("u", "v"))
+    groups = materialize(groups.join(found, "node", "left").select(*names, "rows", F.coalesce("component", "node").alias("component_id")))
+    return joined_back(prints, groups, names).select("doc_id", *names, "component_id")
 
 
 SIMILAR = {"width": 5, "similarity": 0.8}

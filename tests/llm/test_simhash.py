@@ -132,25 +132,6 @@ def test_components_of_chains_and_cycles(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_nearest_tree_is_a_minimum_spanning_forest():
-    rng = np.random.default_rng(5)
-    for n, m in ((1, 0), (6, 9), (40, 200)):
-        pairs = np.array(sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, n, (m, 2)).tolist() if a != b}), np.int64).reshape(-1, 2)
-        pairs = np.column_stack([pairs, rng.integers(31, 50, len(pairs))])
-        forest = simhash.Forest(n)
-        if n > 4:
-            forest.add(np.array([0, 1]), np.array([2, 3]))
-        root = {i: int(r) for i, r in enumerate(forest.root)}
-        total = count = 0
-        for i, j, d in sorted(pairs.tolist(), key=lambda p: (p[2], p[0], p[1])):  # Kruskal
-            if root[i] != root[j]:
-                a, b = root[i], root[j]
-                root = {k: a if r == b else r for k, r in root.items()}
-                total, count = total + d, count + 1
-        got = simhash.nearest_tree(forest, pairs)
-        assert (len(got), got[:, 2].sum()) == (count, total)
-
-
 def test_pairs_beside_a_failed_one_are_checked(spark):
     # Stars: copies with one changed word are over 0.8 like their base and below it like each other.
     rng = np.random.default_rng(7)
