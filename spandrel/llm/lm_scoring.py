@@ -1,274 +1,106 @@
-"""LM scoring: stupid backoff over word pairs, computed from count tables.
+"""LM scoring: stupid backoff, computed relationally from count tables of n-grams.
 
-A word that follows another scores log(c(v w) / c(v)) if the pair occurs ``MIN_COUNT`` times or more, else log(0.4 c(w) / N); the first word of
-a document scores log(c(w) / N). A document's score is the sum. With s(w) = log(c(w) / N) this is
+A word after the context of the ``order`` - 1 words before it scores log(c(context word) / c(context)) if that n-gram occurs in the corpus; else 0.4 times the
+score with a context that is one word shorter; without context log(c(word) / N). A document's score is the sum. With r(g) = log(c(g) / c(context of g)) and
+r(w) = log(c(w) / N) this is, since an n-gram that occurs has a suffix that occurs,
 
-    sum of s(w) over the words + (words - 1) log 0.4 + sum over seen pairs of d(v w),   d(v w) = log(c(v w) / c(v)) - s(w) - log 0.4
+    sum over words of r(w) + sum over k = 2 .. order and over k-grams g of [log 0.4 + (d(g) if g occurs in the corpus)],   d(g) = r(g) - log 0.4 - r(suffix of g)
 
-so each order is one join of exploded n-grams with a count table partitioned by hash, summed by document.
+so all orders are one join of exploded n-grams with a table of d (r for words), which is partitioned by hash, summed by document.
 
-The ``HEAD`` most frequent words have exact numbers, other words are hashed to 32 bits. Counts of the head, and of pairs of its first ``HOT`` words,
-are added up in each task and broadcast: tables of fixed size that hold every hot n-gram, which are scored where they are read. All others are
-dealt to buckets by their hash, packed as arrays of 8 bytes an n-gram for a block of documents, and their sums return by block; a bucket gets more n-grams only through one word or pair, whose share is bounded by
-the head. Pairs that are seen but have a rare word get its count by a join with the word counts.
+The most frequent n-grams, at most ``HOT`` of them, are broadcast and scored where the text is read, so no n-gram that many documents hold goes through the join.
+The contexts and suffixes of the table itself are looked up likewise: frequent ones in a broadcast table, the rest by a join.
 
-Defined results: rows of equal doc_id (null too) are one document; a null text, or one without words, has score 0; an empty table gives an
-empty result. Words are compared by 64-bit hashes, beyond the head by 32 bits of them. Scores are rounded to 4 places.
+Defined results: rows of equal doc_id (null too) are one document; a null text, or one without words, has score 0; a word that the corpus lacks counts as
+occurring once; very long texts are read in one piece, and their words beyond the broadcast table go to the join one by one; an empty table gives an empty result; other
+columns are not read, whatever their names. N-grams are compared by 64-bit hashes. Scores are rounded to 4 places.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.llm import text as tx
 from spandrel.llm.lineage import materialize, small_batches
+from spandrel.llm.ngram_counts import counts, frequent, ngrams
 
 U64 = np.uint64
-HEAD, HOT, MIN_COUNT, BACKOFF = 65_536, 1024, 2, 0.4
-BUCKET_GRAMS = 2_000_000
+ORDER, BACKOFF = 2, 0.4
 LOG_BACKOFF = math.log(BACKOFF)
-#: Stands for a null doc_id in packed rows.
-NO_ID = -(2**63)
-
-
-@dataclass
-class Head:
-    """The ``size`` most frequent words: their hashes in order with the rank of each, counts by rank, and all words' number. Pairs of the first ``hot`` are counted as a matrix."""
-
-    hashes: np.ndarray
-    rank: np.ndarray
-    counts: np.ndarray
-    total: int
-    size: int
-    hot: int
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        """Rank of each word of the head, and for others a number from ``size`` on."""
-        out = U64(self.size) + h % U64(2**32 - self.size)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            known = self.hashes[at] == h
-            out[known] = self.rank[at[known]]
-        return out
-
-
-def pairs(words: tx.Words, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code (first word's number in the upper 32 bits) of each pair of neighbours in a document, and its document."""
-    doc = words.doc
-    at = np.flatnonzero(doc[1:] == doc[:-1])
-    return (numbers[at] << U64(32)) | numbers[at + 1], doc[at]
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (hash) and n of every word; each task adds up its own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, inverse = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-            return keys, np.bincount(inverse, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
-
-        for batch in batches:
-            for _, _, data, offsets in tx.slices(batch.column("text")):
-                found.append(np.unique(tx.words_of(data, offsets).hashes(), return_counts=True))
-                if len(found) > 16:
-                    found = [merged()]
-                    if len(found[0][0]) > 2_000_000:  # enough for one task
-                        yield from rows(found.pop())
-        if found:
-            yield from rows(merged())
-
-    def rows(counts: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(counts[0]), 65_536):
-            yield pa.RecordBatch.from_arrays([pa.array(counts[0][i : i + 65_536].view(np.int64)), pa.array(counts[1][i : i + 65_536].astype(np.int64))], ["word", "n"])
-
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def hot_pairs(docs: DataFrame, head: Head) -> np.ndarray:
-    """Counts of the pairs of the ``hot`` most frequent words, as a matrix of fixed size."""
-    shared = docs.sparkSession.sparkContext.broadcast(head)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_n = shared.value.hot
-        counts = np.zeros(hot_n * hot_n, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in tx.slices(batch.column("text")):
-                words = tx.words_of(data, offsets)
-                code, _ = pairs(words, shared.value.numbers(words.hashes()))
-                v, w = code >> U64(32), code & U64(2**32 - 1)
-                hot = (v < hot_n) & (w < hot_n)
-                counts += np.bincount((v[hot] * U64(hot_n) + w[hot]).astype(np.int64), minlength=hot_n * hot_n)
-        met = np.flatnonzero(counts)
-        for i in range(0, len(met), 65_536):
-            k = met[i : i + 65_536]
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(counts[k])], ["pair", "n"])
-
-    found = docs.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(head.hot**2)
-    out[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+#: N-grams that are broadcast to score where the text is read, and n-grams of one order that are broadcast to look up contexts: 16 bytes each.
+HOT, HEAD = 500_000, 65_536
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, head: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``table`` (unique ``key``), by a broadcast of its part ``head`` and a join for the others."""
+    return rows.join(F.broadcast(head), key).unionByName(rows.join(F.broadcast(head.select(key)), key, "left_anti").join(table, key))
+
+
+def rated(table: DataFrame, order: int, total: int, head: int) -> DataFrame:
+    """order, gram, n and d (r for words) of every n-gram in ``table``, as counts() gives it."""
+    below = materialize(table.where("order = 1").select("gram", "n", F.log(F.col("n") / F.lit(float(max(1, total)))).alias("r")))
+    out = below.select(F.lit(1).alias("order"), "gram", "n", F.col("r").alias("d"))
+    for k in range(2, order + 1):
+        top = materialize(frequent(below, head))
+        of = lambda c, value, name: (below.select(F.col("gram").alias(c), F.col(value).alias(name)), top.select(F.col("gram").alias(c), F.col(value).alias(name)))  # noqa: B023, E731
+        with_context = looked_up(table.where(F.col("order") == k).select("gram", "n", "context", "suffix"), "context", *of("context", "n", "of")).drop("context")
+        both = looked_up(with_context, "suffix", *of("suffix", "r", "shorter"))
+        below = materialize(both.select("gram", "n", F.log(F.col("n") / F.col("of")).alias("r"), "shorter"))
+        out = out.unionByName(below.select(F.lit(k).alias("order"), "gram", "n", (F.col("r") - F.lit(LOG_BACKOFF) - F.col("shorter")).alias("d")))
     return out
 
 
-def hot_scores(head: Head, counts: np.ndarray) -> np.ndarray:
-    """d of the hot pairs, 0 for those not seen."""
-    k = head.hot
-    c = np.ones(k)
-    c[: min(k, len(head.counts))] = head.counts[:k]
-    with np.errstate(divide="ignore"):
-        d = np.log(counts.reshape(k, k)) - np.log(c)[:, None] - np.log(c / max(1, head.total))[None, :] - LOG_BACKOFF
-    return np.where(counts.reshape(k, k) >= MIN_COUNT, d, 0).ravel().astype(np.float64)
-
-
-def own_sums(docs: DataFrame, head: Head, hot: np.ndarray) -> DataFrame:
-    """doc_id, n_words and the part of the score that the broadcast tables give."""
-    shared = docs.sparkSession.sparkContext.broadcast((head, hot))
+def exploded(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], order: int) -> DataFrame:
+    """doc_id, gram, word, n_words and part: a row for each n-gram outside the table ``hot`` (hashes in order and d), and a row for each document with what the table gives."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, d = shared.value
-        s = np.log(h.counts / max(1, h.total))
+        known, d = shared.value
+        # The documents' own rows meet no n-gram; their keys only spread them.
+        own = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
-            total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            ids = batch.column("doc_id")
             for lo, hi, data, offsets in tx.slices(batch.column("text")):
                 words = tx.words_of(data, offsets)
-                number, doc = h.numbers(words.hashes()), words.doc
-                known = number < h.size
-                n[lo:hi] = words.counts
-                total[lo:hi] = np.bincount(doc[known], s[number[known].astype(np.int64)], hi - lo) + np.maximum(words.counts - 1, 0) * LOG_BACKOFF
-                code, doc = pairs(words, number)
-                v, w = code >> U64(32), code & U64(2**32 - 1)
-                both = (v < h.hot) & (w < h.hot)
-                total[lo:hi] += np.bincount(doc[both], d[(v[both] * U64(h.hot) + w[both]).astype(np.int64)], hi - lo)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(total)], ["doc_id", "n_words", "score"])
-
-    return docs.mapInArrow(run, "doc_id long, n_words long, score double")
-
-
-def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """A binary array of consecutive runs of ``values``; run i ends before ends[i + 1]."""
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
-
-
-def unpacked(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a binary column, and how many each row has."""
-    values, sizes, width = [np.empty(0, kind)], [np.empty(0, np.int64)], np.dtype(kind).itemsize
-    for c in column.chunks:
-        if len(c):
-            ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
-            sizes.append(np.diff(ends) // width)
-            values.append(np.frombuffer(c.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind) if c.buffers()[2] is not None else np.empty(0, kind))
-    return np.concatenate(values), np.concatenate(sizes)
-
-
-def dealt(docs: DataFrame, head: Head, buckets: int, word_buckets: int) -> DataFrame:
-    """The n-grams outside the broadcast tables: pairs in the first buckets, words in those after them.
-
-    A row holds those of one bucket in one block (documents of about 2 MB of text): docs (ids, 8 bytes), sizes (n-grams of each, 4 bytes) and grams (8 bytes
-    each).
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(head)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, block = shared.value, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
-            for lo, _, data, offsets in tx.slices(batch.column("text"), 1 << 21):
-                words = tx.words_of(data, offsets)
-                number = h.numbers(words.hashes())
-                code, doc = pairs(words, number)
-                cold = ((code >> U64(32)) >= h.hot) | ((code & U64(2**32 - 1)) >= h.hot)
-                rare = number >= h.size
-                gram = np.concatenate([code[cold], number[rare]])
-                doc = np.concatenate([doc[cold], words.doc[rare]])
-                bucket = np.concatenate([(tx.mix(code[cold]) % U64(buckets)).astype(np.int64), buckets + (tx.mix(number[rare]) % U64(word_buckets)).astype(np.int64)])
-                order = np.lexsort((doc, bucket))
-                gram, doc, bucket = gram[order], doc[order], bucket[order]
-                runs = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-                rows = np.flatnonzero(np.diff(bucket[runs], prepend=-1) != 0)
-                of_runs, of_grams = np.append(rows, len(runs)), np.append(runs[rows], len(gram))
-                sizes = np.diff(runs, append=len(gram)).astype("<i4")
-                columns = [pa.array(bucket[runs[rows]].astype(np.int32)), pa.array(np.full(len(rows), block)), packed(ids[lo + doc[runs]].astype("<i8"), of_runs), packed(sizes, of_runs), packed(gram.astype("<u8"), of_grams)]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "docs", "sizes", "grams"])
-                block += 1
-
-    return docs.mapInArrow(run, "bucket int, block long, docs binary, sizes binary, grams binary")
-
-
-def summed(parts: DataFrame) -> DataFrame:
-    """doc_id, n_words (0) and score from the rows (block, docs, sums) of all buckets; blocks are of bounded size."""
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, inverse = np.unique(unpacked(table.column("docs"), "<i8")[0], return_inverse=True)
-        total = np.bincount(inverse, unpacked(table.column("sums"), "<f8")[0], len(ids))
-        return pa.table({"doc_id": pa.array(ids, mask=ids == NO_ID), "n_words": pa.array(np.zeros(len(ids), np.int64)), "score": pa.array(total)})
-
-    return parts.groupBy("block").applyInArrow(run, "doc_id long, n_words long, score double")
-
-
-def score(docs: DataFrame, bucket_grams: int = BUCKET_GRAMS, size: int = HEAD, hot: int = HOT) -> DataFrame:
-    """doc_id, n_words, score (natural log) and mean_score a word of every document."""
+                total = np.zeros(hi - lo)
+                for k, gram, _, _, doc in ngrams(words, order):
+                    at = np.minimum(np.searchsorted(known, gram), max(0, len(known) - 1))
+                    hit = known[at] == gram if len(known) else np.zeros(len(gram), bool)
+                    total += np.bincount(doc[hit], d[at[hit]], hi - lo) + (np.bincount(doc, minlength=hi - lo) * LOG_BACKOFF if k > 1 else 0)
+                    cold, n = gram[~hit], int((~hit).sum())
+                    for i in range(0, n, 65_536):
+                        part = cold[i : i + 65_536]
+                        zero = np.zeros(len(part))
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + doc[~hit][i : i + 65_536])), pa.array(part.view(np.int64)), pa.array(np.full(len(part), k == 1)), pa.array(zero.astype(np.int64)), pa.array(zero)], names)
+                keys = own.integers(-(2**63), 2**63, hi - lo, np.int64)
+                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(keys), pa.array([None] * (hi - lo), pa.bool_()), pa.array(words.counts), pa.array(total)], names)
+
+    names = ["doc_id", "gram", "word", "n_words", "part"]
+    return docs.mapInArrow(run, "doc_id long, gram long, word boolean, n_words long, part double")
+
+
+def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER, hot: int = HOT, head: int = HEAD) -> DataFrame:
+    """doc_id, n_words, score (natural log) and mean_score a word of every document, under the counts of ``corpus`` (by default the documents themselves)."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = materialize(word_counts(docs))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = counts.orderBy(F.col("n").desc(), "word").limit(size).toArrow()
-    hashes, n = top.column("word").to_numpy().view(U64), top.column("n").to_numpy()
-    order = np.argsort(hashes)
-    head = Head(hashes[order], order.astype(U64), n, total, size, hot)
-    hot_d = hot_scores(head, hot_pairs(docs, head))
-    buckets, word_buckets = max(1, -(-total // bucket_grams)), max(1, -(-(total - int(n.sum())) // bucket_grams))
-    shared = docs.sparkSession.sparkContext.broadcast(head)
-    grams = dealt(docs, head, buckets, word_buckets)
-
-    def rare(table: pa.Table) -> pa.Table:
-        """Pairs seen that have a word outside the head."""
-        bucket = table.column("bucket")[0].as_py()
-        found = {"bucket": pa.int32(), "pair": pa.int64(), "v": pa.int64(), "w": pa.int64(), "n": pa.int64()}
-        if bucket >= buckets:
-            return pa.table({k: pa.array([], t) for k, t in found.items()})
-        code, n = np.unique(unpacked(table.column("grams"), "<u8")[0], return_counts=True)
-        v, w = code >> U64(32), code & U64(2**32 - 1)
-        keep = (n >= MIN_COUNT) & ((v >= size) | (w >= size))
-        columns = [np.full(int(keep.sum()), bucket, np.int32), *(x[keep].astype(np.int64) if x is n else x[keep].view(np.int64) for x in (code, v, w, n))]
-        return pa.table(dict(zip(found, map(pa.array, columns), strict=True)))
-
-    seen = grams.groupBy("bucket").applyInArrow(rare, "bucket int, pair long, v long, w long, n long")
-    tail = counts.select((F.expr(f"CAST(pmod(CAST(conv(hex(word), 16, 10) AS DECIMAL(20, 0)), {2**32 - size}) AS BIGINT)") + size).alias("number"), "word", "n")
-    tail = tail.join(F.broadcast(docs.sparkSession.createDataFrame(pa.table({"word": top.column("word")}))), "word", "left_anti").groupBy("number").agg(F.sum("n").alias("c"))
-    ranks = docs.sparkSession.createDataFrame(pa.table({"number": np.arange(len(n)), "c": n}))
-    both = tail.unionAll(ranks.select("number", "c"))
-    known = seen.join(both.select(F.col("number").alias("v"), F.col("c").alias("cv")), "v").join(both.select(F.col("number").alias("w"), F.col("c").alias("cw")), "w")
-    rated = known.select("bucket", "pair", (F.log(F.col("n") / F.col("cv")) - F.log(F.col("cw") / F.lit(float(max(1, total)))) - LOG_BACKOFF).alias("d"))
-
-    def sums(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({"block": pa.array([], pa.int64()), "docs": pa.array([], pa.binary()), "sums": pa.array([], pa.binary())})
-        h, bucket = shared.value, left.column("bucket")[0].as_py()
-        code, inverse, n = np.unique(unpacked(left.column("grams"), "<u8")[0], return_inverse=True, return_counts=True)
-        if bucket >= buckets:
-            d = np.log(n / h.total)
-        else:
-            v, w = (code >> U64(32)).astype(np.int64), (code & U64(2**32 - 1)).astype(np.int64)
-            d, near = np.zeros(len(code)), (n >= MIN_COUNT) & (v < size) & (w < size)
-            d[near] = np.log(n[near] / h.counts[v[near]]) - np.log(h.counts[w[near]] / h.total) - LOG_BACKOFF
-            if right.num_rows:
-                d[np.searchsorted(code, right.column("pair").to_numpy().view(U64))] = right.column("d").to_numpy()
-        sizes, runs = unpacked(left.column("sizes"), "<i4")
-        total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), d[inverse], len(sizes))
-        return pa.table({"block": left.column("block"), "docs": left.column("docs"), "sums": packed(total, np.concatenate([[0], np.cumsum(runs)]))})
-
-    parts = summed(grams.groupBy("bucket").cogroup(rated.groupBy("bucket")).applyInArrow(sums, "block long, docs binary, sums binary"))
-    parts = own_sums(docs, head, hot_d).unionAll(parts).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
-    return parts.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round(F.col("score") / F.greatest(F.col("n_words"), F.lit(1)), 4).alias("mean_score"))
+    table = materialize(counts(docs if corpus is None else corpus, order))
+    total = table.where("order = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rates = materialize(rated(table, order, total, head))
+    top = frequent(rates, hot).select("gram", "d").toArrow()
+    known, d = top.column("gram").to_numpy().view(U64), top.column("d").to_numpy()
+    at = np.argsort(known)
+    rows = exploded(docs, (known[at], d[at]), order).join(rates.select("gram", "d"), "gram", "left")
+    unknown: Column = F.when(F.col("word"), F.lit(-math.log(max(1, total)))).otherwise(0.0)
+    value = F.col("part") + F.when(F.col("word").isNull(), F.lit(0.0)).otherwise(F.coalesce("d", unknown))
+    sums = rows.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum(value).alias("score"))
+    return sums.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round(F.col("score") / F.greatest(F.col("n_words"), F.lit(1)), 4).alias("mean_score"))
 
 
 SQL = r"""
@@ -276,7 +108,7 @@ WITH t AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesc
 p AS (SELECT doc_id, w[pos] AS w, CASE WHEN pos > 1 THEN w[pos - 1] END AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM t)),
 c1 AS MATERIALIZED (SELECT w, count(*) AS c FROM p GROUP BY w), n AS (SELECT sum(c) AS n FROM c1),
 c2 AS MATERIALIZED (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w),
-s AS (SELECT p.doc_id, CASE WHEN c2.c >= 2 THEN ln(c2.c / cv.c) ELSE ln(cw.c / n.n) + CASE WHEN p.v IS NULL THEN 0 ELSE ln(0.4) END END AS s
+s AS (SELECT p.doc_id, CASE WHEN c2.c > 0 THEN ln(c2.c / cv.c) ELSE ln(cw.c / n.n) + CASE WHEN p.v IS NULL THEN 0 ELSE ln(0.4) END END AS s
   FROM p JOIN c1 cw ON p.w = cw.w CROSS JOIN n LEFT JOIN c1 cv ON p.v = cv.w LEFT JOIN c2 ON p.v = c2.v AND p.w = c2.w),
 g AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM s GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(g.n, 0) AS BIGINT) AS n_words, round(coalesce(g.s, 0.0), 4) AS score, round(coalesce(g.s / g.n, 0.0), 4) AS mean_score
