@@ -1,15 +1,15 @@
 """Sharding by sampled splitters into shards of near-equal bytes.
 
-Records are ordered by a hash of the text (so equal texts are neighbours), then by doc_id. Keys are drawn with probability in proportion to
-size; their quantiles are splitters that cut the order into ranges; ranges that turn out overfull get more splitters of their
-own draw. Prefix sums inside the ranges and over them give each record its exact place in bytes, and so its shard and slot: shards differ from the
-mean by at most the largest record. A group of equal texts may be cut, so a hot one does not overfill a shard.
+Records are ordered by a key: a hash of the text above one of the row, so equal texts are neighbours and yet can be parted. Keys are drawn with probability in
+proportion to size; their quantiles are splitters that cut the order into ranges. Shards are runs of whole ranges: a shard ends at the splitter that is nearest to
+its share of the bytes. A range that holds such an end and is larger than ``TOLERANCE`` of a shard is overfull; it gets splitters from a draw of its own, all of
+them in one job a round, until none is. So shards differ from the mean by at most ``TOLERANCE`` of it or by one record, whichever is more.
 
-Only ids, sizes and hashes are sorted and shuffled. The driver sees the drawn keys and one row a range, whose number is one for
-``RANGE_ROWS`` records.
+Only ids, sizes and keys are sorted and shuffled. The driver sees the drawn keys and one row a range.
 
-Defined results: a null text has size 1 and checksum 0; equal rows take slots in any order; null doc_ids come first among equal texts;
-an empty table gives an empty result; with fewer records than shards some shards stay empty.
+Defined results: a null text has size 1 and checksum 0; repeated rows are records of their own and take slots in any order; a null doc_id is a record like any other; very long texts count
+by their bytes, and one that is larger than a shard fills its shard alone or with few others; an empty table gives an empty result; with fewer records than shards some
+shards stay empty; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,87 +24,105 @@ from pyspark.sql import functions as F
 from spandrel.llm.lineage import materialize
 
 SHARDS = 8
-RANGE_ROWS, LEAST_RANGES, DRAWS = 1_000_000, 32, 32
-#: Times the mean bytes of a range beyond which it is subdivided.
-OVERFULL = 2.0
+RANGE_ROWS, LEAST_RANGES, DRAWS = 1_000_000, 256, 32
+#: Share of a shard's bytes by which it may miss its end; rounds that may be needed at most.
+TOLERANCE, ROUNDS = 1 / 500, 40
+#: Bits of the key that come from the row, not the text.
+ROW_BITS = 24
 
 
 def records(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32 and key of every document."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("key"))
+    row = F.shiftrightunsigned(F.xxhash64("doc_id", F.monotonically_increasing_id()), 64 - ROW_BITS)
+    key = F.shiftleft(F.shiftright(F.xxhash64(text), ROW_BITS), ROW_BITS).bitwiseOR(row)
+    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), key.alias("key"))
 
 
-def draw(rows: DataFrame, times: float, total: int, seed: int) -> list[tuple[int, int, int]]:
-    """About ``times`` draws of (key, doc_id, how often), each record in proportion to its size."""
-    expected = F.col("size") * F.lit(times / total)
-    chance = F.pmod(F.xxhash64("key", "doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    n = F.floor(expected + chance).cast("int")
-    return [tuple(r) for r in rows.select("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), n.alias("n")).where("n > 0").collect()]
-
-
-def quantiles(drawn: list[tuple[int, int, int]], pieces: int) -> list[tuple[int, int]]:
-    """pieces - 1 splitters (key, doc_id) at equal steps of the drawn weight; equal ones are one."""
-    drawn = sorted(drawn)
-    weight = np.cumsum([n for _, _, n in drawn])
-    if not len(weight):
-        return []
-    at = np.searchsorted(weight, weight[-1] * np.arange(1, pieces) / pieces)
-    return sorted({drawn[i][:2] for i in at.tolist()})
-
-
-def ranged(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
-    """``rows`` with column part: how many splitters (key, doc_id) lie below the record's."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((np.array([k for k, _ in splitters], np.int64), np.array([d for _, d in splitters], np.int64)))
+def ranged(rows: DataFrame, splitters: np.ndarray) -> DataFrame:
+    """``rows`` with column part: how many splitters lie below the record's key."""
+    shared = rows.sparkSession.sparkContext.broadcast(splitters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = shared.value
-        many = {k: ids[keys == k] for k in np.unique(keys)}
         for batch in batches:
-            key, doc = batch.column("key").to_numpy(), batch.column("doc_id").cast(pa.int64()).fill_null(-(2**63)).to_numpy()
-            part = np.searchsorted(keys, key)
-            for i in np.flatnonzero(np.isin(key, keys)):
-                part[i] += np.searchsorted(many[key[i]], doc[i])
+            part = np.searchsorted(shared.value, batch.column("key").to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], [*batch.schema.names, "part"])
 
-    types = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
-    return rows.mapInArrow(run, f"{types}, part int")
-
-
-def shard(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE_ROWS, least: int = LEAST_RANGES) -> DataFrame:
+    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", part int")
+
+
+def drawn(rows: DataFrame, times: DataFrame, seed: int) -> list[tuple[int, int, int]]:
+    """part, key and how often of draws from ``rows`` (part, key, size): for each part in ``times`` about draws, each record in proportion to its size."""
+    expected = F.col("size") * F.col("draws") / F.col("bytes")
+    chance = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = rows.join(F.broadcast(times), "part").select("part", "key", F.floor(expected + chance).cast("int").alias("n")).where("n > 0")
+    return [tuple(r) for r in picked.collect()]
+
+
+def quantiles(keys: list[tuple[int, int]], pieces: int) -> list[int]:
+    """Up to pieces - 1 splitters at equal steps of the drawn weight (key, how often)."""
+    keys = sorted(keys)
+    weight = np.cumsum([n for _, n in keys])
+    at = np.searchsorted(weight, weight[-1] * np.arange(1, pieces) / pieces) if keys else []
+    return [keys[i][0] for i in at]
+
+
+def sizes(rows: DataFrame, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes and rows of each range, and whether it has more than one key."""
+    out = np.zeros((3, len(splitters) + 1), np.int64)
+    for p, *found in ranged(rows.select("key", "size"), splitters).groupBy("part").agg(F.sum("size"), F.count("*"), (F.min("key") < F.max("key")).cast("int")).collect():
+        out[:, p] = found
+    return out[0], out[1], out[2] > 0
+
+
+def split(rows: DataFrame, n: int, total: int, shards: int, ranges: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Splitters, the first range of each shard, and the rows of each range (``n`` in all)."""
+    spark, splitters, seed = rows.sparkSession, np.empty(0, np.int64), 0
+    wanted = {0: (ranges, total)}
+    while True:
+        seed += 1
+        if seed > ROUNDS:
+            raise RuntimeError(f"ranges are still overfull after {ROUNDS} rounds")
+        times = spark.createDataFrame([(p, float(DRAWS * pieces), b) for p, (pieces, b) in wanted.items()], "part int, draws double, bytes long")
+        found: dict[int, list[tuple[int, int]]] = {}
+        for p, key, k in drawn(ranged(rows.select("key", "size"), splitters), times, seed):
+            found.setdefault(p, []).append((key, k))
+        new = {s for p, keys in found.items() for s in quantiles(keys, wanted[p][0])}
+        # On later rounds a drawn record becomes a range of its own, which parts a very large one from its neighbours.
+        new |= {s - 1 for s in new} if seed > 1 else set()
+        splitters = np.array(sorted({*splitters.tolist(), *new} - {-(2**63) - 1}), np.int64)
+        size, count, many = sizes(rows, splitters)
+        ends = np.cumsum(size)
+        targets = total * np.arange(1, shards) / shards
+        at = np.minimum(np.searchsorted(ends, targets), len(size) - 1)
+        # The end of a shard is the nearer end of the range that holds its share.
+        begin = ends[at] - size[at]
+        first = np.where(targets - begin < ends[at] - targets, at, at + 1)
+        miss = np.minimum(targets - begin, ends[at] - targets)
+        overfull = np.unique(at[(miss > tolerance * total / shards) & many[at]])
+        if not len(overfull):
+            return splitters, np.concatenate([[0], np.maximum.accumulate(first)]), count
+        wanted = {int(p): (int(min(64, count[p], n)), int(size[p])) for p in overfull}
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE_ROWS, least: int = LEAST_RANGES, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law) of every document."""
     rows = materialize(records(docs))
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    ranges = max(least, -(-n // range_rows))
-    splitters = quantiles(draw(rows, DRAWS * ranges, total, 1), ranges) if n else []
-    for seed in (2, 3):
-        parts = ranged(rows, splitters).groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-        overfull = [(p, -(-int(b) // max(1, total // ranges))) for p, b, k in parts.collect() if b > OVERFULL * total / ranges and k > 1]
-        if not overfull:
-            break
-        found = ranged(rows, splitters)
-        for p, pieces in overfull:
-            inside = found.where(F.col("part") == p)
-            size = inside.agg(F.sum("size")).first()[0]
-            splitters = sorted({*splitters, *quantiles(draw(inside, DRAWS * pieces, size, seed), pieces)})
-    inside = Window.partitionBy("part").orderBy("key", F.col("doc_id").asc_nulls_first())
-    placed = ranged(rows, splitters).select("doc_id", "size", "text_crc32", "part", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("bytes"), F.row_number().over(inside).alias("row"))
-    placed = materialize(placed)
-    # One row a range, in order; a short driver-side prefix sum.
-    sums, before, rows_before = [], 0, 0
-    for p, size, count in sorted(tuple(r) for r in placed.groupBy("part").agg(F.max("bytes"), F.max("row")).collect()):
-        sums.append((p, before, rows_before))
-        before, rows_before = before + size, rows_before + count
-    offsets = rows.sparkSession.createDataFrame(sums, "part int, before long, rows_before long")
-    # The shard that holds the middle of the record.
-    shard_of = F.least(F.lit(shards - 1), F.expr(f"({shards} * (2 * (before + bytes) - size)) div {2 * max(1, total)}"))
-    located = placed.join(F.broadcast(offsets), "part").select("doc_id", "size", "text_crc32", shard_of.cast("int").alias("shard"), (F.col("rows_before") + F.col("row") - 1).alias("place"))
-    first = located.groupBy("shard").agg(F.min("place").alias("first"))
-    return located.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - F.col("first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write ``docs`` (unique doc_ids) under ``path``, a folder a shard, rows in slot order."""
+    result = ["doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")]
+    if not n:
+        return rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).select(*result)
+    splitters, first, count = split(rows, n, total, shards, max(least, -(-n // range_rows)), tolerance)
+    before = np.cumsum(count) - count
+    of_range = np.searchsorted(first, np.arange(len(count)), "right") - 1
+    start = [(p, int(of_range[p]), int(before[p] - before[min(first[of_range[p]], len(count) - 1)])) for p in range(len(count))]
+    offsets = rows.sparkSession.createDataFrame(start, "part int, shard int, before long")
+    inside = Window.partitionBy("part").orderBy("key", "doc_id")
+    placed = ranged(rows, splitters).withColumn("row", F.row_number().over(inside)).join(F.broadcast(offsets), "part")
+    return placed.withColumn("slot", F.col("before") + F.col("row") - 1).select(*result)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, pieces: int = 64) -> None:
+    """Write ``docs`` (unique doc_ids) under ``path``, a folder a shard, rows in slot order within and over its files, which up to ``pieces`` tasks a shard write."""
     placed = shard(docs, shards).select("doc_id", "shard", "slot")
-    docs.join(placed, "doc_id").repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    docs.join(placed, "doc_id").repartitionByRange(shards * pieces, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -41,6 +41,28 @@ def test_driver_tables_and_files(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == docs.count()
 
 
+def test_one_text_larger_than_a_shard_and_bytes_within_the_tolerance(spark):
+    check([(0, "x" * 300_000), *((i, f"y{i}") for i in range(1, 50))], [r.asDict() for r in sharding.shard(spark.createDataFrame([(0, "x" * 300_000, "k", 1), *((i, f"y{i}", "k", 1) for i in range(1, 50))], SCHEMA)).collect()])
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot text' ELSE repeat(concat('t', id), CAST(id % 7 AS INT)) END AS text", "'k' AS key", "1 AS shard")
+    size = {r.shard: r.b for r in sharding.shard(rows).groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "b").collect()}
+    mean = sum(size.values()) / 8
+    assert len(size) == 8 and all(abs(b - mean) <= 2 * sharding.TOLERANCE * mean for b in size.values())
+
+
+def test_shards_are_runs_of_keys_cut_at_splitters(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    rows = spark.createDataFrame(sharding.records(docs).collect(), "doc_id long, size long, text_crc32 long, key long")
+    n, total = rows.count(), rows.agg({"size": "sum"}).first()[0]
+    splitters, first, count = sharding.split(rows, n, total, 8, 64, sharding.TOLERANCE)
+    keys = sorted((r.key, r.size) for r in rows.collect())
+    assert list(splitters) == sorted(set(splitters)) and {int(s) for s in splitters} <= {k for k, _ in keys} | {k - 1 for k, _ in keys}
+    assert sum(count) == n and len(first) == 8
+    ends = [splitters[f - 1] for f in first[1:]]
+    bytes_of = [sum(b for k, b in keys if lo < k <= hi) for lo, hi in zip([-(2**63) - 1, *ends], [*ends, 2**63], strict=True)]
+    most = max(b for _, b in keys)
+    assert all(abs(b - total / 8) <= max(most, 2 * sharding.TOLERANCE * total / 8) for b in bytes_of)
+
+
 def test_small_and_empty_tables(spark):
     assert sharding.shard(spark.createDataFrame([], SCHEMA)).count() == 0
     check([(1, "x")], [r.asDict() for r in sharding.shard(spark.createDataFrame([(1, "x", None, None)], SCHEMA)).collect()])
