@@ -96,10 +96,9 @@ def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s0 long, s1 long, size int, least long, prefix binary, " + ", ".join(f"{k} long" for k in PRINT))
 
 
-def meetings(nodes: DataFrame) -> DataFrame:
-    """bucket, gram, node, size, place and two neighbours at this shingle (by least hash and by fingerprint) of nodes at each shingle that two or more have in their prefixes."""
-    total = nodes.agg(F.coalesce(F.sum(F.octet_length("prefix") / 8), F.lit(0))).first()[0]
-    buckets = max(1, -(-int(total) // BUCKET_ROWS))
+def meetings(nodes: DataFrame, total: int) -> DataFrame:
+    """bucket, gram, node, size, place and two neighbours at this shingle (by least hash and by fingerprint) of nodes at each shingle that two or more have in their prefixes, which hold ``total`` at most."""
+    buckets = max(1, -(-total // BUCKET_ROWS))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,21 +260,26 @@ def groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """doc_id, f0 and f1 (hashes of the shingle set) and component_id (the smallest doc_id reachable over similar pairs) of every document."""
     rows = materialize(prefixes(docs, width, similarity))
     sets = materialize(rows.groupBy("s0", "s1").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")))
-    nodes = rows.join(sets.select("s0", "s1", F.col("node").alias("doc_id")), ["s0", "s1", "doc_id"], "left_semi").withColumnRenamed("doc_id", "node").dropDuplicates(["node", "s0", "s1"])
-    nodes = materialize(nodes.drop("s0", "s1"))
-    met = materialize(meetings(nodes))
-    some = met.select("node").distinct()
-    grams = materialize(shingle_sets(docs.select("doc_id", "text").join(some.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), width).dropDuplicates(["node"]))
+    of_sets = sets.select("s0", "s1", F.col("node").alias("doc_id"))
+    one_each = lambda *columns: rows.select("doc_id", "s0", "s1", *columns).join(of_sets, ["s0", "s1", "doc_id"], "left_semi").dropDuplicates(["s0", "s1", "doc_id"]).withColumnRenamed("doc_id", "node")
+    prints = materialize(one_each("size", *PRINT).drop("s0", "s1"))
+    met = materialize(meetings(one_each("size", "least", "f0", "prefix"), rows.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8))
     chosen = [met.where(f"{c} is not null").groupBy("node", c).count().groupBy("node").agg(F.max(F.struct("count", c)).alias("best")).select(F.col("node").alias("u"), F.col(f"best.{c}").alias("v")) for c in ("near", "before")]
     tried = chosen[0].unionAll(chosen[1]).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    side = lambda c: prints.select(F.col("node").alias(c), F.struct("size", *PRINT).alias(f"of_{c}"))
+    apart = sum((F.bit_count(F.col(f"of_u.{k}").bitwiseXOR(F.col(f"of_v.{k}"))) for k in PRINT), F.lit(0))
+    sizes = F.least("of_u.size", "of_v.size") >= similarity * F.greatest("of_u.size", "of_v.size") - 1e-9
+    tried = materialize(tried.join(side("u"), "u").join(side("v"), "v").where((apart <= BUDGET) & sizes).select("u", "v"))
+    sets_of = lambda nodes: shingle_sets(docs.select("doc_id", "text").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), width)
+    grams = materialize(sets_of(tried.select(F.explode(F.array("u", "v")).alias("node")).distinct()))
     alike = materialize(checked(tried, grams, similarity))
     known = components(alike)
-    met = materialize(met.drop("near", "before").join(known, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    met = met.select("bucket", "gram", "node", "size", "place").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = met.groupBy("gram").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("gram")
-    prints = nodes.select("node", *PRINT)
-    open_cells = components(candidates(met.join(apart, "gram", "left_semi").join(prints, "node"), similarity)).withColumnRenamed("component", "cell")
-    of_node = met.select("node", "size", "component").distinct()
-    cells = materialize(open_cells.join(of_node, "node").join(prints, "node").join(grams, "node"))
+    still = materialize(met.join(apart, "gram", "left_semi"))
+    cells = components(candidates(still.join(prints.drop("size"), "node"), similarity)).withColumnRenamed("component", "cell")
+    cells = cells.join(still.select("node", "component").distinct(), "node").join(prints, "node")
+    cells = materialize(cells.join(materialize(sets_of(cells.select("node"))), "node"))
     found = components(alike.unionAll(cell_links(cells, similarity)))
     sets = materialize(sets.join(found, "node", "left").select("s0", "s1", "rows", F.coalesce("component", "node").alias("component_id")))
     return joined_back(rows.select("doc_id", "s0", "s1"), sets, ["s0", "s1"]).select("doc_id", F.col("s0").alias("f0"), F.col("s1").alias("f1"), "component_id")
