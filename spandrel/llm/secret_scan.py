@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and the entropy of sliding windows over candidate strings.
 
 Defined results: a null text is an empty one; offsets are code points, ends exclusive; overlapping spans of different fixed
-kinds all stay; an entropy span that touches a fixed one is dropped; equal spans sort by kind as in KINDS; redaction replaces the
-union of all spans; an empty table gives an empty result.
+kinds all stay; an entropy span that lies within a fixed one is dropped, one that reaches beyond it stays; equal spans sort by kind as in KINDS; redaction replaces the
+union of all spans; very long texts are searched whole; repeated rows, of equal doc_id too, are rows of their own; scan() reads no other columns, whatever their names, and redacted()
+keeps them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,43 +23,64 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Strings that look random but are no secrets: numbers, plain words, UUIDs, paths of words, placeholders.
-ALLOWED = re.compile(r"[0-9_=-]+|[A-Za-z]+|(?:[A-Za-z]+[/_+=-])+[A-Za-z]*|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|.*(?:EXAMPLE|example|XXXX|xxxx|0000|1234567|abcdefg|ABCDEFG).*")
+#: Strings that look random but are no secrets, as a whole: numbers, plain words, UUIDs, paths of words, and what consists of placeholders alone.
+ALLOWED = re.compile(
+    r"[0-9_=-]+|[A-Za-z]+|(?:[A-Za-z]+[/_+=-])+[A-Za-z]*|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+    r"|(?>EXAMPLE|example|KEY|key|X{3,}+|x{3,}+|0{3,}+|0?123456(?:7(?:8(?:90?)?)?)?|abcd[a-z]*+|ABCD[A-Z]*+|[/_+=-])++"
+)
 WINDOW = 20
 #: Bits a character that a window of WINDOW must reach, by the class of its characters.
 THRESHOLDS = {"hex": 3.0, "alphanumeric": 3.6, "base64": 3.7}
 REDACTED = "[REDACTED]"
-_N_LOG_N = [0.0, *(n * math.log2(n) for n in range(1, WINDOW + 1))]
+_N_LOG_N = [0.0, *(n * math.log2(n) for n in range(1, WINDOW + 2))]
+
+
+#: Marks of a character, one bit each, whose numbers in a window give its class.
+DIGIT, UPPER, LOWER, NOT_LOWER_HEX, NOT_UPPER_HEX, MARK = range(6)
+MARKS = {
+    c: [k for k, has in enumerate((c.isdigit(), c.isupper(), c.islower(), c not in "0123456789abcdef", c not in "0123456789ABCDEF", not c.isalnum())) if has]
+    for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+}
 
 
 def character_class(window: str) -> str | None:
     """Class of a window; None if it lacks the mixture of characters that generated keys have."""
-    digits, letters = sum("0" <= c <= "9" for c in window), {c.isupper() for c in window if c.isalpha()}
-    if not digits or not letters:
+    return class_of([sum(k in MARKS[c] for c in window) for k in range(6)])
+
+
+def class_of(marks: list[int]) -> str | None:
+    """The same from the numbers of the characters' marks."""
+    cases = (marks[UPPER] > 0) + (marks[LOWER] > 0)
+    if not marks[DIGIT] or not cases:
         return None
-    if all(c in "0123456789abcdef" for c in window) or all(c in "0123456789ABCDEF" for c in window):
+    if not marks[NOT_LOWER_HEX] or not marks[NOT_UPPER_HEX]:
         return "hex"
-    if len(letters) < 2 and digits < 3:
+    if cases < 2 and marks[DIGIT] < 3:
         return None
-    return "alphanumeric" if window.isalnum() else "base64"
+    return "base64" if marks[MARK] else "alphanumeric"
 
 
 def is_random(candidate: str, window: int = WINDOW) -> bool:
-    """Whether some window reaches its class's threshold. Counts are updated by the character that enters and the one that leaves."""
+    """Whether some window reaches its class's threshold. All counts are updated by the character that enters and the one that leaves."""
     counts: dict[str, int] = {}
+    marks = [0] * 6
     total = 0.0  # of n * log2(n) over the window's characters
     for i, c in enumerate(candidate):
         n = counts.get(c, 0)
         counts[c] = n + 1
         total += _N_LOG_N[n + 1] - _N_LOG_N[n]
+        for k in MARKS[c]:
+            marks[k] += 1
         if i >= window:
             gone = candidate[i - window]
             n = counts[gone]
             counts[gone] = n - 1
             total += _N_LOG_N[n - 1] - _N_LOG_N[n]
+            for k in MARKS[gone]:
+                marks[k] -= 1
         if i >= window - 1:
-            bits = math.log2(window) - total / window
-            if bits >= min(THRESHOLDS.values()) and (kind := character_class(candidate[i - window + 1 : i + 1])) and bits >= THRESHOLDS[kind]:
+            bits = math.log2(window) - total / window + 1e-9  # sums of steps may end just below
+            if bits >= min(THRESHOLDS.values()) and (kind := class_of(marks)) and bits >= THRESHOLDS[kind]:
                 return True
     return False
 
@@ -70,7 +92,7 @@ def find_secrets(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int,
     base += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
     more = []
     for m in CANDIDATE.finditer(text):
-        if not ALLOWED.fullmatch(m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base) and is_random(m[0]):
+        if not ALLOWED.fullmatch(m[0]) and not any(a <= m.start() and m.end() <= b for a, _, b in base) and is_random(m[0]):
             more.append((m.start(), "entropy", m.end()))
     order = lambda s: (s[0], KINDS.index(s[1]), s[2])
     return sorted(base, key=order), sorted(more, key=order)

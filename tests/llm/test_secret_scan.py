@@ -61,6 +61,35 @@ def test_incremental_entropy():
         assert ss.is_random(s) == plain(s)
 
 
+def test_spans_against_plain_windows(spark):
+    def kind(w):
+        digits, cases = sum(c.isdigit() for c in w), {c.isupper() for c in w if c.isalpha()}
+        if not digits or not cases:
+            return None
+        if not w.strip("0123456789abcdef") or not w.strip("0123456789ABCDEF"):
+            return "hex"
+        return None if len(cases) < 2 and digits < 3 else "alphanumeric" if w.isalnum() else "base64"
+
+    def spans(text):
+        found = base(text)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            windows = [m[0][i : i + 20] for i in range(len(m[0]) - 19)]
+            bits = [-sum(n / 20 * math.log2(n / 20) for n in Counter(w).values()) + 1e-9 for w in windows]
+            limit = {"hex": 3.0, "alphanumeric": 3.6, "base64": 3.7, None: 9}
+            if any(b >= limit[kind(w)] for b, w in zip(bits, windows, strict=True)) and not ss.ALLOWED.fullmatch(m[0]) and not any(a <= m.start() and m.end() <= b for a, _, b in found):
+                found.append((m.start(), 3, m.end()))
+        return ",".join(f"{ss.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+    rng = random.Random(12)
+    pools = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcXYZ019+/=_-", "aA1 "]
+    made = [f"é {rng.choice(['token=', 'AKIA', '', ''])}{''.join(rng.choices(rng.choice(pools), k=rng.randrange(5, 90)))} end" for _ in range(300)]
+    made += ["cdn/example/" + "k3J9xQ2vLm8RtY6wZb4N", "q7Xk0000Zb4NwR8tLm2VyJ6c", "ab" * 16 + "Zk3J9xQ2vLm8RtY6wZb4N", None, "x" * 30_000 + "1aZ" * 10]
+    rows = [(i, t, "s", 0) for i, t in enumerate(made)] + [(5, made[6], "s", 0), (5, made[6], "s", 0)]
+    got = sorted((r.doc_id, r.spans) for r in ss.scan(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == sorted((i, spans(t or "")) for i, t, *_ in rows)
+    assert all("entropy" in spans(t) for t in made[300:303])
+
+
 def test_allow_list_and_words():
     for t in ("550e8400-e29b-41d4-a716-446655440000", "Donaudampfschifffahrtsgesellschaftskapitaen", "path/to/some/folder/name/here", "12345678901234567890123456", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789abcdEXAMPLE", "Thisis_quite-ordinary+words=only/here"):
         assert ss.find_secrets(t) == ([], [])
