@@ -46,6 +46,17 @@ def test_against_brute_force(spark):
     same(sd.dedup(docs).drop("kept_text"), sql_rows(sd.SQL, views={"documents": pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})}))
 
 
+def test_long_words_that_differ(spark):
+    bits = [0]
+    for _ in range(10):
+        bits += [1 - b for b in bits]
+    a, b = "".join("xy"[k] for k in bits), "".join("yx"[k] for k in bits)
+    rest = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{b} {rest}"), (4, "z" * 100_000 + " " + rest), (5, f"{rest} {a} " * 400), (6, " ".join(f"u{i}" for i in range(40_000)))]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)
+    assert sorted((tuple(r) for r in sd.dedup(docs).collect()), key=str) == brute(rows, 50)
+
+
 def test_driver_tables(spark):
     same(sd.dedup(spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")).drop("kept_text"), sql_rows(sd.SQL))
 
