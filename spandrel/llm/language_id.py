@@ -4,16 +4,16 @@ Words that the model knows score by their log frequency in each language. Other
 first, and to shorter ones while none is known. A document's scores are summed over its words.
 
 The model is fitted on documents of the training folds (crc32 of the id modulo 4 is not 2) with a language, at most about ``MAX_TRAINING`` of them, by
-counts in Spark; it keeps the ``TOP_WORDS`` most frequent words and ``TOP_GRAMS`` n-grams of each length a language, so
-what is collected and broadcast has a fixed size a language.
+counts in Spark, and keeps every word and n-gram of them. What is collected and broadcast is bounded by that sample.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, and so is every text if there is nothing to learn from; ties go to
-the language that comes first by name; equal doc_ids are separate rows; a null doc_id is not held out and not learned from; an empty table gives
-an empty result.
+the language that comes first by name; equal doc_ids are separate rows; a null doc_id is not held out and not learned from; very long texts are read
+whole; other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,14 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.llm.lineage import materialize, small_batches
 
 #: Documented bound of the labelled documents that the model is fitted on.
 MAX_TRAINING = 20_000
-TOP_WORDS, TOP_GRAMS, LONGEST = 20_000, 5_000, 5
+LONGEST = 5
 #: Log probability of a known word or n-gram in a language that lacks it, below that of one occurrence.
 MISSING = -1.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -49,46 +49,46 @@ def training(docs: DataFrame, bound: int = MAX_TRAINING) -> DataFrame:
 
 @dataclass
 class Model:
-    """Languages, and for words and for n-grams of each length their log frequencies in each language."""
+    """Languages, and for words and for n-grams of each length the row of each in ``rates``, log frequencies in each language."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]
+    words: dict[str, int]
+    grams: list[dict[str, int]]
+    rates: np.ndarray
 
     def score(self, word: str) -> np.ndarray:
         found = self.words.get(word)
         if found is not None:
-            return found
+            return self.rates[found].astype(np.float64)
         marked = f"^{word}$"
         for n in range(len(self.grams), 0, -1):
             known = [g for i in range(len(marked) - n + 1) if (g := self.grams[n - 1].get(marked[i : i + n])) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.rates[known].mean(axis=0, dtype=np.float64)
         return np.zeros(len(self.langs))
 
 
-def _table(rows: list[tuple[str, str, int]], langs: list[str], totals: dict[str, int]) -> dict[str, np.ndarray]:
-    at = {lang: i for i, lang in enumerate(langs)}
-    lowest = np.array([MISSING - np.log(max(2, totals.get(lang, 0))) for lang in langs])
-    out: dict[str, np.ndarray] = {}
-    for lang, key, n in rows:
-        out.setdefault(key, lowest.copy())[at[lang]] = np.log(n / totals[lang])
-    return out
-
-
 def fit(docs: DataFrame, bound: int = MAX_TRAINING) -> Model:
-    words = materialize(training(docs, bound).select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n")).withColumn("size", F.lit(0)))
+    """Every word of the labelled documents, and every n-gram of their words, with its frequency in each language."""
+    words = materialize(training(docs, bound).select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n")))
     marked = F.concat(F.lit("^"), "key", F.lit("$"))
     grams_of = lambda k: F.when(F.length(marked) >= k, F.transform(F.sequence(F.lit(1), F.length(marked) - (k - 1)), lambda i: F.struct(F.lit(k).alias("size"), F.substr(marked, i, F.lit(k)).alias("key"))))
     grams = words.select("lang", "n", F.explode(F.flatten(F.array_compact(F.array(*(grams_of(k) for k in range(1, LONGEST + 1)))))).alias("g")).groupBy("lang", F.col("g.size").alias("size"), F.col("g.key").alias("key")).agg(F.sum("n").alias("n"))
-    counts = materialize(words.select("lang", "size", "key", "n").unionAll(grams.select("lang", "size", "key", "n")))
+    counts = materialize(words.select("lang", F.lit(0).alias("size"), "key", "n").unionAll(grams.select("lang", "size", "key", "n")))
     totals = {(lang, size): n for lang, size, n in counts.groupBy("lang", "size").agg(F.sum("n")).collect()}
-    rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.col("n").desc(), "key"))
-    top = counts.withColumn("rank", rank).where(((F.col("size") == 0) & (F.col("rank") <= TOP_WORDS)) | (F.col("rank") <= TOP_GRAMS)).where(F.col("rank") <= max(TOP_WORDS, TOP_GRAMS)).where("size > 0 OR n > 1")
-    found = top.select("lang", "size", "key", "n").toPandas()
     langs = sorted({lang for lang, _ in totals})
-    tables = [_table(list(zip(p["lang"], p["key"], p["n"], strict=True)), langs, {lang: totals.get((lang, k), 0) for lang in langs}) for k in range(LONGEST + 1) for p in [found[found["size"] == k]]]
-    return Model(langs, tables[0], tables[1:])
+    # One row a word or n-gram: log frequency where it occurs, below that of one occurrence where not.
+    lowest = F.create_map(*(F.lit(x) for (lang, size), n in totals.items() for x in (f"{size} {lang}", MISSING - math.log(max(2, n))))) if totals else F.create_map().cast("map<string,double>")
+    total_of = F.create_map(*(F.lit(x) for (lang, size), n in totals.items() for x in (f"{size} {lang}", float(n)))) if totals else lowest
+    of = lambda lang: F.concat_ws(" ", F.col("size").cast("string"), F.lit(lang))
+    rate = lambda lang: F.coalesce(F.log(F.max(F.when(F.col("lang") == lang, F.col("n"))) / F.max(F.try_element_at(total_of, of(lang)))), F.max(F.try_element_at(lowest, of(lang))), F.lit(MISSING - math.log(2))).cast("float")
+    if not langs:
+        return Model([], {}, [{} for _ in range(LONGEST)], np.zeros((0, 0), np.float32))
+    found = counts.groupBy("size", "key").agg(*(rate(lang).alias(f"r{i}") for i, lang in enumerate(langs))).toArrow()
+    tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+    for i, (size, key) in enumerate(zip(found.column("size").to_pylist(), found.column("key").to_pylist(), strict=True)):
+        tables[size][key] = i
+    return Model(langs, tables[0], tables[1:], np.stack([found.column(f"r{i}").to_numpy() for i in range(len(langs))], axis=1))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,4 +1,8 @@
+import math
+import re
 import zlib
+from collections import Counter, defaultdict
+from functools import cache
 
 from helpers import DATA
 
@@ -16,6 +20,48 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_against_plain_counts(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    rows = [r for r in docs.collect() if r.text is not None]
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    tables = [defaultdict(Counter) for _ in range(6)]  # by size, language: counts
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            for w in words(r.text):
+                tables[0][r.lang][w] += 1
+                for n in range(1, 6):
+                    tables[n][r.lang].update(f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n))
+    langs = sorted(tables[0])
+
+    def rate(size, key):
+        total = {x: sum(tables[size][x].values()) for x in langs}
+        return [math.log(tables[size][x][key] / total[x]) if tables[size][x][key] else -1 - math.log(total[x]) for x in langs]
+
+    def score(w):
+        if any(tables[0][x][w] for x in langs):
+            return rate(0, w)
+        for n in range(5, 0, -1):
+            known = [rate(n, k) for i in range(len(w) + 3 - n) if any(tables[n][x][k := f"^{w}$"[i : i + n]] for x in langs)]
+            if known:
+                return [sum(c) / len(known) for c in zip(*known, strict=True)]
+        return [0] * len(langs)
+
+    memo = {}
+    rate = cache(rate)
+    got = {r.doc_id: r for r in li.identify(docs, li.fit(docs)).collect()}
+    for r in rows[:60]:
+        found = words(r.text)
+        if not found:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        for w in set(found) - set(memo):
+            memo[w] = score(w)
+        sums = [sum(memo[w][i] for w in found) for i in range(len(langs))]
+        best = max(range(len(langs)), key=lambda i: sums[i])
+        odds = [math.exp((s - sums[best]) / math.sqrt(len(found))) for s in sums]
+        assert got[r.doc_id].lang_pred == langs[best] and abs(got[r.doc_id].score - 1 / sum(odds)) < 1e-4
+
+
 def test_odd_rows(spark):
     rows = [(i, t, lang, "s") for i, (t, lang) in enumerate([("der die das haus", "de")] * 9 + [("the of and house", "en")] * 9 + [(None, "de"), ("", None), ("12 34 ²", "de"), ("hausen", None), ("THE x", None), ("the " * 50_000, None)])] + [(None, "of", "en", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
