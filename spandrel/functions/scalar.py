@@ -133,6 +133,11 @@ def row_of(text: Column | str, index: Column) -> Column:
     return F.size(F.split(F.substr(col(text), F.lit(1), index), "\n", -1)) - 1
 
 
+def column_of(text: Column | str, index: Column) -> Column:
+    """0-based column of a 0-based character index in its line."""
+    return F.length(F.element_at(F.split(F.substr(col(text), F.lit(1), index), "\n", -1), -1))
+
+
 # Tasks and errors
 
 
@@ -196,7 +201,7 @@ def backoff_ms(attempt: Column | str) -> Column:
 def adaptive_timeout_ms(files: Column, mean_bytes: Column, large_share: Column) -> Column:
     size = F.when(files > 100, 2.5).when(files > 50, 2.0).when(files > 20, 1.5).otherwise(1.0)
     complexity = F.when((mean_bytes > 100_000) | (large_share > 0.5), 1.8).when((mean_bytes > 50_000) | (large_share > 0.3), 1.4).otherwise(1.0)
-    return F.least(F.lit(300_000), F.greatest(F.lit(30_000), F.floor(F.lit(60_000) * size * complexity))).cast("long")
+    return F.least(F.lit(300_000), F.greatest(F.lit(30_000), F.round(F.lit(60_000.0) * size * complexity))).cast("long")
 
 
 def batch_size(cpus: Column, files: Column, heap_share: Column) -> Column:

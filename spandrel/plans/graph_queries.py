@@ -93,12 +93,12 @@ def node_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH n AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) AS rn FROM events)
-SELECT e.event_id AS ref_id, n.event_id AS node_id FROM (SELECT * FROM events WHERE event_id % 10 = 0) e JOIN n ON e.event_type = n.event_type AND e.user_id = n.user_id AND n.rn = 1
+SELECT e.event_id AS ref_id, n.event_id AS node_id FROM events e JOIN n ON e.event_type = n.event_type AND e.user_id = n.user_id AND n.rn = 1
 """)
 def node_lookup_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References to (name, path) get the last node so named; every tenth event is a reference."""
+    """References to (name, path) get the last node so named; every event is a reference."""
     events = read(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("id"), F.col("event_id").alias("ordinal"))
-    refs = events.where("id % 10 = 0").select("name", "path", F.col("id").alias("ref_id"))
+    refs = events.select("name", "path", F.col("id").alias("ref_id"))
     return graph.lookup(refs, events).select("ref_id", "node_id")
 
 

@@ -148,7 +148,7 @@ def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", scalar.backoff_ms(F.col("event_id") % 7).alias("delay_ms"))
 
 
-@query("""SELECT source, CAST(least(300000, greatest(30000, floor(60000 * CASE WHEN n > 100 THEN 2.5 WHEN n > 50 THEN 2.0 WHEN n > 20 THEN 1.5 ELSE 1.0 END * CASE WHEN m > 100000 OR s > 0.5 THEN 1.8 WHEN m > 50000 OR s > 0.3 THEN 1.4 ELSE 1.0 END))) AS BIGINT) AS timeout_ms
+@query("""SELECT source, CAST(least(300000, greatest(30000, round(CAST(60000 AS DOUBLE) * CAST(CASE WHEN n > 100 THEN 2.5 WHEN n > 50 THEN 2.0 WHEN n > 20 THEN 1.5 ELSE 1.0 END AS DOUBLE) * CAST(CASE WHEN m > 100000 OR s > 0.5 THEN 1.8 WHEN m > 50000 OR s > 0.3 THEN 1.4 ELSE 1.0 END AS DOUBLE)))) AS BIGINT) AS timeout_ms
 FROM (SELECT source, count(*) AS n, avg(n_chars) AS m, avg(CASE WHEN n_chars > 2000 THEN 1.0 ELSE 0.0 END) AS s FROM documents GROUP BY source)""")
 def timeout_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.avg("n_chars").alias("m"), F.avg(F.when(F.col("n_chars") > 2000, 1.0).otherwise(0.0)).alias("s"))

@@ -126,9 +126,11 @@ def diagnostic_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", scalar.diagnostic_signature("role", F.lit(None).cast("string"), "text").alias("signature"))
 
 
-@query("SELECT doc_id, CAST(len(string_split(substr(text, 1, least(100, length(text))), chr(10))) - 1 AS INT) AS row_at FROM documents")
+@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) - 1 AS INT) AS row_at, CAST(length(string_split(text, chr(10))[-1]) AS INT) AS column_at FROM documents")
 def index_to_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", scalar.row_of("text", F.least(F.lit(100), F.length("text"))).alias("row_at"))
+    """Row and column of the end of each text."""
+    end = F.length("text")
+    return read(spark, sf_dir, "documents").select("doc_id", scalar.row_of("text", end).alias("row_at"), scalar.column_of("text", end).alias("column_at"))
 
 
 @query(f"WITH d AS (SELECT doc_id, bool_or(length(line) % 3 < 2) AS c FROM {LINES_SQL} GROUP BY doc_id) SELECT doc_id AS file, 0 AS hunk_no, CAST(doc_id % 90 + 1 AS INT) AS old_start, 1 AS old_count, CAST(doc_id % 50 + 1 AS INT) AS new_start, 3 AS new_count, c AS changed FROM d")

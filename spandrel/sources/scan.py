@@ -39,6 +39,12 @@ def is_source_path(path: Column) -> Column:
     return ~path.rlike(rf"(^|/)({names})(/|$)") & extension(path).isin([e for _, es, *_ in LANGUAGES for e in es])
 
 
+def below(path: Column, root: str) -> Column:
+    """The part of ``path`` below ``root``; skip lists and keywords look at that alone."""
+    at = F.locate(root.split("://")[-1].removeprefix("file:").rstrip("/") + "/", path)
+    return F.when(at > 0, F.substr(path, at + len(root.split("://")[-1].removeprefix("file:").rstrip("/")) + 1)).otherwise(path)
+
+
 def matches_keywords(path: Column, keywords: list[str]) -> Column:
     """Whether the path contains one of the keywords; no keywords let all pass."""
     return F.exists(F.array(*map(F.lit, keywords)), lambda k: path.contains(k)) if keywords else F.lit(True)
@@ -51,14 +57,14 @@ def source_files(spark: SparkSession, root: str, keywords: list[str] | None = No
     Paths and lengths are filtered before any content is read.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    kept = raw.where(is_source_path(F.col("path")) & matches_keywords(F.col("path"), keywords or []))
+    kept = raw.where(is_source_path(below(F.col("path"), root)) & matches_keywords(below(F.col("path"), root), keywords or []))
     text = F.when(F.col("length") <= MAX_BYTES, F.decode("content", "UTF-8"))
     return with_language(kept.select(F.lit(snapshot).alias("snapshot"), "path", "length", text.alias("text")))
 
 
 def directory_size(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    return files.where(~F.col("path").rlike(r"(^|/)\.git/")).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+    return files.where(~below(F.col("path"), root).rlike(r"(^|/)\.git/")).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
