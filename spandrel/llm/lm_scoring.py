@@ -1,18 +1,22 @@
 """LM scoring: stupid backoff, computed relationally from count tables of n-grams.
 
 A word after the context of the ``order`` - 1 words before it scores log(c(context word) / c(context)) if that n-gram occurs in the corpus; else 0.4 times the
-score with a context that is one word shorter; without context log(c(word) / N). A document's score is the sum. With r(g) = log(c(g) / c(context of g)) and
-r(w) = log(c(w) / N) this is, since an n-gram that occurs has a suffix that occurs,
+score with a context that is one word shorter; without context log(c(word) / N). A document's score is the sum.
+
+Scored under another corpus (``held_out``): with r(g) = log(c(g) / c(context of g)) and r(w) = log(c(w) / N) the score is, since an n-gram that occurs has a suffix that occurs,
 
     sum over words of r(w) + sum over k = 2 .. order and over k-grams g of [log 0.4 + (d(g) if g occurs in the corpus)],   d(g) = r(g) - log 0.4 - r(suffix of g)
 
 so all orders are one join of exploded n-grams with a table of d (r for words), which is partitioned by hash, summed by document.
 
-The most frequent n-grams, at most ``HOT`` of them, are broadcast and scored where the text is read, so no n-gram that many documents hold goes through the join.
-The contexts and suffixes of the table itself are looked up likewise: frequent ones in a broadcast table, the rest by a join.
+Scored under the documents themselves (``own_corpus``) every n-gram occurs, so nothing backs off, and the score is the sum of log c over the n-grams less that over their contexts. The exploded
+n-grams are then dealt out by hash once: each is counted and looked up in that one place; lower orders come from count tables of their own.
+
+Frequent n-grams are broadcast and scored where the text is read, so no n-gram that many documents hold goes through the join: at most ``HEAD`` of the lower orders by exact counts, at most ``HOT`` of the
+highest order, which a sample of documents names and a pass over all of them counts.
 
 Defined results: rows of equal doc_id (null too) are one document; a null text, or one without words, has score 0; a word that the corpus lacks counts as
-occurring once; very long texts are read in one piece, and their words beyond the broadcast table go to the join one by one; an empty table gives an empty result; other
+occurring once; very long texts are read in one piece, and their n-grams beyond the broadcast tables go to the join one by one; an empty table gives an empty result; other
 columns are not read, whatever their names. N-grams are compared by 64-bit hashes. Scores are rounded to 4 places.
 """
 
@@ -24,18 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spandrel.llm import text as tx
 from spandrel.llm.lineage import materialize, small_batches
-from spandrel.llm.ngram_counts import counts, frequent, ngrams
+from spandrel.llm.ngram_counts import counts, frequent, known, ngrams, plain_counts
 
 U64 = np.uint64
 ORDER, BACKOFF = 2, 0.4
 LOG_BACKOFF = math.log(BACKOFF)
-#: N-grams that are broadcast to score where the text is read, and n-grams of one order that are broadcast to look up contexts: 16 bytes each.
-HOT, HEAD = 500_000, 65_536
+#: N-grams of the highest order and of lower ones that are broadcast, 16 bytes each, and documents of the sample that names the first.
+HOT, HEAD, SAMPLE = 65_536, 262_144, 10_000
 
 
 def looked_up(rows: DataFrame, key: str, table: DataFrame, head: DataFrame) -> DataFrame:
@@ -62,7 +66,7 @@ def exploded(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], order: int) ->
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, d = shared.value
+        table, d = shared.value
         # The documents' own rows meet no n-gram; their keys only spread them.
         own = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
@@ -71,9 +75,8 @@ def exploded(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], order: int) ->
                 words = tx.words_of(data, offsets)
                 total = np.zeros(hi - lo)
                 for k, gram, _, _, doc in ngrams(words, order):
-                    at = np.minimum(np.searchsorted(known, gram), max(0, len(known) - 1))
-                    hit = known[at] == gram if len(known) else np.zeros(len(gram), bool)
-                    total += np.bincount(doc[hit], d[at[hit]], hi - lo) + (np.bincount(doc, minlength=hi - lo) * LOG_BACKOFF if k > 1 else 0)
+                    hit, at = known(table, gram)
+                    total += np.bincount(doc[hit], d[at], hi - lo) + (np.bincount(doc, minlength=hi - lo) * LOG_BACKOFF if k > 1 else 0)
                     cold, n = gram[~hit], int((~hit).sum())
                     for i in range(0, n, 65_536):
                         part = cold[i : i + 65_536]
@@ -86,20 +89,92 @@ def exploded(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], order: int) ->
     return docs.mapInArrow(run, "doc_id long, gram long, word boolean, n_words long, part double")
 
 
-def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER, hot: int = HOT, head: int = HEAD) -> DataFrame:
-    """doc_id, n_words, score (natural log) and mean_score a word of every document, under the counts of ``corpus`` (by default the documents themselves)."""
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = materialize(counts(docs if corpus is None else corpus, order))
+def sorted_arrays(table: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a small ``table`` in order, and their ``value``."""
+    found = table.select("gram", value).toArrow()
+    gram, of = found.column("gram").to_numpy().view(U64), found.column(value).to_numpy()
+    order = np.argsort(gram)
+    return gram[order], of[order]
+
+
+def held_out(docs: DataFrame, corpus: DataFrame, order: int, hot: int, head: int) -> DataFrame:
+    """doc_id, n_words and score under the counts of ``corpus``."""
+    table = materialize(counts(corpus, order))
     total = table.where("order = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rates = materialize(rated(table, order, total, head))
-    top = frequent(rates, hot).select("gram", "d").toArrow()
-    known, d = top.column("gram").to_numpy().view(U64), top.column("d").to_numpy()
-    at = np.argsort(known)
-    rows = exploded(docs, (known[at], d[at]), order).join(rates.select("gram", "d"), "gram", "left")
+    rows = exploded(docs, sorted_arrays(frequent(rates, hot), "d"), order).join(rates.select("gram", "d"), "gram", "left")
     unknown: Column = F.when(F.col("word"), F.lit(-math.log(max(1, total)))).otherwise(0.0)
     value = F.col("part") + F.when(F.col("word").isNull(), F.lit(0.0)).otherwise(F.coalesce("d", unknown))
-    sums = rows.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum(value).alias("score"))
+    return rows.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum(value).alias("score"))
+
+
+#: Weight that marks an n-gram of the highest order; n-grams of lower orders have -1, 0 or 1.
+TOP = 9
+
+
+def terms(words: tx.Words, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes, weights and documents of the n-grams whose log counts make up the scores: the highest order's, and the contexts, which the first n-gram of a document cancels."""
+    for k, gram, _, _, doc in ngrams(words, order):
+        if k == order:
+            yield gram, np.full(len(gram), TOP, np.int32), doc
+        elif len(doc):
+            first, last = np.append(True, doc[1:] != doc[:-1]), np.append(doc[1:] != doc[:-1], True)
+            weight = first.astype(np.int32) - ~last if k == order - 1 else (first & last).astype(np.int32)
+            some = weight != 0
+            yield gram[some], weight[some], doc[some]
+
+
+def own_corpus(docs: DataFrame, order: int, hot: int, head: int) -> DataFrame:
+    """doc_id, n_words and score under the counts of the documents themselves."""
+    spark = docs.sparkSession
+    lower = materialize(plain_counts(docs, range(1, order)) if order > 1 else plain_counts(docs.limit(0), range(1, 2)))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // SAMPLE))) == 0)
+    named = np.sort(frequent(plain_counts(sample, range(order, order + 1)).where("n > 1"), hot).select("gram").toArrow().column("gram").to_numpy().view(U64))
+    hot_grams, hot_n = sorted_arrays(plain_counts(docs, range(order, order + 1), named), "n")
+    head_grams, head_n = sorted_arrays(frequent(lower, head), "n")
+    words = docs.select(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = spark.sparkContext.broadcast((hot_grams, np.log(hot_n), head_grams, np.log(head_n), math.log(max(1, words))))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What the broadcast tables give."""
+        top, of_top, low, of_low, log_total = shared.value
+        for batch in batches:
+            total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            for lo, hi, data, offsets in tx.slices(batch.column("text")):
+                found = tx.words_of(data, offsets)
+                n[lo:hi] = found.counts
+                total[lo:hi] -= log_total * (found.counts if order == 1 else np.minimum(found.counts, 1))
+                for gram, weight, doc in terms(found, order):
+                    highest = len(weight) > 0 and weight[0] == TOP
+                    hit, at = known(top if highest else low, gram)
+                    total[lo:hi] += np.bincount(doc[hit], (of_top if highest else of_low)[at] * (1 if highest else weight[hit]), hi - lo)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(total)], ["doc_id", "n_words", "score"])
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All other n-grams."""
+        top, _, low, _, _ = shared.value
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for lo, _, data, offsets in tx.slices(batch.column("text")):
+                for gram, weight, doc in terms(tx.words_of(data, offsets), order):
+                    cold = np.flatnonzero(~known(top if len(weight) and weight[0] == TOP else low, gram)[0])
+                    for i in range(0, len(cold), 65_536):
+                        at = cold[i : i + 65_536]
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + doc[at])), pa.array(gram[at].view(np.int64)), pa.array(weight[at])], ["doc_id", "gram", "weight"])
+
+    rows = docs.mapInArrow(explode, "doc_id long, gram long, weight int")
+    # Counted where the rows meet: no n-gram of these is frequent.
+    counted = rows.withColumn("here", F.count("*").over(Window.partitionBy("gram"))).join(lower, "gram", "left")
+    value = F.when(F.col("weight") == TOP, F.log("here")).otherwise(F.col("weight") * F.log("n"))
+    parts = counted.groupBy("doc_id").agg(F.sum(value).alias("score")).select("doc_id", F.lit(0).cast("long").alias("n_words"), "score")
+    return docs.mapInArrow(sums, "doc_id long, n_words long, score double").unionAll(parts).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
+
+
+def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER, hot: int = HOT, head: int = HEAD) -> DataFrame:
+    """doc_id, n_words, score (natural log) and mean_score a word of every document, under the counts of ``corpus`` (by default the documents themselves)."""
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sums = own_corpus(docs, order, hot, head) if corpus is None else held_out(docs, corpus, order, hot, head)
     return sums.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round(F.col("score") / F.greatest(F.col("n_words"), F.lit(1)), 4).alias("mean_score"))
 
 

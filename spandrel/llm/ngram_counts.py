@@ -81,3 +81,46 @@ def frequent(table: DataFrame, most: int) -> DataFrame:
             break
         least = s
     return table.where(step >= least) if least is not None else table.limit(0)
+
+
+def known(table: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``gram`` are in ``table`` (in order), and the places of those."""
+    if not len(table):
+        return np.zeros(len(gram), bool), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(table, gram), len(table) - 1)
+    hit = table[at] == gram
+    return hit, at[hit]
+
+
+def plain_counts(docs: DataFrame, orders: range, among: np.ndarray | None = None) -> DataFrame:
+    """gram and n of the n-grams of ``orders``, or of those ``among`` (hashes in order) only; each task adds up its own first."""
+    shared = docs.sparkSession.sparkContext.broadcast(among)
+
+    def rows(gram: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(gram), 65_536):
+            yield pa.RecordBatch.from_arrays([pa.array(gram[i : i + 65_536].view(np.int64)), pa.array(n[i : i + 65_536])], ["gram", "n"])
+
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        gram, inverse = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+        return gram, np.bincount(inverse, np.concatenate([n for _, n in held]), len(gram)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        new = 0
+        for batch in batches:
+            for _, _, data, offsets in tx.slices(batch.column("text")):
+                for k, gram, *_ in ngrams(tx.words_of(data, offsets), max(orders, default=1)):
+                    if k in orders:
+                        gram = gram if shared.value is None else gram[known(shared.value, gram)[0]]
+                        gram, n = np.unique(gram, return_counts=True)
+                        held.append((gram, n.astype(np.int64)))
+                        new += len(gram)
+                if new > HELD:
+                    held = [added(held)]
+                    if len(held[0][0]) > HELD:  # enough for one task
+                        yield from rows(*held.pop())
+                    new = sum(len(g) for g, _ in held)
+        if held:
+            yield from rows(*added(held))
+
+    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))

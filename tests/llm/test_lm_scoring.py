@@ -62,6 +62,14 @@ def test_backoff_of_other_texts(spark, order):
         close(lm_scoring.score(frame(rows[1::2]), frame(rows[::2]), order, *sizes), brute(rows[1::2], [t for _, t in rows[::2]], order))
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_orders_under_the_documents_themselves(spark, order):
+    rows = list(enumerate(texts()))
+    docs = spark.createDataFrame([(i, t, 1.0, 2) for i, t in rows], SCHEMA)
+    for sizes in ((65_536, 262_144), (20, 10)):
+        close(lm_scoring.score(docs, None, order, *sizes), brute(rows, [t for _, t in rows], order))
+
+
 def test_many_different_words(spark):
     rng = random.Random(3)
     words = [f"v{i}" for i in range(1_000_000)]
