@@ -13,7 +13,7 @@ from spandrel.llm.lineage import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling draws, the target's share of the labels; the model is fitted on this stage's input."""
+    """Documents that importance resampling draws, as many as have a weight of one half or more; the model is fitted on this stage's input."""
     verdict = quality_classifier.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.join(verdict.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
@@ -45,7 +45,7 @@ STAGES = [
     ("secret_scans", without_secrets),
     ("best_fit_packing", packed),
 ]
-#: SQL can't express the fingerprints, the entropy windows or the bins; tests/llm compares run() with brute force.
+#: SQL can't express the fingerprints, the entropy windows or the bins; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spandrel.operators import relevance
 from spandrel.plans.graph_queries import report, report_sql
 from spandrel.plans.registry import query
-from spandrel.sources.scan import languages
+from spandrel.sources.scan import LANGUAGES
 from spandrel.sources.tables import read
 
 STARTS = ["s:1", "s:2", "n:3"]
@@ -25,13 +25,13 @@ SELECT doc_id, count_if(trim(line, ' ') = '' OR starts_with(trim(line, ' '), '#'
 """)
 def comment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each text that a reader of Python would pass over."""
-    prefixes = languages(spark).where("lang = 'python'").select("comments")
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).join(F.broadcast(prefixes))
-    return lines.groupBy("doc_id").agg(F.count_if(relevance.is_comment_or_blank(F.col("line"), F.col("comments"))).alias("n_passed"), F.count("*").alias("n_lines"))
+    prefixes = F.array(*(F.lit(p) for lang, _, _, _, comments in LANGUAGES if lang == "python" for p in comments))
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count_if(relevance.is_comment_or_blank(F.col("line"), prefixes)).alias("n_passed"), F.count("*").alias("n_lines"))
 
 
 @query("""
-WITH f AS (SELECT p_brand AS c, p_type AS f, p_name AS body, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS rn, p_size FROM part),
+WITH f AS (SELECT p_brand AS c, p_type AS f, p_name AS body, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS rn FROM part),
 o AS (SELECT c, f, body FROM (SELECT c, f, body, row_number() OVER (PARTITION BY c, f ORDER BY rn) AS r2 FROM f WHERE rn > 1) WHERE r2 = 1)
 SELECT p_partkey AS id, o.body AS old_code, p_size || ' ' || n.body AS new_code
 FROM part LEFT JOIN f n ON n.c = p_brand AND n.f = p_type AND n.rn = 1 LEFT JOIN o ON o.c = p_brand AND o.f = p_type WHERE p_partkey % 4 > 0
