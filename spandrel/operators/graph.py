@@ -76,6 +76,37 @@ def merge_snapshots(rows: DataFrame, key: str) -> DataFrame:
     return first_by(rows, [key], "ordinal", last=True)
 
 
+def with_origins(types: DataFrame, calls: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Types whose parents are ``path::name`` where their file imports the name, and calls with target_file: where the file imports caller or callee from, else
+    the file itself. imports: file, name, resolved, ordinal; of several of one name the last holds."""
+    known = imports.groupBy("file", "name").agg(F.max_by("resolved", "ordinal").alias("resolved"))
+    of_file = known.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("name", "resolved"))).alias("_known"))
+    joined = types.join(of_file, "file", "left")
+    full = lambda column: F.transform(column, lambda x: F.coalesce(F.concat(F.try_element_at("_known", x), F.lit("::"), x), x))
+    types = joined.withColumn("extends", full("extends")).withColumn("implements", full("implements")).drop("_known")
+    target = F.when(F.col("caller") != "", F.try_element_at("_known", F.col("caller"))).otherwise(F.try_element_at("_known", F.col("name")))
+    return types, calls.join(of_file, "file", "left").withColumn("target_file", F.coalesce(target, F.col("file"))).drop("_known")
+
+
+def implementation_calls(functions: DataFrame, types: DataFrame, calls: DataFrame) -> DataFrame:
+    """CALLS_IMPLEMENTATION edges (src, dst, type, ordinal): a call of a method of interface ``caller`` in ``target_file`` also calls the method of that
+    name in the first class that implements the interface. ``implements`` holds ``path::name``, or a name of the class's own file."""
+    ref = F.col("ref")
+    path = F.regexp_extract(ref, r"^(.+\.[a-zA-Z0-9]+)::(.+)$", 1)
+    declared = types.select(F.explode("implements").alias("ref"), F.col("name").alias("class_name"), F.col("file").alias("class_file"), "ordinal")
+    declared = declared.select(normalize_path(F.when(path != "", path).otherwise(F.col("class_file"))).alias("path"), F.element_at(F.split(ref, "::"), -1).alias("caller"), "class_name", "class_file", "ordinal")
+    first = declared.groupBy("path", "caller").agg(F.min_by(F.struct("class_name", "class_file"), F.struct("ordinal", "class_file", "class_name")).alias("c"))
+    methods = functions.where("coalesce(class_name, '') <> ''").groupBy("class_name", F.col("file").alias("class_file"), F.col("name").alias("callee")).agg(F.min_by("id", F.struct("ordinal", "id")).alias("dst"))
+    made = calls.select(F.col("function_id").alias("src"), "callee", normalize_path("target_file").alias("path"), "caller", "ordinal")
+    return made.join(first, ["path", "caller"]).select("src", "callee", "ordinal", "c.class_name", "c.class_file").join(methods, ["class_name", "class_file", "callee"]).select("src", "dst", F.lit("CALLS_IMPLEMENTATION").alias("type"), "ordinal")
+
+
+def with_owners(nodes: DataFrame, owners: DataFrame) -> DataFrame:
+    """``nodes`` with owner and path of ``owners`` (id, owner, path, ordinal) where there are any; of several the last holds."""
+    new = first_by(owners, ["id"], "ordinal", last=True).select("id", F.col("owner").alias("_owner"), F.col("path").alias("_path"))
+    return nodes.join(new, "id", "left").withColumn("owner", F.coalesce("_owner", "owner")).withColumn("path", F.coalesce("_path", "path")).drop("_owner", "_path")
+
+
 def enrich(functions: DataFrame, types: DataFrame, calls: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a snapshot.
 
@@ -104,9 +135,6 @@ def enrich(functions: DataFrame, types: DataFrame, calls: DataFrame, imports: Da
     parts.append(lookup(wanted, nodes).select("src", F.col("node_id").alias("dst"), F.lit("IMPORTS").alias("type"), "ordinal"))
     made = calls.select(F.col("function_id").alias("src"), F.col("callee").alias("name"), F.col("target_file").alias("path"), "caller", "ordinal")
     parts.append(lookup(made, nodes.where("type = 'FUNCTION'"), owner=True).select("src", F.col("node_id").alias("dst"), F.lit("CALLS").alias("type"), "ordinal"))
-    # A call of an interface's method is also one of the same method in each class that implements it.
-    declared = types.select(F.explode("implements").alias("ref"), F.col("name").alias("owner")).select(F.element_at(F.split("ref", "::"), -1).alias("caller"), "owner").distinct()
-    methods = functions.select(F.col("name"), F.col("class_name").alias("owner"), F.col("id").alias("dst"))
-    parts.append(made.join(declared, "caller").join(methods, ["name", "owner"]).select("src", "dst", F.lit("CALLS_IMPLEMENTATION").alias("type"), "ordinal"))
+    parts.append(implementation_calls(functions, types, calls))
     forward = dedup_edges(reduce(DataFrame.unionByName, parts))
     return nodes, existing_ends(with_inverse(forward), nodes)

@@ -8,18 +8,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.functions.scalar import jaccard, tokens
+from spandrel.operators.storage import written
 
 THRESHOLD = 0.5
 
 
+def similar_sets(sets: DataFrame, key: list[str], threshold: float) -> DataFrame:
+    """key, one, other (one < other) and similarity of different token sets (key columns, set, words) that are alike.
+
+    Two such sets share one of the rarest words of each: of n words the first n - ceil(threshold * n) + 1 by frequency. Only sets that meet on such a
+    word, and whose sizes allow it, are counted. Of all common words at most ceil(threshold * n) - 1, n the larger size, lie outside both heads, so
+    sets that meet on too few rare words for the threshold are not compared.
+    """
+    words = sets.select(*key, "set", F.size("words").alias("n"), F.explode("words").alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("df"))
+    ranked = words.join(counts, "word").groupBy(*key, "set", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
+    rare = F.slice("w", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    heads = written(ranked.select(*key, "set", "n", F.explode(rare).alias("w")).select(*key, "set", "n", F.col("w.word").alias("word")))
+    a = heads.select(*key, "word", F.col("set").alias("one"), F.col("n").alias("n1"))
+    b = heads.select(*key, "word", F.col("set").alias("other"), F.col("n").alias("n2"))
+    near = F.least("n1", "n2") >= threshold * F.greatest("n1", "n2")
+    met = a.join(b, [*key, "word"]).where((F.col("one") < F.col("other")) & near).groupBy(*key, "one", "other", "n1", "n2").agg(F.count("*").alias("common"))
+    outside = F.ceil(F.greatest("n1", "n2") * threshold - 1e-9) - 1
+    met = met.where(F.col("common") + outside >= (F.col("n1") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-9).select(*key, "one", "other")
+    left = sets.select(*key, F.col("set").alias("one"), F.col("words").alias("a"))
+    right = sets.select(*key, F.col("set").alias("other"), F.col("words").alias("b"))
+    both = met.join(left, [*key, "one"]).join(right, [*key, "other"])
+    return both.select(*key, "one", "other", jaccard(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
 def candidates(new: DataFrame, known: DataFrame, key: list[str], threshold: float = THRESHOLD, judge: Callable[[Column], Column] | None = None) -> DataFrame:
     """Pairs (new_id, known_id, similarity, is_similar) of equal ``key`` and similarity of ``threshold`` or more.
 
-    Both sides: id, text and the key columns. A row is never its own candidate. Token counts prune pairs that cannot reach the threshold before their tokens
-    are compared. ``judge`` turns the similarity into a verdict; by default all candidates are similar.
+    Both sides: id, text and the key columns. A row is never its own candidate, and a null key or text has none. Equal token sets are compared once, whatever the
+    number of their copies. ``judge`` turns the similarity into a verdict; by default all candidates are similar.
     """
-    a = new.select(*key, F.col("id").alias("new_id"), tokens("text").alias("a"))
-    b = known.select(*key, F.col("id").alias("known_id"), tokens("text").alias("b"))
-    near = F.least(F.size("a"), F.size("b")) >= threshold * F.greatest(F.size("a"), F.size("b"))
-    pairs = a.join(b, key).where((F.col("new_id") != F.col("known_id")) & near).select("new_id", "known_id", jaccard(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= threshold)
-    return pairs.withColumn("is_similar", judge(F.col("similarity")) if judge else F.lit(True))
+    sides = [d.select(*key, "id", F.lit(side).alias("side"), F.array_sort(tokens("text")).alias("words")).dropna(subset=[*key, "words"]) for d, side in ((new, "new"), (known, "known"))]
+    rows = written(sides[0].unionAll(sides[1]).withColumn("set", F.sha2(F.concat_ws(" ", "words"), 256)))
+    sets = written(rows.groupBy(*key, "set").agg(F.any_value("words").alias("words")))
+    found = similar_sets(sets, key, threshold)
+    flipped = found.select(*key, F.col("other").alias("one"), F.col("one").alias("other"), "similarity")
+    same = sets.select(*key, F.col("set").alias("one"), F.col("set").alias("other"), F.lit(1.0).alias("similarity"))
+    a = rows.where("side = 'new'").select(*key, F.col("set").alias("one"), F.col("id").alias("new_id"))
+    b = rows.where("side = 'known'").select(*key, F.col("set").alias("other"), F.col("id").alias("known_id"))
+    out = found.unionByName(flipped).unionByName(same).join(a, [*key, "one"]).join(b, [*key, "other"]).where(F.col("new_id") != F.col("known_id"))
+    return out.select("new_id", "known_id", "similarity").withColumn("is_similar", judge(F.col("similarity")) if judge else F.lit(True))

@@ -6,22 +6,12 @@ depth asked for. Lineage is cut by a written table every few levels, so that lon
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HIGH, MEDIUM = ("CALLS", "CALLS_IMPLEMENTATION"), ("IMPLEMENTS", "EXTENDS", "IMPLEMENTED_BY")
-
+from spandrel.operators.storage import written
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder that ``spark.checkpoint.dir`` names (a temporary one only where it is unset)."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/spandrel-checkpoints"
-    path = f"{base.rstrip('/')}/traverse/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+HIGH, MEDIUM = ("CALLS", "CALLS_IMPLEMENTATION"), ("IMPLEMENTS", "EXTENDS", "IMPLEMENTED_BY")
 
 
 def steps(edges: DataFrame, direction: str, types: list[str] | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Extraction of functions, types, imports and calls from source text, as one table function per file.
 
-Python files are parsed with the standard library; languages with braces by declarations and the brackets that follow them. Go has no rules
-and gives no rows. A file that cannot be parsed gives no rows either; the file table keeps it.
+Python files are parsed with the standard library, the others by ``declarations``. Go has no rules. Every file has a row of kind ``file``, whose
+``parse_ok`` is false if it is empty, of no known language or cannot be parsed; it has no other rows then.
 """
 
 from __future__ import annotations
@@ -17,17 +17,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "kind string, file string, lang string, id string, name string, scope array<string>, class_name string, params array<string>, returns string, start_line int, end_line int, extends array<string>, implements array<string>, owner_id string, caller string, origin string, alias string, ordinal int"
+from spandrel.sources import declarations
+from spandrel.sources.scan import LANGUAGES
+
+SCHEMA = "kind string, file string, lang string, id string, name string, scope array<string>, class_name string, params array<string>, returns string, start_line int, end_line int, extends array<string>, implements array<string>, owner_id string, caller string, origin string, alias string, ordinal int, type_kind string, fields map<string,string>, parse_ok boolean"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+CONSTRUCTORS = {lang: constructor for lang, _, constructor, _, _ in LANGUAGES if lang != "go"}
 
 
 def make_id(file: str, scope: list[str], name: str, start: int) -> str:
     return hashlib.sha256("::".join([file, *scope, name, str(start)]).encode()).hexdigest()
 
 
+def _arguments(node: ast.AST) -> list[ast.arg]:
+    return [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]
+
+
 class _Python(ast.NodeVisitor):
     def __init__(self, file: str) -> None:
-        self.file, self.rows, self.scope, self.classes, self.owner = file, [], [], [], None
+        self.file, self.rows, self.scope, self.classes, self.owner, self.owners, self.injected = file, [], [], [], None, [], {}
 
     def add(self, kind: str, name: str, **more) -> dict:
         row = dict.fromkeys(COLUMNS) | {"kind": kind, "file": self.file, "lang": "python", "name": name, "scope": list(self.scope), "ordinal": len(self.rows)} | more
@@ -49,88 +57,80 @@ class _Python(ast.NodeVisitor):
         self.scope.pop()
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
-        self.add("type", node.name, id=make_id(self.file, self.scope, node.name, node.lineno), extends=[ast.unparse(b) for b in node.bases], implements=[], start_line=node.lineno, end_line=node.end_lineno)
+        fields = {}
+        for child in node.body:
+            if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
+                fields[child.name] = f"({', '.join(map(ast.unparse, _arguments(child)))}):{ast.unparse(child.returns) if child.returns else 'unknown'}"
+                if child.name == CONSTRUCTORS["python"]:
+                    self.injected[node.name] = {a.arg: ast.unparse(a.annotation) for a in _arguments(child) if a.annotation}
+            elif isinstance(child, ast.AnnAssign):
+                fields[ast.unparse(child.target)] = ast.unparse(child.annotation)
+            elif isinstance(child, ast.Assign):
+                fields |= {ast.unparse(t): "unknown" for t in child.targets}
+        self.add("type", node.name, id=make_id(self.file, self.scope, node.name, node.lineno), type_kind="CLASS", extends=[ast.unparse(b) for b in node.bases], implements=[], fields=fields, start_line=node.lineno, end_line=node.end_lineno)
         self.classes.append(node.name)
         self.inside(node, node.name)
         self.classes.pop()
 
     def visit_FunctionDef(self, node: ast.FunctionDef) -> None:
-        args = [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]
-        params = [ast.unparse(a) for a in args]
-        row = self.add("function", node.name, id=make_id(self.file, self.scope, node.name, node.lineno), class_name=self.classes[-1] if self.classes else "", params=params, returns=ast.unparse(node.returns) if node.returns else "", start_line=node.lineno, end_line=node.end_lineno)
-        before, self.owner = self.owner, row["id"]
+        self.function(node, node.name, ast.unparse(node.returns) if node.returns else "")
         self.inside(node, node.name)
-        self.owner = before
+        self.owner = self.owners.pop()
+
+    def function(self, node: ast.AST, name: str, returns: str) -> None:
+        row = self.add("function", name, id=make_id(self.file, self.scope, name, node.lineno), class_name=self.classes[-1] if self.classes else "", params=[ast.unparse(a) for a in _arguments(node)], returns=returns, start_line=node.lineno, end_line=node.end_lineno)
+        self.owners.append(self.owner)
+        self.owner = row["id"]
+
+    def visit_Assign(self, node: ast.Assign) -> None:
+        if isinstance(node.value, ast.Lambda) and isinstance(node.targets[0], ast.Name):
+            self.function(node.value, node.targets[0].id, "")
+            self.generic_visit(node.value)
+            self.owner = self.owners.pop()
+        else:
+            self.generic_visit(node)
 
     visit_AsyncFunctionDef = visit_FunctionDef
 
     def visit_Call(self, node: ast.Call) -> None:
         chain = ast.unparse(node.func).split(".")
         if self.owner and re.fullmatch(r"\w+", chain[-1]):
-            caller = "" if len(chain) == 1 else (self.classes[-1] if self.classes and len(chain) == 2 else chain[1] if len(chain) > 2 else "") if chain[0] == "self" else chain[0]
-            self.add("call", chain[-1], owner_id=self.owner, caller=caller)
+            own = self.classes[-1] if self.classes else ""
+            caller = "" if len(chain) == 1 else chain[0] if chain[0] != "self" else own if len(chain) == 2 else chain[1]
+            self.add("call", chain[-1], owner_id=self.owner, caller=self.injected.get(own, {}).get(caller, caller))
         self.generic_visit(node)
 
 
-# Declarations of languages with braces: type, function and import forms.
-TYPE = re.compile(r"\b(class|interface|enum|struct|trait|record)\s+(\w+)(?:\s*<[^>{]*>)?(?:\s+extends\s+([\w.,\s<>]+?))?(?:\s+implements\s+([\w.,\s<>\\]+?))?(?:\s*:\s*([\w.,\s<>]+?))?\s*[{;(]")
-FUNCTION = re.compile(r"(?:\bfunction\s+|\bfn\s+|(?:public|private|protected|static|async|final|override|virtual|abstract)\s+(?:[\w<>\[\],.?]+\s+)*)(\w+)\s*(?:<[^>(]*>)?\(([^()]*)\)\s*(?:(?:->|:)\s*([\w<>\[\],.|&?' ]+?))?\s*\{|\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\(([^()]*)\)\s*(?::\s*([\w<>\[\]]+))?\s*=>\s*\{?")
-IMPORT = re.compile(r"""\bimport\s+(?:(?:type\s+)?(?:(\w+)|\{([^}]*)\}|\*\s+as\s+(\w+))\s+from\s+)?["']([^"']+)["']|\brequire(?:_once|_relative)?\s*\(?\s*["']([^"']+)["']|^\s*(?:import|using|use)\s+(?:static\s+)?([\w.:\\]+)""", re.M)
-CALL = re.compile(r"(?:([\w$]+)(?:\.|->|::))?(\w+)\s*\(")
-NO_CALLS = {"if", "for", "while", "switch", "catch", "return", "function", "fn", "new", "super"}
-
-
-def _block_end(text: str, at: int) -> int:
-    """Index of the bracket that closes the first one from ``at`` on."""
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(text, at):
-        depth += 1 if m[0] == "{" else -1
-        if depth == 0:
-            return m.start()
-    return len(text)
-
-
-def _names(found: str | None) -> list[str]:
-    return [x for x in (re.sub(r"<.*", "", n).strip() for n in (found or "").split(",")) if x]
-
-
-def _braces(file: str, lang: str, text: str) -> list[dict]:
-    line = lambda i: text.count("\n", 0, i) + 1
+def _others(file: str, lang: str, text: str) -> list[dict]:
+    """Rows of a language that ``declarations`` reads, with their ids."""
+    found = declarations.read(lang, text, CONSTRUCTORS[lang])
     rows: list[dict] = []
-    add = lambda kind, name, **more: rows.append(dict.fromkeys(COLUMNS) | {"kind": kind, "file": file, "lang": lang, "name": name, "scope": [], "ordinal": len(rows)} | more)
-    for m in IMPORT.finditer(text):
-        origin = m[4] or m[5] or m[6]
-        for symbol in [x.strip() for x in m[2].split(",") if x.strip()] if m[2] else [m[1] or "*"]:
-            name, _, alias = symbol.partition(" as ")
-            add("import", name, origin=origin, alias=alias or m[3])
-    types = []
-    for m in TYPE.finditer(text):
-        end = _block_end(text, m.end() - 1)
-        types.append((m.start(), end, m[2]))
-        add("type", m[2], id=make_id(file, [], m[2], line(m.start())), extends=_names(m[3]) + _names(m[5]), implements=_names(m[4]), start_line=line(m.start()), end_line=line(end))
-    for m in FUNCTION.finditer(text):
-        end = _block_end(text, m.end() - 1)
-        owner = [n for a, b, n in types if a < m.start() < b][-1:]
-        name, start = m[1] or m[4], line(m.start())
-        key = make_id(file, owner, name, start)
-        add("function", name, id=key, scope=owner, class_name=owner[0] if owner else "", params=[p.strip() for p in (m[2] or m[5] or "").split(",") if p.strip()], returns=(m[3] or m[6] or "").strip(), start_line=start, end_line=line(end))
-        for c in CALL.finditer(text, m.end(), end):
-            if c[2] not in NO_CALLS:
-                add("call", c[2], owner_id=key, caller=(owner[0] if owner else "") if c[1] in ("this", "self", "$this") else c[1] or "")
+    for n, r in enumerate(found):
+        row = dict.fromkeys(COLUMNS) | {"file": file, "lang": lang, "ordinal": n} | {k: v for k, v in r.items() if k != "owner"}
+        if r["kind"] in ("type", "function"):
+            row["id"] = make_id(file, r["scope"], r["name"], r["start_line"])
+        elif r["kind"] == "call":
+            row["owner_id"] = rows[r["owner"]]["id"]
+        rows.append(row)
     return rows
 
 
 def extract(file: str, lang: str | None, text: str | None) -> list[dict]:
-    if not text or lang in (None, "go"):
-        return []
-    try:
-        if lang != "python":
-            return _braces(file, lang, text)
-        visitor = _Python(file)
-        visitor.visit(ast.parse(text))
-        return visitor.rows
-    except (SyntaxError, ValueError, RecursionError):
-        return []
+    """Rows of one file, first that of the file itself with ``parse_ok``; one that cannot be parsed has no others."""
+    rows, ok = [], True
+    if text and lang in CONSTRUCTORS:
+        try:
+            if lang == "python":
+                visitor = _Python(file)
+                visitor.visit(ast.parse(text))
+                rows = visitor.rows
+            else:
+                rows = _others(file, lang, text)
+        except (SyntaxError, ValueError, RecursionError):
+            ok = False
+    else:
+        ok = False
+    return [dict.fromkeys(COLUMNS) | {"kind": "file", "file": file, "lang": lang, "parse_ok": ok, "ordinal": -1}, *rows]
 
 
 def parsed(files: DataFrame) -> DataFrame:

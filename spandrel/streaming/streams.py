@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from spandrel.operators.storage import shared_folder
+
 OPEN_AFTER, RETRY_MS, CLOSE_AFTER = 10, 15_000, 1
 
 
@@ -19,23 +20,23 @@ def source(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFr
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
 
 
-def folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/spandrel-checkpoints"
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
 def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Run ``stream`` until its source is empty, into files; return what it wrote. Complete mode keeps the last batch only."""
+    """Run ``stream`` until its source is empty, into files; return what it wrote. Complete mode keeps the last batch only.
+
+    Every micro-batch overwrites the folder of its own epoch, so one that is run again after a failure is not there twice. A batch whose ``each``
+    raises ends the stream with that error, and nothing of it is written.
+    """
     spark = stream.sparkSession
-    out = folder(spark)
+    out = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, epoch: int) -> None:
         if each:
             each(batch, epoch)
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/data")
+        batch.write.mode("overwrite").parquet(f"{out}/data" if mode == "complete" else f"{out}/data/epoch={epoch}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/data")
+    written = spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{out}/data")
+    return written.select(*stream.columns)
 
 
 def debounced(diagnostics: DataFrame, key: str, ts: str, gap: str, delay: str, order: str) -> DataFrame:
