@@ -138,6 +138,53 @@ def column_of(text: Column | str, index: Column) -> Column:
     return F.length(F.element_at(F.split(F.substr(col(text), F.lit(1), index), "\n", -1), -1))
 
 
+def path_parts(path: Column) -> Column:
+    """Parts of a POSIX path, without empty ones and ``.``; ``..`` takes back the part before it."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    return F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p))))
+
+
+def relative_path(base: Column, path: Column) -> Column:
+    """``path`` as seen from the folder ``base``; empty if they are the same."""
+    a, b = path_parts(base), path_parts(path)
+    least = F.least(F.size(a), F.size(b))
+    shared = F.aggregate(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), F.lit(0), lambda k, i: F.when((k == i - 1) & (i <= least) & (F.try_element_at(a, i) == F.try_element_at(b, i)), i).otherwise(k))
+    return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(a) - shared), F.slice(b, shared + 1, F.size(b))), "/")
+
+
+def words_of_code(text: Column | str) -> Column:
+    """Every run of letters, digits, ``_`` and ``$``, in order, repeats included."""
+    return F.regexp_extract_all(col(text), F.lit(r"[\w$]+"), F.lit(0))
+
+
+def partial_match(record: Column, wanted: dict) -> Column:
+    """Whether a struct holds all of ``wanted``, nested dicts field by field; a null or missing value never matches."""
+    found = F.lit(True)
+    for name, value in wanted.items():
+        inner = record[name]
+        found = found & F.coalesce(partial_match(inner, value) if isinstance(value, dict) else inner == F.lit(value), F.lit(False))
+    return found
+
+
+def deep_merge(old: Column, new: Column) -> Column:
+    """Maps merged, the newer value of a key holds; a null map changes nothing."""
+    none = F.create_map().cast("map<string,string>")
+    old, new = F.coalesce(old, none), F.coalesce(new, none)
+    return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+
+
+def tagged_json(value: Column, kind: str) -> Column:
+    """A map (kind ``Map``) or array (kind ``Set``) as JSON that names its kind."""
+    body = F.transform(F.map_entries(value), lambda e: F.array(e["key"].cast("string"), e["value"].cast("string"))) if kind == "Map" else F.array_distinct(value)
+    return F.to_json(F.struct(F.lit(kind).alias("__type"), body.alias("value")))
+
+
+def untagged_map(text: Column | str) -> Column:
+    """The map of a tagged JSON text; null for other kinds."""
+    entries = F.from_json(col(text), "__type string, value array<array<string>>")
+    return F.when(entries["__type"] == "Map", F.map_from_entries(F.transform(entries["value"], lambda e: F.struct(e[0], e[1]))))
+
+
 # Tasks and errors
 
 
@@ -151,6 +198,12 @@ def stored_status(c: Column | str) -> Column:
     return F.when(col(c).isin(*known), col(c)).otherwise(F.lit("PENDING"))
 
 
+def read_status(c: Column | str) -> Column:
+    """Status of a stored text; unknown ones are unspecified."""
+    known = ("PENDING", "IN_PROGRESS", *TERMINAL)
+    return F.when(col(c).isin(*known), col(c)).otherwise(F.lit("UNSPECIFIED"))
+
+
 def priority(c: Column | str) -> Column:
     return F.when(col(c).isin(1, 2, 3), col(c)).otherwise(F.lit(2))
 

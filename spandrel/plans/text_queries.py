@@ -141,3 +141,35 @@ def hunk_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     patches = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.concat(head, body).alias("patch"))
     found = diffing.hunks(patches)
     return found.select("file", "hunk_no", "old_start", "old_count", "new_start", "new_count", diffing.has_change().alias("changed"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = page_id % 2 THEN '../c' || page_id ELSE '../../a' || page_id % 2 || '/c' || page_id END AS relative FROM pages")
+def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    base = F.concat(F.lit("/src/x/../a"), (n % 3).cast("string"), F.lit("/./b"))
+    path = F.concat(F.lit("/src/a"), (n % 2).cast("string"), F.lit("/c"), n.cast("string"))
+    return read(spark, sf_dir, "pages").select("page_id", scalar.relative_path(base, path).alias("relative"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'COMPLETED' WHEN o_orderkey % 3 = 1 THEN 'UNSPECIFIED' ELSE 'PENDING' END AS shown, CASE WHEN o_orderkey % 3 = 0 THEN 'COMPLETED' ELSE 'PENDING' END AS stored FROM orders")
+def status_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.element_at(F.array(F.lit("COMPLETED"), F.lit("odd"), F.lit("PENDING")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    shown = scalar.read_status(status)
+    return read(spark, sf_dir, "orders").select("o_orderkey", shown.alias("shown"), scalar.stored_status(shown).alias("stored"))
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click' AND CAST(json_extract_string(props, '$.k') AS BIGINT) = 5")
+def partial_match_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    record = F.struct("event_type", F.from_json("props", "k long").alias("props"))
+    return read(spark, sf_dir, "events").where(scalar.partial_match(record, {"event_type": "click", "props": {"k": 5}})).select("event_id")
+
+
+@query("SELECT p_partkey, '{\"__type\":\"Map\",\"value\":[[\"size\",\"' || p_size || '\"],[\"brand\",\"' || p_brand || '\"]]}' AS tagged, p_brand AS brand FROM part")
+def tagged_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = scalar.tagged_json(F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.col("p_brand")), "Map")
+    return read(spark, sf_dir, "part").select("p_partkey", tagged.alias("tagged")).withColumn("brand", scalar.untagged_map("tagged")["brand"])
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_$]+')) AS INT) AS n_words FROM documents")
+def code_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(scalar.words_of_code("text")).alias("n_words"))

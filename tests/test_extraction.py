@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from spandrel.functions import scalar
 from spandrel.operators import graph, similarity, storage
 from spandrel.sources import declarations, parse
 from spandrel.streaming import streams
@@ -105,3 +106,12 @@ def test_written_tables_can_be_removed(spark):
     storage.clean(spark)
     with pytest.raises(Exception):  # noqa: B017
         spark.read.parquet(df.inputFiles()[0]).select(F.col("id")).collect()
+
+
+def test_small_scalars(spark):
+    row = spark.sql("SELECT map('a', '1', 'b', '2') AS o, map('b', '3') AS n, CAST(NULL AS map<string,string>) AS z, array('x', 'y', 'x') AS s").select(
+        scalar.deep_merge(F.col("o"), F.col("n")).alias("m"), scalar.deep_merge(F.col("o"), F.col("z")).alias("k"), scalar.tagged_json(F.col("s"), "Set").alias("t"), scalar.untagged_map(F.lit('{"__type":"Set","value":[]}')).alias("u"),
+        *(scalar.relative_path(F.lit(a), F.lit(b)).alias(f"r{i}") for i, (a, b) in enumerate([("/a/b", "/a/b"), ("", "a/b"), ("/a/b", "/"), ("/a/./b/..", "/a/c")])),
+    ).first()
+    assert (row.m, row.k, row.t, row.u) == ({"a": "1", "b": "3"}, {"a": "1", "b": "2"}, '{"__type":"Set","value":["x","y"]}', None)
+    assert (row.r0, row.r1, row.r2, row.r3) == ("", "a/b", "../..", "c")
