@@ -62,22 +62,28 @@ def impact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def purchase_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's high purchase leads to the user of the next one; cyclic."""
-    high = read(spark, sf_dir, "events").where("event_type = 'purchase' AND value > 90").select("ts", "event_id", F.col("user_id"), F.floor(F.col("event_id") / 4000).alias("bucket"))
-    nxt = F.lead("user_id").over(Window.partitionBy("bucket").orderBy("ts", "event_id"))
-    return high.select(F.col("user_id").cast("string").alias("src"), nxt.cast("string").alias("dst"), F.lit("NEXT").alias("type")).where("dst IS NOT NULL").distinct()
+    """A user's high purchase leads to the user of the next one in time; cyclic.
+
+    Purchases are ordered hour by hour, so that no task orders all of them; only the first and last user of each hour, one row an hour, meet in one window.
+    """
+    order = F.struct("ts", "event_id")
+    high = read(spark, sf_dir, "events").where("event_type = 'purchase' AND value > 90").select("ts", "event_id", F.col("user_id").cast("string").alias("src"), F.date_trunc("hour", "ts").alias("hour"))
+    inside = high.select("src", F.lead("src").over(Window.partitionBy("hour").orderBy("ts", "event_id")).alias("dst"))
+    ends = high.groupBy("hour").agg(F.min_by("src", order).alias("first"), F.max_by("src", order).alias("last"))
+    across = ends.select(F.col("last").alias("src"), F.lead("first").over(Window.orderBy("hour")).alias("dst"))
+    return inside.unionAll(across).where("dst IS NOT NULL").distinct().withColumn("type", F.lit("NEXT"))
 
 
 @query("""
-WITH RECURSIVE high AS (SELECT ts, event_id, user_id, event_id // 4000 AS bucket FROM events WHERE event_type = 'purchase' AND value > 90),
-e AS (SELECT DISTINCT src, dst FROM (SELECT CAST(user_id AS VARCHAR) AS src, CAST(lead(user_id) OVER (PARTITION BY bucket ORDER BY ts, event_id) AS VARCHAR) AS dst FROM high) WHERE dst IS NOT NULL),
-r AS (SELECT src AS start, src AS id FROM (SELECT DISTINCT src FROM e WHERE src IN ('1', '2', '3', '7')) UNION SELECT start, dst FROM r JOIN e ON id = src)
+WITH RECURSIVE high AS (SELECT ts, event_id, CAST(user_id AS VARCHAR) AS u FROM events WHERE event_type = 'purchase' AND value > 90),
+e AS (SELECT DISTINCT src, dst FROM (SELECT u AS src, lead(u) OVER (ORDER BY ts, event_id) AS dst FROM high) WHERE dst IS NOT NULL),
+r AS (SELECT DISTINCT src AS start, src AS id FROM e UNION SELECT start, dst FROM r JOIN e ON id = src)
 SELECT start, id FROM r
 """)
 def reachability_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a start and a user reachable from it, from every user with a next one; the result itself is as large as the closure."""
     edges = purchase_edges(spark, sf_dir)
-    first = edges.where(F.col("src").isin("1", "2", "3", "7")).select(F.col("src").alias("start")).distinct()
-    return traverse.levels(edges, first, "forward").select("start", "id")
+    return traverse.levels(edges, edges.select(F.col("src").alias("start")), "forward").select("start", "id")
 
 
 @query("SELECT o_custkey, o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1")
