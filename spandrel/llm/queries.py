@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm import decontamination, language_id, lm_scoring, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, substring_dedup
+from spandrel.llm import decontamination, exact_dedup, language_id, lm_scoring, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, substring_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,15 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents, by a hash of their ids, stand for those of earlier runs."""
+    earlier = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    return exact_dedup.dedup(read(spark, sf_dir, "documents"), earlier).drop("historical")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.sql(), "op2_lm_scoring": lm_scoring.SQL, "op5_substring_dedup": substring_dedup.SQL, "op10_benchmark_decontamination": decontamination.SQL}
+    return {"op1_quality_rules": quality_rules.sql(), "op2_lm_scoring": lm_scoring.SQL, "op5_substring_dedup": substring_dedup.SQL, "op10_benchmark_decontamination": decontamination.SQL, "op11_exact_dedup": exact_dedup.SQL}
