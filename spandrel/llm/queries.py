@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm import decontamination, exact_dedup, language_id, lm_scoring, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, substring_dedup
+from spandrel.llm import decontamination, exact_dedup, language_id, lexical_search, lm_scoring, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, substring_dedup
+from spandrel.llm.lineage import materialize
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +63,13 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(read(spark, sf_dir, "documents"), earlier).drop("historical")
 
 
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(materialize(lexical_search.index(read(spark, sf_dir, "documents"))), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.sql(), "op2_lm_scoring": lm_scoring.SQL, "op5_substring_dedup": substring_dedup.SQL, "op10_benchmark_decontamination": decontamination.SQL, "op11_exact_dedup": exact_dedup.SQL}
+    return {"op1_quality_rules": quality_rules.sql(), "op2_lm_scoring": lm_scoring.SQL, "op5_substring_dedup": substring_dedup.SQL, "op10_benchmark_decontamination": decontamination.SQL, "op11_exact_dedup": exact_dedup.SQL, "op13_ranked_lexical_search": lexical_search.SQL}
