@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm import decontamination, exact_dedup, language_id, lexical_search, lm_scoring, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, substring_dedup
+from spandrel.llm import decontamination, exact_dedup, language_id, lexical_search, lm_scoring, packing, prefix_trie, quality_classifier, quality_rules, secret_scan, sharding, simhash, substring_dedup
 from spandrel.llm.lineage import materialize
 
 
@@ -63,6 +63,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(read(spark, sf_dir, "documents"), earlier).drop("historical")
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
 def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(materialize(lexical_search.index(read(spark, sf_dir, "documents"))), read(spark, sf_dir, "benchmark"))
 
@@ -72,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.sql(), "op2_lm_scoring": lm_scoring.SQL, "op5_substring_dedup": substring_dedup.SQL, "op10_benchmark_decontamination": decontamination.SQL, "op11_exact_dedup": exact_dedup.SQL, "op13_ranked_lexical_search": lexical_search.SQL}
+    return {"op1_quality_rules": quality_rules.sql(), "op2_lm_scoring": lm_scoring.SQL, "op5_substring_dedup": substring_dedup.SQL, "op10_benchmark_decontamination": decontamination.SQL, "op11_exact_dedup": exact_dedup.SQL, "op12_conversation_prefix_trie": prefix_trie.SQL, "op13_ranked_lexical_search": lexical_search.SQL}
