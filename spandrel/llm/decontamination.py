@@ -4,7 +4,7 @@ A mask fixes which of some consecutive words are hashed; the others may differ.
 agrees in enough words shares a seed. Seeds of the benchmark are joined to those of the documents; around each hit the two texts are laid side by side, and the pair overlaps if some window of ``WINDOW`` aligned
 words (or the whole item, if shorter) agrees in at least ``AGREE`` of its words. Letters are compared in lower case.
 
-Seeds of the benchmark are broadcast while they are few; beyond ``MAX_BROADCAST`` rows both sides are shuffled by hash. Texts never go
+Seeds of the benchmark are broadcast while they and the items' words are few; beyond ``MAX_BROADCAST`` rows both sides are shuffled by hash. Texts never go
 through the seed join: only ids, positions and hashes do. Texts with hits are read again; the hits are broadcast to them while they are few, else both are shuffled.
 
 Defined results: a null text is clean; an item of fewer than ``min_words`` words or without words is found in no document; rows of equal
@@ -32,7 +32,7 @@ MASKS = (
     (1, 1, ((0,),)),
 )
 WINDOW, AGREE = 13, 0.75
-#: Rows of 24 bytes that may be broadcast.
+#: Rows of 24 bytes, and words of items of 8 bytes, that may be broadcast.
 MAX_BROADCAST = 1_000_000
 
 
@@ -69,15 +69,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BRO
     classes = [c for c, (least, most, _) in enumerate(MASKS) if any(least <= n <= most for n in met)] or [0]
     of_class = lambda c: seed_rows(by_words.where(length.between(*MASKS[c][:2])), "item_id", [c])
     item_seeds = reduce(DataFrame.unionAll, map(of_class, classes)).select("item_id", F.col("at").alias("item_at"), "seed").distinct()
-    small = item_seeds.count() <= max_broadcast
+    small = item_seeds.count() <= max_broadcast and (items.agg(F.sum(F.size("item_words"))).first()[0] or 0) <= max_broadcast
     hits = seed_rows(texts.select("doc_id", word_hashes(F.col("text")).alias("words")), "doc_id", classes).join(F.broadcast(item_seeds) if small else item_seeds, "seed")
     aligned = materialize(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
     few = aligned.count() <= max_broadcast
-    pairs = aligned.join(F.broadcast(items) if small else items, "item_id")
     # Only texts with hits are read again and hashed anew; few hits go to the texts, not the texts to them.
     ids = aligned.select("doc_id").distinct()
     texts = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", word_hashes(F.col("text")).alias("words"))
-    pairs = texts.join(F.broadcast(pairs) if few and small else pairs, "doc_id")
+    # Alignments are broadcast without the items' words, which are broadcast once or else join them.
+    if small:
+        pairs = texts.join(F.broadcast(aligned) if few else aligned, "doc_id").join(F.broadcast(items), "item_id")
+    else:
+        pairs = texts.join(aligned.join(items, "item_id"), "doc_id")
     first, last = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("item_words"), F.size("words") - F.col("shift"))
     pairs = pairs.select("doc_id", "item_id", F.least(F.lit(WINDOW), F.size("item_words")).alias("window"), F.transform(F.sequence(first, last - 1), lambda k: (F.get("words", k + F.col("shift")) == F.get("item_words", k)).cast("int")).alias("same"))
     pairs = pairs.where(F.size("same") >= F.col("window"))

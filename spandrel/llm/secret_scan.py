@@ -90,12 +90,16 @@ def find_secrets(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int,
     base = [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
     base += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
-    more = []
+    order = lambda s: (s[0], KINDS.index(s[1]), s[2])
+    base.sort(key=order)
+    more, k, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
-        if not ALLOWED.fullmatch(m[0]) and not any(a <= m.start() and m.end() <= b for a, _, b in base) and is_random(m[0]):
+        # Both stand in order: of the fixed spans that begin by here, the furthest end tells whether one holds the candidate.
+        while k < len(base) and base[k][0] <= m.start():
+            reach, k = max(reach, base[k][2]), k + 1
+        if reach < m.end() and not ALLOWED.fullmatch(m[0]) and is_random(m[0]):
             more.append((m.start(), "entropy", m.end()))
-    order = lambda s: (s[0], KINDS.index(s[1]), s[2])
-    return sorted(base, key=order), sorted(more, key=order)
+    return base, more
 
 
 def joined(spans: list[tuple[int, str, int]]) -> str:

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from helpers import DATA
@@ -108,3 +109,13 @@ def test_redaction_keeps_rows_and_columns(spark):
         elif not t or ss.find_secrets(t) == ([], []):
             assert (r.text, r.n_chars) == (t, n)
     assert ss.redacted(docs.limit(0)).count() == 0 and ss.scan(docs.limit(0)).count() == 0
+
+
+def test_many_spans_of_one_text_are_walked_once():
+    keys = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(25_000)]
+    text = " ".join(f"{k} A{k[:12]}Q/{k[12:26]}" for k in keys)
+    began = time.process_time()
+    base, more = ss.find_secrets(text)
+    assert time.process_time() - began < 20 and len(base) >= 25_000 and len(base) + len(more) >= 50_000
+    fixed = {(a, b) for a, _, b in base}
+    assert not any(a <= s and e <= b for s, _, e in more[:50] for a, b in fixed)
