@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from spandrel.llm import decontamination, packing, quality_classifier, secret_scan, simhash
 from spandrel.llm.lineage import materialize
 
+#: Words that a benchmark item needs to be looked for: shorter ones are phrases of many clean documents.
+LEAST_ITEM_WORDS = 3
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling draws, as many as have a weight of one half or more; the model is fitted on this stage's input."""
@@ -25,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), LEAST_ITEM_WORDS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
