@@ -116,6 +116,6 @@ def test_many_spans_of_one_text_are_walked_once():
     text = " ".join(f"{k} A{k[:12]}Q/{k[12:26]}" for k in keys)
     began = time.process_time()
     base, more = ss.find_secrets(text)
-    assert time.process_time() - began < 20 and len(base) >= 25_000 and len(base) + len(more) >= 50_000
+    assert time.process_time() - began < 20 and len(base) >= 25_000 and len(more) > 10_000
     fixed = {(a, b) for a, _, b in base}
     assert not any(a <= s and e <= b for s, _, e in more[:50] for a, b in fixed)
