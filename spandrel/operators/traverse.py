@@ -2,6 +2,8 @@
 
 Each level is one join of the frontier with the edges; visited pairs are removed by an anti join. The loop ends with an empty frontier or at the
 depth asked for. Lineage is cut by a written table every few levels, so that long paths stay cheap to plan and to recover.
+
+Reachability from every node goes by strongly connected components (``condensed``): the closure is made over the components alone, and each node has its membership.
 """
 
 from __future__ import annotations
@@ -15,12 +17,12 @@ HIGH, MEDIUM = ("CALLS", "CALLS_IMPLEMENTATION"), ("IMPLEMENTS", "EXTENDS", "IMP
 
 
 def steps(edges: DataFrame, direction: str, types: list[str] | None = None) -> DataFrame:
-    """Distinct moves (here, there): along edges (forward), against them (backward) or both."""
+    """Moves (here, there): along edges (forward), against them (backward) or both."""
     kept = edges if types is None else edges.where(F.col("type").isin(types))
     forward = kept.select(F.col("src").alias("here"), F.col("dst").alias("there"))
     backward = kept.select(F.col("dst").alias("here"), F.col("src").alias("there"))
     moves = {"forward": forward, "backward": backward, "both": forward.unionAll(backward)}[direction]
-    return moves.distinct()
+    return moves
 
 
 def levels(edges: DataFrame, starts: DataFrame, direction: str = "backward", types: list[str] | None = None, depth: int | None = None, cut_every: int = 3) -> DataFrame:
@@ -28,7 +30,7 @@ def levels(edges: DataFrame, starts: DataFrame, direction: str = "backward", typ
     moves = steps(edges, direction, types)
     seen = starts.select("start", F.col("start").alias("id"), F.lit(0).alias("level")).distinct()
     if depth is None or depth > cut_every:
-        moves, seen = written(moves), written(seen)
+        moves, seen = written(moves.distinct()), written(seen)
     frontier, level = seen, 0
     while depth is None or level < depth:
         level += 1
@@ -44,9 +46,10 @@ def levels(edges: DataFrame, starts: DataFrame, direction: str = "backward", typ
     return seen
 
 
-def severity(edges: DataFrame) -> DataFrame:
-    """id and severity of every node on an edge, by the types of its edges at either end."""
+def severity(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """id and severity of every node on an edge, by the types of its edges at either end; of the nodes in ``of`` (id) alone, if given."""
     ends = edges.select(F.col("src").alias("id"), "type").unionAll(edges.select(F.col("dst").alias("id"), "type"))
+    ends = ends if of is None else ends.join(of, "id", "left_semi")
     rank = F.max(F.when(F.col("type").isin(*HIGH), 2).when(F.col("type").isin(*MEDIUM), 1).otherwise(0))
     return ends.groupBy("id").agg(rank.alias("_r")).select("id", severity_name(F.col("_r")).alias("severity"))
 
@@ -55,29 +58,134 @@ def severity_name(rank: Column) -> Column:
     return F.when(rank == 2, F.lit("high")).when(rank == 1, F.lit("medium")).otherwise(F.lit("low"))
 
 
-def neighbours(edges: DataFrame, kind: str, name: str, nodes: DataFrame | None = None, only: str | None = None) -> DataFrame:
-    """id and the sorted distinct sources of its incoming edges of one type; ``only`` keeps sources of one node type."""
-    found = edges.where(F.col("type") == kind).select(F.col("dst").alias("id"), F.col("src").alias("_s"))
+def incoming(edges: DataFrame, kind: str, nodes: DataFrame | None = None, only: str | None = None, of: DataFrame | None = None) -> DataFrame:
+    """Distinct id and source of incoming edges of one type; ``only`` keeps sources of one node type, ``of`` (id) some nodes."""
+    found = edges.where(F.col("type") == kind).select(F.col("dst").alias("id"), F.col("src").alias("source"))
+    if of is not None:
+        found = found.join(of, "id", "left_semi")
     if only is not None:
-        found = found.join(nodes.where(F.col("type") == only).select(F.col("id").alias("_s")), "_s", "left_semi")
-    return found.groupBy("id").agg(F.array_sort(F.collect_set("_s")).alias(name))
+        found = found.join(nodes.where(F.col("type") == only).select(F.col("id").alias("source")), "source", "left_semi")
+    return found.select("id", "source").distinct()
+
+
+def neighbours(edges: DataFrame, kind: str, name: str, nodes: DataFrame | None = None, only: str | None = None, of: DataFrame | None = None) -> DataFrame:
+    """id and the sorted distinct sources of its incoming edges of one type, as for incoming()."""
+    return incoming(edges, kind, nodes, only, of).groupBy("id").agg(F.array_sort(F.collect_list("source")).alias(name))
 
 
-def impact(nodes: DataFrame, edges: DataFrame, starts: DataFrame, direction: str = "backward", types: list[str] | None = None, depth: int | None = None, only: str | None = None) -> DataFrame:
-    """start, id, type, level, severity, called_by and imported_by of every node within ``depth`` of each start; ``only`` keeps one node type."""
-    reached = levels(edges, starts, direction, types, depth)
-    kept = nodes if only is None else nodes.where(F.col("type") == only)
-    none = F.array().cast("array<string>")
-    return (
-        reached.join(kept.select("id", "type"), "id")
-        .join(severity(edges), "id", "left")
-        .join(neighbours(edges, "CALLS", "called_by"), "id", "left")
-        .join(neighbours(edges, "IMPORTS", "imported_by"), "id", "left")
-        .select("start", "id", "type", "level", F.coalesce("severity", F.lit("low")).alias("severity"), F.coalesce("called_by", none).alias("called_by"), F.coalesce("imported_by", none).alias("imported_by"))
-    )
+def impact(nodes: DataFrame, edges: DataFrame, starts: DataFrame, direction: str = "backward", types: list[str] | None = None, depth: int | None = None, only: str | None = None, lists: bool = True) -> DataFrame:
+    """start, id, type, level and severity of every node within ``depth`` of each start, with its callers and importers; ``only`` keeps one node type.
+
+    called_by and imported_by are lists; without ``lists`` n_called_by and n_imported_by count them, so that no hub's callers meet in one array. Edges are read once, and only those of reached nodes are grouped.
+    """
+    edges = written(edges)
+    reached = written(levels(edges, starts, direction, types, depth))
+    kept = reached.join((nodes if only is None else nodes.where(F.col("type") == only)).select("id", "type"), "id")
+    ids = reached.select("id").distinct()
+    out = kept.join(severity(edges, ids), "id", "left").withColumn("severity", F.coalesce("severity", F.lit("low")))
+    for kind, name in (("CALLS", "called_by"), ("IMPORTS", "imported_by")):
+        if lists:
+            out = out.join(neighbours(edges, kind, name, of=ids), "id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+        else:
+            counts = incoming(edges, kind, of=ids).groupBy("id").agg(F.count("*").alias(f"n_{name}"))
+            out = out.join(counts, "id", "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0).cast("long")))
+    names = ("called_by", "imported_by") if lists else ("n_called_by", "n_imported_by")
+    return out.select("start", "id", "type", "level", "severity", *names)
 
 
 def summary(report: DataFrame) -> DataFrame:
     """Per start: nodes reached, highest level, and nodes by type as a map."""
     by_type = report.groupBy("start", "type").agg(F.count("*").alias("n"), F.max("level").alias("top"))
     return by_type.groupBy("start").agg(F.sum("n").alias("total_impact"), F.max("top").alias("highest_level"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("impact_by_type"))
+
+
+def _without_chains(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges past nodes with one way in and one way out, and those nodes (v, u, w) round by round: u leads to v, v to w.
+
+    A round takes nodes no two of which are neighbours, about a third of each chain, so a cycle or chain of any length is gone after logarithmically many.
+    """
+    taken = []
+    while True:
+        into = edges.groupBy(F.col("dst").alias("v")).agg(F.count("*").alias("n"), F.min("src").alias("u")).where("n = 1").select("v", "u")
+        out = edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("n"), F.min("dst").alias("w")).where("n = 1").select("v", "w")
+        single = written(into.join(out, "v").withColumn("rank", F.xxhash64("v", F.lit(len(taken)))))
+        other = single.select(F.col("v").alias("o"), F.col("rank").alias("other"))
+        free = single
+        for end in ("u", "w"):
+            free = free.join(other, free[end] == other["o"], "left").where("other IS NULL OR rank < other OR (rank = other AND v < o)").select("v", "u", "w", "rank")
+        free = written(free.select("v", "u", "w"))
+        if free.count() * 20 <= edges.count():
+            return edges, taken
+        taken.append(free)
+        gone = free.select("v")
+        left = edges.join(gone, edges["src"] == gone["v"], "left_anti").join(gone, edges["dst"] == gone["v"], "left_anti")
+        edges = written(left.unionAll(free.where("u <> w").select(F.col("u").alias("src"), F.col("w").alias("dst"))).distinct())
+
+
+def _trimmed(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """Edges between nodes that have both a way in and a way out; the others are components of their own."""
+    for _ in range(rounds):
+        into, out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges = edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst")
+    return written(edges)
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """node and colour: the smallest node that reaches it. Colours of colours are taken too, which shortens long ways."""
+    colours = written(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("colour", F.col("node")))
+    before = None
+    while True:
+        come = edges.join(colours, edges["src"] == colours["node"]).select(F.col("dst").alias("node"), "colour")
+        least = colours.select("node", "colour").unionAll(come).groupBy("node").agg(F.min("colour").alias("colour"))
+        up = least.select(F.col("node").alias("colour"), F.col("colour").alias("_up"))
+        colours = written(least.join(up, "colour", "left").select("node", F.coalesce("_up", "colour").alias("colour")))
+        state = colours.agg(F.sum(F.xxhash64("node", "colour").cast("decimal(38,0)"))).first()[0]
+        if state == before:
+            return colours
+        before = state
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node and component (its smallest node) of every node of ``edges`` (src, dst).
+
+    Chains are passed over; then, until no edge is left, nodes without a way in or out are trimmed, every node takes the colour of the smallest node that reaches it, and what reaches
+    that node again inside its colour is a component (forward-backward colouring). Edges between colours belong to no component. Nodes of chains join where both their ends did.
+    """
+    every = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    plain = written(edges.where("src <> dst").select("src", "dst").distinct())
+    left, taken = _without_chains(plain)
+    found = left.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    while True:
+        left = _trimmed(left)
+        if not left.take(1):
+            break
+        colours = _coloured(left)
+        c, d = (colours.select(F.col("node").alias(end), F.col("colour").alias(f"_{end}")) for end in ("src", "dst"))
+        inside = written(left.join(c, "src").join(d, "dst").where("_src = _dst").select("src", "dst", F.col("_src").alias("colour")))
+        known = fresh = written(colours.where("node = colour").select("node", "colour"))
+        while fresh.take(1):
+            back = inside.join(fresh.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+            fresh = written(back.join(known, ["node", "colour"], "left_anti"))
+            known = known.unionAll(fresh)
+        known = written(known)
+        found = found.unionAll(known.select("node", F.col("colour").alias("component")))
+        done = known.select("node")
+        left = inside.join(done, inside["src"] == done["node"], "left_anti").join(done, inside["dst"] == done["node"], "left_anti").select("src", "dst")
+    for chain in reversed(taken):
+        u, w = (found.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")) for end in "uw")
+        ends = chain.join(u, "u", "left").join(w, "w", "left").select("v", F.coalesce("_u", "u").alias("a"), F.coalesce("_w", "w").alias("b"))
+        found = written(found.unionAll(ends.where("a = b").select(F.col("v").alias("node"), F.col("a").alias("component"))))
+    named = every.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("_name"))
+    least = named.groupBy("_name").agg(F.min("node").alias("component"))
+    return written(named.join(least, "_name").select("node", "component"))
+
+
+def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (node, component) of the strongly connected components of ``edges``, and links (component, reached) to every other component that one reaches."""
+    members = strong_components(edges)
+    a, b = (members.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")) for end in ("src", "dst"))
+    between = written(edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("_src <> _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct())
+    if not between.take(1):
+        return members, between.select(F.col("src").alias("component"), F.col("dst").alias("reached"))
+    found = levels(between.withColumn("type", F.lit("")), between.select(F.col("src").alias("start")).distinct(), "forward")
+    return members, found.where("level > 0").select(F.col("start").alias("component"), F.col("id").alias("reached"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spandrel.operators import graph, traverse
+from spandrel.operators.storage import written
 from spandrel.plans.registry import query
 from spandrel.sources.tables import TRADE_SQL, read, trade_edges, trade_nodes
 
@@ -22,8 +23,8 @@ def starts(spark: SparkSession, ids: list[str]) -> DataFrame:
 
 def report(spark: SparkSession, sf_dir: str, ids: list[str], direction: str, depth: int) -> DataFrame:
     edges = trade_edges(spark, sf_dir)
-    found = traverse.impact(trade_nodes(spark, sf_dir), edges, starts(spark, ids), direction, depth=depth)
-    return found.select("start", "id", "type", "level", "severity", F.size("called_by").cast("long").alias("n_callers"))
+    found = traverse.impact(trade_nodes(spark, sf_dir), edges, starts(spark, ids), direction, depth=depth, lists=False)
+    return found.select("start", "id", "type", "level", "severity", F.col("n_called_by").alias("n_callers"))
 
 
 def report_sql(ids: list[str], direction: str, depth: int) -> str:
@@ -62,28 +63,44 @@ def impact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def purchase_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's high purchase leads to the user of the next one in time; cyclic.
+    """A user's purchase leads to the user of the next one in time; cyclic.
 
     Purchases are ordered hour by hour, so that no task orders all of them; only the first and last user of each hour, one row an hour, meet in one window.
     """
     order = F.struct("ts", "event_id")
-    high = read(spark, sf_dir, "events").where("event_type = 'purchase' AND value > 90").select("ts", "event_id", F.col("user_id").cast("string").alias("src"), F.date_trunc("hour", "ts").alias("hour"))
-    inside = high.select("src", F.lead("src").over(Window.partitionBy("hour").orderBy("ts", "event_id")).alias("dst"))
-    ends = high.groupBy("hour").agg(F.min_by("src", order).alias("first"), F.max_by("src", order).alias("last"))
+    bought = read(spark, sf_dir, "events").where("event_type = 'purchase'").select("ts", "event_id", F.col("user_id").cast("string").alias("src"), F.date_trunc("hour", "ts").alias("hour"))
+    inside = bought.select("src", F.lead("src").over(Window.partitionBy("hour").orderBy("ts", "event_id")).alias("dst"))
+    ends = bought.groupBy("hour").agg(F.min_by("src", order).alias("first"), F.max_by("src", order).alias("last"))
     across = ends.select(F.col("last").alias("src"), F.lead("first").over(Window.orderBy("hour")).alias("dst"))
     return inside.unionAll(across).where("dst IS NOT NULL").distinct().withColumn("type", F.lit("NEXT"))
 
 
-@query("""
-WITH RECURSIVE high AS (SELECT ts, event_id, CAST(user_id AS VARCHAR) AS u FROM events WHERE event_type = 'purchase' AND value > 90),
-e AS (SELECT DISTINCT src, dst FROM (SELECT u AS src, lead(u) OVER (ORDER BY ts, event_id) AS dst FROM high) WHERE dst IS NOT NULL),
-r AS (SELECT DISTINCT src AS start, src AS id FROM e UNION SELECT start, dst FROM r JOIN e ON id = src)
-SELECT start, id FROM r
-""")
+CLOSURE_SQL = """WITH RECURSIVE bought AS (SELECT ts, event_id, CAST(user_id AS VARCHAR) AS u FROM events WHERE event_type = 'purchase'),
+e AS (SELECT DISTINCT src, dst FROM (SELECT u AS src, lead(u) OVER (ORDER BY ts, event_id) AS dst FROM bought) WHERE dst IS NOT NULL),
+r AS (SELECT DISTINCT src AS start, src AS id FROM e UNION SELECT start, dst FROM r JOIN e ON id = src)"""
+
+
+@query(CLOSURE_SQL + " SELECT start, id FROM r")
 def reachability_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of a start and a user reachable from it, from every user with a next one; the result itself is as large as the closure."""
-    edges = purchase_edges(spark, sf_dir)
-    return traverse.levels(edges, edges.select(F.col("src").alias("start")), "forward").select("start", "id")
+    """Every pair of a start and a user reachable from it, from every user with a next one; the result itself is as large as the closure.
+
+    It is spelled out from the components: members of a start's component and of those it reaches.
+    """
+    edges = written(purchase_edges(spark, sf_dir))
+    members, links = traverse.condensed(edges)
+    own = members.select("component", F.col("component").alias("reached")).distinct().unionAll(links)
+    starts = members.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+    return starts.withColumnRenamed("node", "start").join(own, "component").join(members.select(F.col("node").alias("id"), F.col("component").alias("reached")), "reached").select("start", "id")
+
+
+@query(CLOSURE_SQL + """, p AS (SELECT start, id FROM r UNION SELECT dst, dst FROM e),
+m AS (SELECT a.start AS node, min(a.id) AS component FROM p a JOIN p b ON a.start = b.id AND a.id = b.start GROUP BY a.start)
+SELECT 'member' AS kind, component, node AS other FROM m
+UNION ALL SELECT DISTINCT 'link', a.component, b.component FROM p JOIN m a ON p.start = a.node JOIN m b ON p.id = b.node WHERE a.component <> b.component""")
+def reachability_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same closure without its pairs: members of each strongly connected component, and links to the components it reaches."""
+    members, links = traverse.condensed(purchase_edges(spark, sf_dir))
+    return members.select(F.lit("member").alias("kind"), "component", F.col("node").alias("other")).unionAll(links.select(F.lit("link"), "component", "reached"))
 
 
 @query("SELECT o_custkey, o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1")
