@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spandrel.functions.scalar import TERMINAL
 from spandrel.operators import tasks
+from spandrel.operators.storage import shared_folder
 from spandrel.plans.registry import query
-from spandrel.streaming import streams
+from spandrel.sources.tables import read
+from spandrel.streaming import machine, streams
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,3 +48,69 @@ def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
     calls = events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), at.alias("at_ms"), (F.col("value") > 95).alias("ok"), (F.col("event_type") == "view").alias("business"))
     return streams.drain(streams.breaker(calls))
+
+
+#: Moves that kinds of events stand for.
+MOVES = {"signup": "start", "view": "pause", "click": "resume", "purchase": "complete", "error": "fail"}
+
+
+def moved_tasks(e: DataFrame) -> DataFrame:
+    """Events as moves of their users' tasks."""
+    names = F.create_map(*(F.lit(x) for p in MOVES.items() for x in p))
+    ts = F.col("ts").cast("timestamp")
+    return e.select(F.col("user_id").alias("task_id"), "event_id", F.unix_millis(ts).alias("at_ms"), F.try_element_at(names, F.col("event_type")).alias("event"), ts.alias("ts"))
+
+
+ENDED_SQL = "(" + ", ".join(f"'{s}'" for s in TERMINAL) + ")"
+NEXT_SQL = "MAP {" + ", ".join(f"'{s}>{e}': '{t}'" for (s, e), t in tasks.TRANSITIONS.items()) + "}"
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT user_id AS u, event_id AS id, epoch_ms(ts) AS at, MAP {MOVES}[event_type] AS ev, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS rn FROM events),
+s AS (SELECT u, 0 AS rn, NULL::VARCHAR AS status, NULL::BIGINT AS upd, NULL::BIGINT AS id, NULL::BIGINT AS at, NULL::VARCHAR AS ev, NULL::VARCHAR AS was, NULL::BIGINT AS since, NULL::VARCHAR AS kind FROM (SELECT DISTINCT u FROM e)
+  UNION ALL SELECT u, rn, CASE WHEN nxt IS NOT NULL THEN nxt ELSE now END, CASE WHEN nxt IS NOT NULL THEN at ELSE now_upd END, id, at, ev, status, upd, CASE WHEN nxt IS NOT NULL THEN 'moved' ELSE 'illegal' END
+  FROM (SELECT *, {NEXT_SQL}[coalesce(now, 'PENDING') || '>' || ev] AS nxt FROM (SELECT e.*, s.status, s.upd,
+    CASE WHEN s.status IS NULL OR s.upd + 28800000 > e.at THEN s.status WHEN s.status IN {ENDED_SQL} OR s.upd + 57600000 <= e.at THEN NULL ELSE 'CANCELLED' END AS now,
+    CASE WHEN s.status IS NULL OR s.upd + 28800000 > e.at THEN s.upd WHEN s.status IN {ENDED_SQL} OR s.upd + 57600000 <= e.at THEN NULL ELSE s.upd + 28800000 END AS now_upd
+    FROM s JOIN e ON e.u = s.u AND e.rn = s.rn + 1))),
+idle AS (SELECT u, was AS status, since AS upd, at AS now FROM s WHERE was IS NOT NULL
+  UNION ALL SELECT u, status, upd, (SELECT max(at) - 600000 FROM e) FROM (SELECT *, max(rn) OVER (PARTITION BY u) AS top FROM s) WHERE rn = top AND status IS NOT NULL)
+SELECT u AS task_id, at AS at_ms, id AS event_id, kind, ev AS event, status FROM s WHERE rn > 0
+UNION ALL SELECT u, upd + 28800000, NULL, CASE WHEN status IN {ENDED_SQL} THEN 'deleted' ELSE 'cancelled' END, 'idle', CASE WHEN status IN {ENDED_SQL} THEN NULL ELSE 'CANCELLED' END FROM idle WHERE upd + 28800000 <= now
+UNION ALL SELECT u, upd + 57600000, NULL, 'deleted', 'idle', NULL FROM idle WHERE status NOT IN {ENDED_SQL} AND upd + 57600000 <= now
+""")
+def stream_task_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves, illegal moves, and what eight idle hours do to each user's task."""
+    return with_rocks(spark, lambda: streams.drain(machine.moves(moved_tasks(events(spark, sf_dir)))))
+
+
+def with_rocks(spark: SparkSession, f):
+    """f() with the state store that timers need."""
+    before = spark.conf.get(machine.STORE)
+    spark.conf.set(machine.STORE, machine.ROCKS)
+    try:
+        return f()
+    finally:
+        spark.conf.set(machine.STORE, before)
+
+
+@query("""
+WITH d AS (SELECT date_trunc('day', ts)::DATE AS day, count(*) AS n, sum(event_id) AS ids, max(value) > 99.7 AS bad FROM events GROUP BY 1)
+SELECT day::VARCHAR AS day, CASE WHEN bad THEN NULL ELSE n END AS n, CASE WHEN bad THEN NULL ELSE ids::BIGINT END AS ids, bad AS failed FROM d
+""")
+def stream_failed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch a day; a day with a value over 99.7 fails, and its file is in the ledger."""
+    e = read(spark, sf_dir, "events").select("event_id", "value", F.to_date("ts").alias("day"))
+    days = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    e.repartition("day").write.partitionBy("day").parquet(days)
+
+    def work(batch: DataFrame) -> DataFrame:
+        top = batch.agg(F.max("value")).first()[0]
+        if top > 99.7:
+            raise ValueError("a value is too high")
+        return batch.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(days)
+    done, ledger = streams.attempted(stream, work, "day string, n long, ids long")
+    lost = ledger.select(F.explode("files").alias("file")).select(F.regexp_extract("file", r"day=([0-9-]+)", 1).alias("day"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("ids"), F.lit(True).alias("failed"))
+    return done.withColumn("failed", F.lit(False)).unionByName(lost)

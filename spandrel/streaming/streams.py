@@ -20,14 +20,16 @@ def source(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFr
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
 
 
-def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, folder: str | None = None) -> DataFrame:
     """Run ``stream`` until its source is empty, into files; return what it wrote. Complete mode keeps the last batch only.
 
+    ``folder`` keeps rows and checkpoint: a later call with it goes on where the last one ended, with its state.
+
     Every micro-batch overwrites the folder of its own epoch, so one that is run again after a failure is not there twice. A batch whose ``each``
     raises ends the stream with that error, and nothing of it is written.
     """
     spark = stream.sparkSession
-    out = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    out = folder or f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, epoch: int) -> None:
         if each:
@@ -39,6 +41,32 @@ def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, in
     return written.select(*stream.columns)
 
 
+def attempted(stream: DataFrame, work: Callable[[DataFrame], DataFrame], schema: str, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Run ``stream`` until its source is empty; a batch whose ``work`` fails goes to a ledger, and the next ones go on.
+
+    Returns what ``work`` made of the good batches (of ``schema``), and the ledger: epoch, files and error of each failed one. Both are kept by epoch, and an epoch that is run
+    again replaces its rows in both, so a batch that fails and later passes is in one of them.
+    """
+    spark = stream.sparkSession
+    out = folder or f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    ledger = "epoch long, files array<string>, error string"
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        at, failed = f"epoch={epoch}", []
+        try:
+            work(batch.drop("_file")).write.mode("overwrite").parquet(f"{out}/data/{at}")
+        except Exception as e:  # whatever the work raises is the batch's result
+            files = sorted(r[0] for r in batch.select("_file").distinct().collect())  # a trigger bounds them
+            failed = [(epoch, files, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")]
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/data/{at}")
+        spark.createDataFrame(failed, ledger).write.mode("overwrite").parquet(f"{out}/ledger/{at}")
+
+    named = stream.withColumn("_file", F.col("_metadata.file_path"))
+    named.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(run).start().awaitTermination()
+    of = lambda kind, columns: spark.read.schema(columns).option("recursiveFileLookup", True).parquet(f"{out}/{kind}")
+    return of("data", schema), of("ledger", ledger)
+
+
 def debounced(diagnostics: DataFrame, key: str, ts: str, gap: str, delay: str, order: str) -> DataFrame:
     """The last row of each burst: rows of a key less than ``gap`` apart. A burst is emitted when the watermark passes its end."""
     rest = [c for c in diagnostics.columns if c not in (key, ts)]
