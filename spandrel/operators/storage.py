@@ -37,6 +37,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Texts can be long: about ``size`` bytes of them go to Python at once; a longer text goes alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def clean(spark: SparkSession) -> None:
     """Remove all that this application wrote; frames read from it are of no use afterwards."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
