@@ -152,6 +152,11 @@ def relative_path(base: Column, path: Column) -> Column:
     return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(a) - shared), F.slice(b, shared + 1, F.size(b))), "/")
 
 
+def encoded(text: Column | str) -> Column:
+    """Base64 of the UTF-8 bytes, in one line."""
+    return F.regexp_replace(F.base64(F.encode(col(text), "UTF-8")), r"\s", "")
+
+
 def words_of_code(text: Column | str) -> Column:
     """Every run of letters, digits, ``_`` and ``$``, in order, repeats included."""
     return F.regexp_extract_all(col(text), F.lit(r"[\w$]+"), F.lit(0))

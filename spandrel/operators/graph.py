@@ -30,6 +30,11 @@ def dedup_edges(edges: DataFrame) -> DataFrame:
     return first_by(edges, ["src", "dst", "type"], "ordinal")
 
 
+def defined_once(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """key and the sorted distinct names (classes, functions, imports) that each file defines; nulls are no names."""
+    return rows.where(F.col(name).isNotNull()).select(key, name).distinct().groupBy(key).agg(F.array_sort(F.collect_list(name)).alias("names"))
+
+
 def existing_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select(F.col("id").alias("_id"))
     return edges.join(ids, F.col("src") == F.col("_id"), "left_semi").join(ids, F.col("dst") == F.col("_id"), "left_semi")

@@ -22,6 +22,12 @@ MEET: dict[str, tuple[Callable, Callable]] = {
 }
 
 
+def few(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """A written table, broadcast if it is small."""
+    table = written(table)
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def cut(rows: DataFrame, key: list[str], order: list[str], least: int | None = None) -> DataFrame:
     """``rows``, with the column _part if a key is hot: rows of one key and part are one range of the order."""
     least = LEAST if least is None else least

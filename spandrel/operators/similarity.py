@@ -53,3 +53,16 @@ def candidates(new: DataFrame, known: DataFrame, key: list[str], threshold: floa
     b = rows.where("side = 'known'").select(*key, F.col("set").alias("other"), F.col("id").alias("known_id"))
     out = found.unionByName(flipped).unionByName(same).join(a, [*key, "one"]).join(b, [*key, "other"]).where(F.col("new_id") != F.col("known_id"))
     return out.select("new_id", "known_id", "similarity").withColumn("is_similar", judge(F.col("similarity")) if judge else F.lit(True))
+
+
+def clone_classes(functions: DataFrame, key: list[str], threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Members (id, clone_class) and links (one, other, similarity) of ``functions`` (id, text, key columns): a class holds the rows of equal key and token set and is called by its smallest id.
+
+    Copies are members and are not compared; links join different classes of one key that are alike. Rows with a null key or text are left out.
+    """
+    rows = written(functions.select(*key, "id", F.array_sort(tokens("text")).alias("words")).dropna(subset=[*key, "words"]).withColumn("set", F.sha2(F.concat_ws(" ", "words"), 256)))
+    sets = written(rows.groupBy(*key, "set").agg(F.any_value("words").alias("words"), F.min("id").alias("clone_class")))
+    found = similar_sets(sets.select(*key, "set", "words"), key, threshold)
+    named = lambda c, to: sets.select(*key, F.col("set").alias(c), F.col("clone_class").alias(to))
+    links = found.join(named("one", "a"), [*key, "one"]).join(named("other", "b"), [*key, "other"]).select(F.least("a", "b").alias("one"), F.greatest("a", "b").alias("other"), "similarity")
+    return rows.join(sets.select(*key, "set", "clone_class"), [*key, "set"]).select("id", "clone_class"), links

@@ -24,9 +24,16 @@ def newest(df: DataFrame, n: int | None, *order: str) -> DataFrame:
     return out if n is None else out.limit(n)
 
 
-def newest_per(df: DataFrame, key: str, n: int, *order: str) -> DataFrame:
+def newest_per(df: DataFrame, key: str, n: int, *order: str, rank: str | None = None) -> DataFrame:
+    """The ``n`` last rows of each key, with their ``rank`` from the end; every task sends at most n rows of a key."""
     rn = F.row_number().over(Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order)))
-    return df.withColumn("_rn", rn).where(F.col("_rn") <= n).drop("_rn")
+    top = df.withColumn("_rn", rn).where(F.col("_rn") <= n)
+    return top.withColumnRenamed("_rn", rank) if rank else top.drop("_rn")
+
+
+def by_id(tasks: DataFrame, key: str, ids: list) -> DataFrame:
+    """The tasks of some ids; the filter reaches the scan."""
+    return tasks.where(F.col(key).isin(ids))
 
 
 def is_terminal(status: Column | str) -> Column:

@@ -16,6 +16,11 @@ from spandrel.operators.storage import written
 HIGH, MEDIUM = ("CALLS", "CALLS_IMPLEMENTATION"), ("IMPLEMENTS", "EXTENDS", "IMPLEMENTED_BY")
 
 
+def types(edges: DataFrame) -> DataFrame:
+    """The kinds of edges that a graph has, which a walk follows unless it is given some."""
+    return edges.select("type").distinct()
+
+
 def steps(edges: DataFrame, direction: str, types: list[str] | None = None) -> DataFrame:
     """Moves (here, there): along edges (forward), against them (backward) or both."""
     kept = edges if types is None else edges.where(F.col("type").isin(types))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spandrel.functions import scalar
-from spandrel.operators import diffing, graph, intervals, tasks
+from spandrel.operators import diffing, graph, intervals, ordered, tasks
 from spandrel.plans.registry import query
 from spandrel.sources.tables import read
 
@@ -166,15 +166,23 @@ def batch_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, doc_id, CAST((rn - 1) // 10 AS BIGINT) AS chunk, round(100.0 * rn / n, 6) AS progress FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents)")
 def chunk_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, w = read(spark, sf_dir, "documents").select("source", "doc_id"), Window.partitionBy("source")
-    rn = F.row_number().over(w.orderBy("doc_id"))
-    return d.select("source", "doc_id", F.floor((rn - 1) / 10).alias("chunk"), F.round(F.lit(100.0) * rn / F.count("*").over(w), 6).alias("progress"))
+    """Ranks are a running count, which large sources take range by range."""
+    d = read(spark, sf_dir, "documents").select("source", "doc_id")
+    ranked = ordered.scan(ordered.cut(d, ["source"], ["doc_id"]), ["source"], ["doc_id"], rn=("sum", F.lit(1).cast("long")))
+    sizes = d.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("n"))
+    n = ranked.join(ordered.few(sizes), F.col("source").eqNullSafe(F.col("_s")))
+    return n.select("source", "doc_id", F.floor((F.col("rn") - 1) / 10).alias("chunk"), F.round(F.lit(100.0) * F.col("rn") / F.col("n"), 6).alias("progress"))
+
+
+#: A value counts half as much as the one after it: before so many, doubles of any size that occur add nothing.
+HALVINGS = 1100
 
 
 @query("SELECT user_id, round(list_reduce(list_prepend(CAST(0 AS DOUBLE), list(value ORDER BY event_id)), lambda a, x: (a + x) / 2), 6) AS mean FROM events GROUP BY user_id")
 def exp_running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: s["value"])
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(values.alias("v")).select("user_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: (a + x) / 2), 6).alias("mean"))
+    """The mean of the last mean and a value is a sum of values over powers of two, so a user's last values are summed and no list is kept."""
+    last = tasks.newest_per(read(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", HALVINGS, "event_id", rank="rank")
+    return last.groupBy("user_id").agg(F.round(F.sum(F.col("value") * F.pow(F.lit(0.5), F.col("rank"))), 6).alias("mean"))
 
 
 @query("""

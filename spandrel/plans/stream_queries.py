@@ -42,7 +42,15 @@ def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drain(streams.debounced(e, "user_id", "ts", "30 minutes", "10 minutes", "ts")).withColumn("burst_start", F.col("burst_start").cast("timestamp_ntz"))
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (SELECT user_id AS u, event_id AS id, (epoch_us(ts) // 1000) AS ms, value > 95 AS ok, event_type = 'view' AS business, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS rn FROM events),
+s AS (SELECT u, 0::BIGINT AS rn, NULL::BIGINT AS id, 'CLOSED' AS name, 0::BIGINT AS f, 0::BIGINT AS o, 0::BIGINT AS k FROM (SELECT DISTINCT u FROM c)
+  UNION ALL SELECT u, rn, id,
+    CASE WHEN shut OR business THEN now WHEN ok THEN CASE WHEN now = 'HALF_OPEN' THEN 'CLOSED' ELSE now END WHEN now = 'HALF_OPEN' OR f >= 9 THEN 'OPEN' ELSE now END,
+    CASE WHEN shut OR business THEN f WHEN ok THEN 0 ELSE f + 1 END, CASE WHEN NOT shut AND NOT business AND NOT ok AND (now = 'HALF_OPEN' OR f >= 9) THEN ms ELSE o END, 0
+  FROM (SELECT c.u, c.rn, c.id, c.ms, c.ok, c.business, s.f, s.o, s.name = 'OPEN' AND c.ms - s.o < 15000 AS shut, CASE WHEN s.name = 'OPEN' AND c.ms - s.o >= 15000 THEN 'HALF_OPEN' ELSE s.name END AS now FROM s JOIN c ON c.u = s.u AND c.rn = s.rn + 1))
+SELECT u AS key, id, name AS state FROM s WHERE rn > 0
+""")
 def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of each user's circuit breaker after each event; low values are failures."""
     at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
@@ -66,16 +74,16 @@ NEXT_SQL = "MAP {" + ", ".join(f"'{s}>{e}': '{t}'" for (s, e), t in tasks.TRANSI
 
 
 @query(f"""
-WITH RECURSIVE e AS (SELECT user_id AS u, event_id AS id, epoch_ms(ts) AS at, MAP {MOVES}[event_type] AS ev, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS rn FROM events),
-s AS (SELECT u, 0 AS rn, NULL::VARCHAR AS status, NULL::BIGINT AS upd, NULL::BIGINT AS id, NULL::BIGINT AS at, NULL::VARCHAR AS ev, NULL::VARCHAR AS was, NULL::BIGINT AS since, NULL::VARCHAR AS kind FROM (SELECT DISTINCT u FROM e)
-  UNION ALL SELECT u, rn, CASE WHEN nxt IS NOT NULL THEN nxt ELSE now END, CASE WHEN nxt IS NOT NULL THEN at ELSE now_upd END, id, at, ev, status, upd, CASE WHEN nxt IS NOT NULL THEN 'moved' ELSE 'illegal' END
+WITH RECURSIVE e AS (SELECT user_id AS u, event_id AS id, (epoch_us(ts) // 1000) AS ms, MAP {MOVES}[event_type] AS ev, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS rn FROM events),
+s AS (SELECT u, 0 AS rn, NULL::VARCHAR AS status, NULL::BIGINT AS upd, NULL::BIGINT AS id, NULL::BIGINT AS ms, NULL::VARCHAR AS ev, NULL::VARCHAR AS was, NULL::BIGINT AS since, NULL::VARCHAR AS kind FROM (SELECT DISTINCT u FROM e)
+  UNION ALL SELECT u, rn, CASE WHEN nxt IS NOT NULL THEN nxt ELSE now END, CASE WHEN nxt IS NOT NULL THEN ms ELSE now_upd END, id, ms, ev, status, upd, CASE WHEN nxt IS NOT NULL THEN 'moved' ELSE 'illegal' END
   FROM (SELECT *, {NEXT_SQL}[coalesce(now, 'PENDING') || '>' || ev] AS nxt FROM (SELECT e.*, s.status, s.upd,
-    CASE WHEN s.status IS NULL OR s.upd + 28800000 > e.at THEN s.status WHEN s.status IN {ENDED_SQL} OR s.upd + 57600000 <= e.at THEN NULL ELSE 'CANCELLED' END AS now,
-    CASE WHEN s.status IS NULL OR s.upd + 28800000 > e.at THEN s.upd WHEN s.status IN {ENDED_SQL} OR s.upd + 57600000 <= e.at THEN NULL ELSE s.upd + 28800000 END AS now_upd
+    CASE WHEN s.status IS NULL OR s.upd + 28800000 > e.ms THEN s.status WHEN s.status IN {ENDED_SQL} OR s.upd + 57600000 <= e.ms THEN NULL ELSE 'CANCELLED' END AS now,
+    CASE WHEN s.status IS NULL OR s.upd + 28800000 > e.ms THEN s.upd WHEN s.status IN {ENDED_SQL} OR s.upd + 57600000 <= e.ms THEN NULL ELSE s.upd + 28800000 END AS now_upd
     FROM s JOIN e ON e.u = s.u AND e.rn = s.rn + 1))),
-idle AS (SELECT u, was AS status, since AS upd, at AS now FROM s WHERE was IS NOT NULL
-  UNION ALL SELECT u, status, upd, (SELECT max(at) - 600000 FROM e) FROM (SELECT *, max(rn) OVER (PARTITION BY u) AS top FROM s) WHERE rn = top AND status IS NOT NULL)
-SELECT u AS task_id, at AS at_ms, id AS event_id, kind, ev AS event, status FROM s WHERE rn > 0
+idle AS (SELECT u, was AS status, since AS upd, ms AS now FROM s WHERE was IS NOT NULL
+  UNION ALL SELECT u, status, upd, (SELECT max(ms) - 600000 FROM e) FROM (SELECT *, max(rn) OVER (PARTITION BY u) AS top FROM s) WHERE rn = top AND status IS NOT NULL)
+SELECT u AS task_id, ms AS at_ms, id AS event_id, kind, ev AS event, status FROM s WHERE rn > 0
 UNION ALL SELECT u, upd + 28800000, NULL, CASE WHEN status IN {ENDED_SQL} THEN 'deleted' ELSE 'cancelled' END, 'idle', CASE WHEN status IN {ENDED_SQL} THEN NULL ELSE 'CANCELLED' END FROM idle WHERE upd + 28800000 <= now
 UNION ALL SELECT u, upd + 57600000, NULL, 'deleted', 'idle', NULL FROM idle WHERE status NOT IN {ENDED_SQL} AND upd + 57600000 <= now
 """)
