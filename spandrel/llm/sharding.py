@@ -2,8 +2,8 @@
 
 Records are ordered by a key: a hash of the text above one of the row, so equal texts are neighbours and yet can be parted. Keys are drawn with probability in
 proportion to size; their quantiles are splitters that cut the order into ranges. Shards are runs of whole ranges: a shard ends at the splitter that is nearest to
-its share of the bytes. A range that holds such an end and is larger than ``TOLERANCE`` of a shard is overfull; it gets splitters from a draw of its own, all of
-them in one job a round, until none is. So shards differ from the mean by at most ``TOLERANCE`` of it or by one record, whichever is more.
+its share of the bytes. A range that holds such an end and is larger than ``TOLERANCE`` of a shard is overfull, and so is one with more than twice the rows it should have (many small records, such as
+null texts, have few bytes; the row's bits of the key part them); it gets splitters from a draw of its own, all of them in one job a round, until none is. So shards differ from the mean by at most ``TOLERANCE`` of it or by one record, whichever is more.
 
 Only ids, sizes and keys are sorted and shuffled. The driver sees the drawn keys and one row a range.
 
@@ -75,7 +75,7 @@ def sizes(rows: DataFrame, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1], out[2] > 0
 
 
-def split(rows: DataFrame, n: int, total: int, shards: int, ranges: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split(rows: DataFrame, n: int, total: int, shards: int, ranges: int, tolerance: float, range_rows: int = RANGE_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Splitters, the first range of each shard, and the rows of each range (``n`` in all)."""
     spark, splitters, seed = rows.sparkSession, np.empty(0, np.int64), 0
     wanted = {0: (ranges, total)}
@@ -100,9 +100,12 @@ def split(rows: DataFrame, n: int, total: int, shards: int, ranges: int, toleran
         first = np.where(targets - begin < ends[at] - targets, at, at + 1)
         miss = np.minimum(targets - begin, ends[at] - targets)
         overfull = np.unique(at[(miss > tolerance * total / shards) & many[at]])
-        if not len(overfull):
+        crowded = np.flatnonzero((count > 2 * range_rows) & many)
+        if not len(overfull) and not len(crowded):
             return splitters, np.concatenate([[0], np.maximum.accumulate(first)]), count
         wanted = {int(p): (int(min(64, count[p], n)), int(size[p])) for p in overfull}
+        for p in crowded.tolist():
+            wanted[p] = (max(wanted.get(p, (0,))[0], int(min(4096, -(-count[p] // range_rows) + 1))), int(size[p]))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE_ROWS, least: int = LEAST_RANGES, tolerance: float = TOLERANCE) -> DataFrame:
@@ -112,7 +115,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE_ROWS, l
     result = ["doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")]
     if not n:
         return rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).select(*result)
-    splitters, first, count = split(rows, n, total, shards, max(least, -(-n // range_rows)), tolerance)
+    splitters, first, count = split(rows, n, total, shards, max(least, -(-n // range_rows)), tolerance, range_rows)
     before = np.cumsum(count) - count
     of_range = np.searchsorted(first, np.arange(len(count)), "right") - 1
     start = [(p, int(of_range[p]), int(before[p] - before[min(first[of_range[p]], len(count) - 1)])) for p in range(len(count))]

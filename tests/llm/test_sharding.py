@@ -66,3 +66,12 @@ def test_shards_are_runs_of_keys_cut_at_splitters(spark):
 def test_small_and_empty_tables(spark):
     assert sharding.shard(spark.createDataFrame([], SCHEMA)).count() == 0
     check([(1, "x")], [r.asDict() for r in sharding.shard(spark.createDataFrame([(1, "x", None, None)], SCHEMA)).collect()])
+
+
+def test_many_small_equal_records_do_not_crowd_a_range(spark):
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN CAST(NULL AS STRING) ELSE repeat(concat('t', id), 30) END AS text", "'k' AS key", "1 AS shard")
+    made = spark.createDataFrame(sharding.records(rows).collect(), "doc_id long, size long, text_crc32 long, key long")
+    n, total = made.count(), made.agg({"size": "sum"}).first()[0]
+    _, _, count = sharding.split(made, n, total, 8, 32, sharding.TOLERANCE, 500)
+    assert count.sum() == n and count.max() <= 1000
+    check([(r.doc_id, r.text) for r in rows.collect()], [r.asDict() for r in sharding.shard(rows, range_rows=500, least=32).collect()])
