@@ -34,7 +34,7 @@ def modified_by_hunks(functions: DataFrame, hunks: DataFrame, side: str = "new")
 
 def hunks(patches: DataFrame) -> DataFrame:
     """hunk_no (from 0), old and new start and count, and content of each hunk of each (file, patch). A missing count is 1."""
-    parts = F.transform(F.slice(F.split("patch", "(?m)^(?=@@ )", -1), 1, 1_000_000), lambda x: x)
+    parts = F.split("patch", "(?m)^(?=@@ )", -1)
     rows = patches.select("file", F.posexplode(F.filter(parts, lambda x: x.rlike("^" + HUNK))).alias("hunk_no", "content"))
     number = lambda g, other: F.when(F.regexp_extract("content", HUNK, g) == "", F.lit(other)).otherwise(F.regexp_extract("content", HUNK, g)).cast("int")
     return rows.select("file", "hunk_no", number(1, "0").alias("old_start"), number(2, "1").alias("old_count"), number(3, "0").alias("new_start"), number(4, "1").alias("new_count"), F.regexp_replace("content", r"^[^\n]*\n?", "").alias("content"))
