@@ -9,7 +9,8 @@ hot source; bins are not shared between groups. Only ids, sizes, sources and clu
 
 Defined results: documents longer than a bin are cut into pieces, full ones have a bin of their own; a document without words
 (or a null text) gets one row with a null bin; a null source conflicts with nothing; equal doc_ids are separate documents,
-which conflict as copies if their texts are equal; ties in size go to the smaller doc_id; an empty table gives an empty result.
+which conflict as copies if their texts are equal; ties in size go to the smaller doc_id; very long texts are
+counted whole; other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

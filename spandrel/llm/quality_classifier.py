@@ -5,7 +5,7 @@ Two generative models over hashed word n-grams, one of target text (labelled goo
 replacement in proportion to the weights: Gumbel top-k keeps the k largest of log weight + Gumbel noise.
 
 Defined results: a null or text without words has weight 1 (log 0); equal doc_ids are separate rows with equal noise; ties at
-the cut go to the smaller doc_id; an empty table gives an empty result; labels of unknown documents are ignored; several labels
+the cut go to the smaller doc_id; very long texts are read whole; other columns are not read, whatever their names; an empty table gives an empty result; labels of unknown documents are ignored; several labels
 of one document count as bad if one of them is; without any good label every document is kept.
 """
 

@@ -9,7 +9,8 @@ Texts are read once, for a table of counts and votes. One job adds up its vote p
 posterior up in a broadcast of those patterns.
 
 Defined results: a null text is an empty one; without words all counts are 0, base_failed is true and every rule abstains; the posterior of a
-pattern without votes is the share of good documents; repeated rows count each; an empty table gives an empty result.
+pattern without votes is the share of good documents; repeated rows count each; very long texts are read whole; other columns are not read, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

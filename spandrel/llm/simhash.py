@@ -14,7 +14,8 @@ A similarity of shingle sets needs no fingerprints: see ``similar_sets``.
 
 Defined results: a null text or one without words has fingerprint zero; fewer words than a shingle are one shingle; rows with
 equal doc_id are separate rows of one component; null doc_ids get a component through other members of their group,
-null if there are none; an empty table gives an empty result.
+null if there are none; a group whose ids are all null is linked to no other one; very long texts are read whole; other columns are not read, whatever their
+names, and kept by one_of_each(); an empty table gives an empty result.
 """
 
 from __future__ import annotations

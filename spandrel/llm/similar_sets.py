@@ -10,6 +10,9 @@ Documents with equal sets are one node before that. First each node is compared
 few nodes apart. The trie joins cover the places where components still meet, and the components of their candidates (cells) are checked inside a task:
 the cell's shingle sets are sent there once, its trie is joined once more, nearest pairs first, and pairs of different components are compared by exact
 Jaccard, so again a spanning forest comes out. Hot places and large cells are cut into blocks, each pair of blocks a task.
+
+Defined results are those of ``simhash``: a null text or one without words has an empty set, and such documents are one class; fewer words than a shingle are one shingle; very long texts are read whole;
+rows of equal doc_id are rows of one class; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -65,8 +65,7 @@ def test_driver_tables(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     got = packing.pack_documents(docs).collect()
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
-    valid([(i, " ".join(x.decode() for x in (t or "").encode().split()), s) for i, t, s in rows], got, packing.CAPACITY) if len({t for _, t, _ in rows}) == len(rows) else None
-    assert len({r.doc_id for r in got}) == len(rows)
+    valid([(i, " ".join(x.decode() for x in (t or "").encode().split()), s) for i, t, s in rows], got, packing.CAPACITY)
 
 
 def test_odd_ids_and_empty_table(spark):
