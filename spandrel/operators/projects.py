@@ -27,6 +27,13 @@ MANIFESTS = [
     ("csharp", [".csproj"]),
     ("java", ["pom.xml", "build.gradle", "build.gradle.kts", "src/main/java/module-info.java"]),
 ]
+# Patterns of declared names in manifests, and where a requirement's name ends.
+GEM = r"gem\s+['\"]([^'\"]+)['\"](?:,\s*['\"]([^'\"]+)['\"])?"
+LOCKED_GEM = r"(?m)^\s{2}([\w-]+) \((.+)\)"
+GRADLE = r"['\"]([a-zA-Z0-9_.-]+:[a-zA-Z0-9_.-]+):?([a-zA-Z0-9_.-]*)['\"]"
+REQUIRES = r"requires\s+([a-zA-Z0-9_.]+);"
+INSTALL_REQUIRES = r"(?s)install_requires\s*=\s*\[(.*?)\]"
+COMPARISON = "[<=>]"
 SCRIPT_ENDINGS = ("", ".ts", ".tsx", ".d.ts", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js")
 FEW = 100_000
 MODULE = "src/main/java/module-info.java"
@@ -95,7 +102,7 @@ def _toml(text: Column, *sections: str) -> Column:
 def _listed(text: Column, pattern: str) -> Column:
     """Requirements in quotes inside what ``pattern`` captures; the name ends at a comparison."""
     every = F.regexp_extract_all(F.array_join(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), ","), F.lit(r"[\"']([^\"']*)[\"']"), F.lit(1))
-    return _entries(F.transform(every, lambda x: F.trim(F.split(x, "[<=>]")[0])), every)
+    return _entries(F.transform(every, lambda x: F.trim(F.split(x, COMPARISON)[0])), every)
 
 
 def _none() -> Column:
@@ -115,21 +122,20 @@ def declared(manifests: DataFrame) -> DataFrame:
     one = lambda x, pattern: F.regexp_extract(x, pattern, 1)
     first = lambda *options: F.coalesce(*(F.nullif(o, F.lit("")) for o in options), F.lit(""))
     pair = lambda x: F.concat(one(x, r"<groupId>\s*([^<\s]+)"), F.lit(":"), one(x, r"<artifactId>\s*([^<\s]+)"))
-    gradle = r"[\"']([a-zA-Z0-9_.-]+:[a-zA-Z0-9_.-]+):?([a-zA-Z0-9_.-]*)[\"']"
     python = F.concat(F.filter(_toml(text, r"tool\.poetry\.dependencies"), lambda e: e["name"] != "python"), _toml(text, r"tool\.poetry\.dev-dependencies"), _listed(text, r"(?ms)^dependencies\s*=\s*\[(.*?)\]"), _listed(text, r"(?s)\[project\.optional-?[dD]ependencies\](.*?)(?:\n\[[a-z]|\z)"))
     found = (
         F.when(name == "package.json", _json(text, "dependencies", "devDependencies", "peerDependencies", "optionalDependencies"))
         .when(name == "composer.json", _json(text, "require", "require-dev"))
         .when(name == "pyproject.toml", python)
-        .when(name == "requirements.txt", _entries(F.transform(lines, lambda x: F.trim(F.split(x, "[<=>]")[0])), lines))
-        .when(name == "setup.py", _listed(text, r"(?s)install_requires\s*=\s*\[(.*?)\]"))
-        .when(name == "Gemfile", _all(text, r"gem\s+['\"]([^'\"]+)['\"](?:,\s*['\"]([^'\"]+)['\"])?", 1, 2))
-        .when(name == "Gemfile.lock", _all(F.regexp_extract(text, r"(?s)GEM.*", 0), r"(?m)^\s{2}([\w-]+) \((.+)\)", 1, 2))
+        .when(name == "requirements.txt", _entries(F.transform(lines, lambda x: F.trim(F.split(x, COMPARISON)[0])), lines))
+        .when(name == "setup.py", _listed(text, INSTALL_REQUIRES))
+        .when(name == "Gemfile", _all(text, GEM, 1, 2))
+        .when(name == "Gemfile.lock", _all(F.regexp_extract(text, r"(?s)GEM.*", 0), LOCKED_GEM, 1, 2))
         .when(name == "Cargo.toml", _toml(text, "dependencies", "dev-dependencies", "build-dependencies"))
         .when(name.endswith(".csproj"), _entries(F.transform(packages, lambda x: one(x, r"Include=\"([^\"]+)\"")), F.transform(packages, lambda x: first(one(x, r"\bVersion=\"([^\"]+)\""), one(x, r"<Version>\s*([^<\s]+)")))))
         .when(name == "pom.xml", _entries(F.transform(poms, pair), F.transform(poms, lambda x: one(x, r"<version>\s*([^<\s]+)")), default="unknown"))
-        .when(name.isin("build.gradle", "build.gradle.kts"), _all(text, gradle, 1, 2, default="unknown"))
-        .when(path.endswith(MODULE), _entries(F.transform(F.regexp_extract_all(text, F.lit(r"requires\s+([a-zA-Z0-9_.]+);"), F.lit(1)), lambda x: F.concat(F.lit("module:"), x)), default=""))
+        .when(name.isin("build.gradle", "build.gradle.kts"), _all(text, GRADLE, 1, 2, default="unknown"))
+        .when(path.endswith(MODULE), _entries(F.transform(F.regexp_extract_all(text, F.lit(REQUIRES), F.lit(1)), lambda x: F.concat(F.lit("module:"), x)), default=""))
     )
     order = F.array_position(F.array(*(F.lit(n) for _, ns in MANIFESTS for n in ns)), F.when(name.endswith(".csproj"), F.lit(".csproj")).when(path.endswith(MODULE), F.lit(MODULE)).otherwise(name))
     names = F.array(*(F.lit(lang) for lang, _ in MANIFESTS))
@@ -174,7 +180,7 @@ def prefixed(names: DataFrame, table: DataFrame) -> DataFrame:
     return cut.withColumn("prefix", F.substr("name", F.lit(1), F.col("_n"))).drop("_n").join(sized(table), ["root", "lang", "prefix"])
 
 
-def _proposed(lang: str, here: Column, root: Column, name: Column, symbols: Column) -> Column | None:
+def _proposed(lang: str, here: Column, root: Column, name: Column) -> Column | None:
     """Candidate paths by a language's own rule, best first; names are as module() gives them."""
     dotted = F.regexp_replace(name, r"\.", "/")
     ends = lambda base, endings: F.array(*(F.concat(base, F.lit(e)) for e in endings))
@@ -236,7 +242,7 @@ def resolve_projects(imports: DataFrame, files: DataFrame, manifests: DataFrame)
     from_base = placed.where("lang = 'typescript' AND NOT name LIKE '.%'").join(sized(written(base_urls(manifests))), "root").select("no", joined(F.col("root"), F.concat_ws("/", "base", "name")).alias("base"), F.posexplode(F.array(*map(F.lit, SCRIPT_ENDINGS))).alias("k", "tail"))
     candidates = [by_rule, from_base.select("no", F.col("k").cast("long").alias("rank"), F.concat("base", "tail").alias("path"))]
     for lang, _ in MANIFESTS:
-        paths = _proposed(lang, F.col("here"), F.col("root"), F.col("name"), F.col("symbols"))
+        paths = _proposed(lang, F.col("here"), F.col("root"), F.col("name"))
         if paths is not None:
             candidates.append(placed.where(F.col("lang") == lang).select("no", F.posexplode(paths).alias("k", "path")).select("no", (F.col("k") + 100).cast("long").alias("rank"), "path"))
     hits = reduce(DataFrame.unionByName, candidates).join(files.select("path").distinct(), "path").groupBy("no").agg(F.min_by("path", "rank").alias("path"))
