@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spandrel.functions.scalar import TERMINAL, clamp_progress
+from spandrel.operators import ordered
 
 #: Next state by (state, event); other events leave the state as it is.
 TRANSITIONS = {("PENDING", "start"): "IN_PROGRESS", ("IN_PROGRESS", "complete"): "COMPLETED", ("IN_PROGRESS", "fail"): "FAILED", ("FAILED", "retry"): "PENDING", ("PENDING", "cancel"): "CANCELLED", ("IN_PROGRESS", "cancel"): "CANCELLED", ("IN_PROGRESS", "pause"): "PENDING", ("PENDING", "resume"): "IN_PROGRESS"}
@@ -80,21 +81,13 @@ def replay(events: DataFrame) -> DataFrame:
     return ordered.select("task_id", state.alias("status"))
 
 
-def running_sum(df: DataFrame, value: str, bucket: Column, *order: Column) -> DataFrame:
-    """``df`` with _sum, the running total of ``value`` in falling ``bucket`` and then ``order``, without a single-partition sort of all rows.
+def evicted(files: DataFrame, now: Column, ttl: int, capacity: int, least: int | None = None) -> DataFrame:
+    """id of cached files (id, created, size) that go: the expired, then the oldest until the rest fits.
 
-    ``bucket`` must follow the order; only its totals, one row a bucket, are summed in one place.
+    Newest first, what goes over the capacity is what does not fit behind newer files: a running sum, which is cut into ranges of that order where the files are many.
     """
-    marked = df.withColumn("_bucket", bucket)
-    totals = marked.groupBy("_bucket").agg(F.sum(value).alias("_t"))
-    before = totals.select("_bucket", (F.sum("_t").over(Window.orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")).alias("_before"))
-    inside = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("_in", F.sum(value).over(inside)).join(before, "_bucket").withColumn("_sum", F.col("_in") + F.col("_before")).drop("_bucket", "_in", "_before")
-
-
-def evicted(files: DataFrame, now: Column, ttl: int, capacity: int, bucket_width: int = 1000) -> DataFrame:
-    """id of cached files (id, created, size) that go: the expired, then the oldest until the rest fits."""
-    live = files.withColumn("_expired", F.col("created") < now - ttl)
-    # Newest first: what goes over the capacity is what does not fit behind newer files.
-    kept = running_sum(live.where("NOT _expired"), "size", F.floor(F.col("created") / bucket_width), F.col("created").desc(), F.col("id").desc())
+    live = files.select("id", "created", "size", (F.col("created") < now - ttl).alias("_expired"))
+    aged = live.where("NOT _expired").select("id", "size", F.lit(0).alias("_all"), (-F.col("created")).alias("_age"), (-F.col("id")).alias("_no"))
+    order = ["_age", "_no"]
+    kept = ordered.scan(ordered.cut(aged, ["_all"], order, least), ["_all"], order, _sum=("sum", F.col("size")))
     return live.where("_expired").select("id").unionAll(kept.where(F.col("_sum") > capacity).select("id"))

@@ -192,7 +192,7 @@ SELECT id FROM f WHERE created < oldest UNION ALL SELECT id FROM k WHERE total >
 """)
 def cache_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("created"), F.col("n_chars").alias("size"))
-    return tasks.evicted(d, F.lit(d.agg(F.max("id")).first()[0]), 150, 200_000, bucket_width=100)
+    return tasks.evicted(d, F.lit(d.agg(F.max("id")).first()[0]), 150, 200_000)
 
 
 @query("SELECT CASE WHEN event_type IN ('purchase', 'signup') THEN 'delete' ELSE 'cancel' END AS action, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
