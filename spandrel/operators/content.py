@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.functions.scalar import normalize_path
-from spandrel.operators import intervals, ordered, related
+from spandrel.operators import intervals, related
 from spandrel.operators.storage import bounded_batches
 
 # What counts as white space, the mark of what is left out, and the heading of a file.
@@ -64,8 +64,8 @@ def assembled(ranges: DataFrame, texts: DataFrame, key: str = "path") -> DataFra
     bounded_batches(ranges.sparkSession)
     merged = intervals.merge(ranges.select(key, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")), key)
     of_file = merged.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
-    # Few ranges go to the texts; many meet them by key.
-    met = texts.where("text IS NOT NULL").select(key, "text", "comments").join(ordered.few(of_file), key)
+    # The ranges are the small side by far: texts are shuffled to them, but not sorted.
+    met = texts.where("text IS NOT NULL").select(key, "text", "comments").join(of_file.hint("shuffle_hash"), key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
