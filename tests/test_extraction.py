@@ -1,5 +1,7 @@
 """Declarations of single texts, edges across files, and tables written on the way."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +95,32 @@ def test_candidates_against_all_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_similar_sets_of_all_sizes_in_many_buckets(spark, monkeypatch, threshold):
+    monkeypatch.setattr(similarity, "BUCKET_SETS", 7)
+    monkeypatch.setattr(similarity, "TILE", 50)
+    draw = random.Random(3)
+    bases = [draw.sample(range(3000), size) for size in (1, 2, 3, 4, 8, 16, 33, 150, 700)]
+    texts = {tuple(sorted({w if draw.random() < share else draw.randrange(3000) for w in draw.choice(bases)})) for share in (0.95, 0.8, 0.7) for _ in range(60)}
+    sets = [(i % 2, f"s{i}", [f"w{w}" for w in t]) for i, t in enumerate(sorted(texts))]
+    got = {(r.key, r.one, r.other): r.similarity for r in similarity.similar_sets(spark.createDataFrame(sets, "key int, set string, words array<string>"), ["key"], threshold).collect()}
+    want = {}
+    for k, s, w in sets:
+        for j, o, v in sets:
+            if k == j and s < o and len({*w} & {*v}) >= threshold * len({*w} | {*v}) - 1e-9:
+                want[k, s, o] = len({*w} & {*v}) / len({*w} | {*v})
+    assert got.keys() == want.keys() and len(want) > 20 and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_similar_sets_write_a_row_a_set(spark, monkeypatch):
+    """Neither words nor pairs that only meet on some of them are written: with 200 sets of 170 words no table has more rows than there are sets."""
+    sets = spark.createDataFrame([(0, f"s{i}", [f"own{i}_{j}" for j in range(150)] + [f"rare{j}" for j in range(20)]) for i in range(200)], "key int, set string, words array<string>")
+    tables, write = [], similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df: tables.append(write(df)) or tables[-1])
+    assert similarity.similar_sets(sets, ["key"], 0.5).count() == 0
+    assert max(t.count() for t in tables) <= 200
+
+
 def test_drain_writes_a_batch_once(spark, tmp_path):
     spark.range(10).write.parquet(str(tmp_path / "in"))
     stream = streams.source(spark, str(tmp_path / "in") + "/")
