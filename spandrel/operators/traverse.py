@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from spandrel.operators.storage import written
 
+#: Nodes of a component that stand in one block, about, and pairs that a task spells out.
+BLOCK, TASK_PAIRS = 1024, 20_000_000
 HIGH, MEDIUM = ("CALLS", "CALLS_IMPLEMENTATION"), ("IMPLEMENTS", "EXTENDS", "IMPLEMENTED_BY")
 
 
@@ -194,3 +196,23 @@ def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         return members, between.select(F.col("src").alias("component"), F.col("dst").alias("reached"))
     found = levels(between.withColumn("type", F.lit("")), between.select(F.col("src").alias("start")).distinct(), "forward")
     return members, found.where("level > 0").select(F.col("start").alias("component"), F.col("id").alias("reached"))
+
+
+def spelled_out(starts: DataFrame, reached: DataFrame, members: DataFrame) -> DataFrame:
+    """start and id of every start (start, component) and every member (node, component) of the components that its own one reaches (component, reached).
+
+    Starts and members of a component stand in blocks; a pair of blocks is one row until a task spells it out, so neither a large component nor the pairs themselves pass through a shuffle.
+    A task takes pairs of blocks by hash and gives the same ids in the same order for each start of a block, which files store in little space.
+    """
+    sizes = lambda d: d.groupBy("component").agg(F.count("*").alias("n"))
+
+    def blocks(d: DataFrame, node: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(node), F.ceil(F.col("n") / BLOCK))
+        return d.join(sizes(d), "component").groupBy("component", block.alias("block")).agg(F.sort_array(F.collect_list(node)).alias("nodes"))
+
+    total = reached.join(sizes(starts), "component").join(sizes(members).select(F.col("component").alias("reached"), F.col("n").alias("m")), "reached").agg(F.sum(F.col("n") * F.col("m").cast("double"))).first()[0]
+    tasks = min(50_000, int((total or 0) // TASK_PAIRS) + starts.sparkSession.sparkContext.defaultParallelism)
+    a = blocks(starts, "start").withColumnsRenamed({"block": "i", "nodes": "starts"})
+    b = blocks(members, "node").withColumnsRenamed({"component": "reached", "block": "j", "nodes": "ids"})
+    cells = a.join(reached, "component").join(b, "reached").repartition(tasks, "component", "i", "reached", "j")
+    return cells.select(F.explode("starts").alias("start"), "ids").select("start", F.explode("ids").alias("id"))

@@ -90,7 +90,7 @@ def reachability_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, links = traverse.condensed(edges)
     own = members.select("component", F.col("component").alias("reached")).distinct().unionAll(links)
     starts = members.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
-    return starts.withColumnRenamed("node", "start").join(own, "component").join(members.select(F.col("node").alias("id"), F.col("component").alias("reached")), "reached").select("start", "id")
+    return traverse.spelled_out(starts.withColumnRenamed("node", "start"), own, members)
 
 
 @query(CLOSURE_SQL + """, p AS (SELECT start, id FROM r UNION SELECT dst, dst FROM e),

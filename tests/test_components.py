@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from spandrel.operators import traverse
 
 
@@ -49,3 +51,17 @@ def test_a_giant_cycle_has_no_links_and_few_rounds(spark, monkeypatch):
 def test_an_empty_graph(spark):
     members, links = traverse.condensed(spark.createDataFrame([], "src string, dst string"))
     assert members.count() == links.count() == 0
+
+
+def test_a_large_component_is_spelled_out_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "BLOCK", 16)
+    monkeypatch.setattr(traverse, "TASK_PAIRS", 1000)
+    members = spark.createDataFrame([(f"a{i}", "a") for i in range(200)] + [("b", "b"), ("c", "c")], "node string, component string")
+    starts = members.where("node not in ('a7', 'c')").withColumnRenamed("node", "start")
+    reached = spark.createDataFrame([("a", "a"), ("b", "b"), ("c", "c"), ("b", "a"), ("b", "c")], "component string, reached string")
+    got = traverse.spelled_out(starts, reached, members)
+    a = [f"a{i}" for i in range(200)]
+    want = [(s, i) for s in a if s != "a7" for i in a] + [("b", i) for i in [*a, "b", "c"]]
+    assert sorted((r.start, r.id) for r in got.collect()) == sorted(want)
+    tasks = [r.n for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) > 20 and max(tasks) < len(want) / 5
