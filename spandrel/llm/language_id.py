@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ LONGEST = 5
 #: Log probability of a known word or n-gram in a language that lacks it, below that of one occurrence.
 MISSING = -1.0
 WORD = re.compile(r"[^\W\d_]+")
-#: Words whose scores a task remembers.
-REMEMBERED = 200_000
+#: Words whose scores a task remembers, and those that it looks up at once.
+REMEMBERED, NEW_WORDS = 100_000, 20_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -49,23 +50,41 @@ def training(docs: DataFrame, bound: int = MAX_TRAINING) -> DataFrame:
 
 @dataclass
 class Model:
-    """Languages, and for words and for n-grams of each length the row of each in ``rates``, log frequencies in each language."""
+    """Languages; words, and n-grams of each length, in the order of their rows in ``rates``, log frequencies in each language.
+
+    Keys stay Arrow strings: every worker of an executor holds a model, and dicts of them took several times the memory.
+    """
 
     langs: list[str]
-    words: dict[str, int]
-    grams: list[dict[str, int]]
+    words: pa.Array
+    grams: list[pa.Array]
     rates: np.ndarray
 
-    def score(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is not None:
-            return self.rates[found].astype(np.float64)
-        marked = f"^{word}$"
+    def scores(self, words: list[str]) -> np.ndarray:
+        """One row of scores for each of ``words``, which are looked up together."""
+        out = np.zeros((len(words), len(self.langs)))
+        at = _places(words, self.words)
+        out[at >= 0] = self.rates[at[at >= 0]]
+        left = np.flatnonzero(at < 0)
+        firsts = np.cumsum([len(self.words), *map(len, self.grams)])
         for n in range(len(self.grams), 0, -1):
-            known = [g for i in range(len(marked) - n + 1) if (g := self.grams[n - 1].get(marked[i : i + n])) is not None]
-            if known:
-                return self.rates[known].mean(axis=0, dtype=np.float64)
-        return np.zeros(len(self.langs))
+            cut = [[marked[i : i + n] for i in range(len(marked) - n + 1)] for w in left if (marked := f"^{words[w]}$")]
+            at = _places([g for gs in cut for g in gs], self.grams[n - 1])
+            ends, unknown = np.cumsum([len(gs) for gs in cut]), []
+            for w, gs, end in zip(left, cut, ends, strict=True):
+                known = at[end - len(gs) : end]
+                known = known[known >= 0]
+                if len(known):
+                    out[w] = self.rates[firsts[n - 1] + known].mean(axis=0, dtype=np.float64)
+                else:
+                    unknown.append(w)
+            left = unknown
+        return out
+
+
+def _places(keys: list[str], table: pa.Array) -> np.ndarray:
+    """Row of each key in ``table``, -1 if it has none."""
+    return pc.index_in(pa.array(keys, table.type), value_set=table).fill_null(-1).to_numpy(zero_copy_only=False)
 
 
 def fit(docs: DataFrame, bound: int = MAX_TRAINING) -> Model:
@@ -83,11 +102,11 @@ def fit(docs: DataFrame, bound: int = MAX_TRAINING) -> Model:
     of = lambda lang: F.concat_ws(" ", F.col("size").cast("string"), F.lit(lang))
     rate = lambda lang: F.coalesce(F.log(F.max(F.when(F.col("lang") == lang, F.col("n"))) / F.max(F.try_element_at(total_of, of(lang)))), F.max(F.try_element_at(lowest, of(lang))), F.lit(MISSING - math.log(2))).cast("float")
     if not langs:
-        return Model([], {}, [{} for _ in range(LONGEST)], np.zeros((0, 0), np.float32))
+        return Model([], pa.array([], pa.string()), [pa.array([], pa.string())] * LONGEST, np.zeros((0, 0), np.float32))
     found = counts.groupBy("size", "key").agg(*(rate(lang).alias(f"r{i}") for i, lang in enumerate(langs))).toArrow()
-    tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-    for i, (size, key) in enumerate(zip(found.column("size").to_pylist(), found.column("key").to_pylist(), strict=True)):
-        tables[size][key] = i
+    found = found.sort_by("size")
+    sizes = found.column("size").to_numpy()
+    tables = [pa.concat_arrays(found.column("key").slice(a, b - a).chunks or [pa.array([], pa.string())]) for k in range(LONGEST + 1) for a, b in [np.searchsorted(sizes, [k, k + 1])]]
     return Model(langs, tables[0], tables[1:], np.stack([found.column(f"r{i}").to_numpy() for i in range(len(langs))], axis=1))
 
 
@@ -98,30 +117,35 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         index: dict[str, int] = {}
-        scores: list[np.ndarray] = []
+        scores = np.zeros((0, len(m.langs)))
         for batch in batches:
-            preds, sure = [], []
-            for text in batch.column("text").to_pylist():
+            preds, sure = ["und"] * batch.num_rows, [0.0] * batch.num_rows
+            new: list[str] = []
+            waiting: list[tuple[int, np.ndarray]] = []
+            for row, text in enumerate(batch.column("text")):
+                text = text.as_py()
                 words = WORD.findall(text.lower()) if text and m.langs else []
-                if not words or not (any(w.isalpha() for w in words) or any(c.isalpha() for c in text)):
-                    preds.append("und")
-                    sure.append(0.0)
+                if words and (any(w.isalpha() for w in words) or any(c.isalpha() for c in text)):
+                    at = np.empty(len(words), np.int32)
+                    for k, w in enumerate(words):
+                        i = index.get(w)
+                        if i is None:
+                            i = index[w] = len(index)
+                            new.append(w)
+                        at[k] = i
+                    waiting.append((row, at))
+                if len(new) < NEW_WORDS and row + 1 < batch.num_rows:
                     continue
+                scores = np.concatenate((scores, m.scores(new)))
+                for doc, at in waiting:
+                    unique, times = np.unique(at, return_counts=True)
+                    total = scores[unique].T @ times
+                    odds = np.exp((total - total.max()) / np.sqrt(len(at)))
+                    best = int(total.argmax())
+                    preds[doc], sure[doc] = m.langs[best], float(odds[best] / odds.sum())
+                new, waiting = [], []
                 if len(index) > REMEMBERED:
-                    index, scores = {}, []
-                at = []
-                for w in words:
-                    i = index.get(w)
-                    if i is None:
-                        i = index[w] = len(scores)
-                        scores.append(m.score(w))
-                    at.append(i)
-                unique, times = np.unique(np.array(at), return_counts=True)
-                total = np.array([scores[i] for i in unique]).T @ times
-                odds = np.exp((total - total.max()) / np.sqrt(len(words)))
-                best = int(total.argmax())
-                preds.append(m.langs[best])
-                sure.append(float(odds[best] / odds.sum()))
+                    index, scores = {}, scores[:0]
             ids = batch.column("doc_id")
             held = [i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays([ids, pa.array(held, pa.bool_()), pa.array(preds, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])

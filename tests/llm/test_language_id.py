@@ -1,5 +1,7 @@
 import math
+import pickle
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from functools import cache
@@ -76,3 +78,20 @@ def test_nothing_to_learn(spark):
     assert [r.lang_pred for r in li.identify(docs, li.fit(docs)).collect()] == ["und"]
     none = docs.limit(0)
     assert li.identify(none, li.fit(none)).count() == 0
+
+
+def test_a_model_in_a_worker_is_small_and_scores_are_looked_up_together(spark, monkeypatch):
+    """Each worker of an executor loads the model; keys as Python strings in dicts took several times these bytes."""
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    model = li.fit(docs)
+    n, data = len(model.rates), pickle.dumps(model, 5)
+    tracemalloc.start()
+    loaded = pickle.loads(data)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(loaded.rates) == n > 10_000 and held < 60 * n
+    want = {r.doc_id: (r.lang_pred, r.score) for r in li.identify(docs, model).collect()}
+    monkeypatch.setattr(li, "NEW_WORDS", 5)
+    monkeypatch.setattr(li, "REMEMBERED", 300)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in li.identify(docs, model).collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-9 for i in want)
