@@ -34,7 +34,7 @@ LONGEST = 5
 MISSING = -1.0
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose scores a task remembers, and those that it looks up at once.
-REMEMBERED, NEW_WORDS = 100_000, 20_000
+REMEMBERED, NEW_WORDS = 100_000, 50_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -126,14 +126,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 text = text.as_py()
                 words = WORD.findall(text.lower()) if text and m.langs else []
                 if words and (any(w.isalpha() for w in words) or any(c.isalpha() for c in text)):
-                    at = np.empty(len(words), np.int32)
-                    for k, w in enumerate(words):
+                    at = []
+                    for w in words:
                         i = index.get(w)
                         if i is None:
                             i = index[w] = len(index)
                             new.append(w)
-                        at[k] = i
-                    waiting.append((row, at))
+                        at.append(i)
+                    waiting.append((row, np.array(at, np.int32)))
                 if len(new) < NEW_WORDS and row + 1 < batch.num_rows:
                     continue
                 scores = np.concatenate((scores, m.scores(new)))
