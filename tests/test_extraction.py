@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,9 @@ def test_small_scalars(spark):
     ).first()
     assert (row.m, row.k, row.t, row.u) == ({"a": "1", "b": "3"}, {"a": "1", "b": "2"}, '{"__type":"Set","value":["x","y"]}', None)
     assert (row.r0, row.r1, row.r2, row.r3) == ("", "a/b", "../..", "c")
+
+
+def test_rows_of_few_files_are_held_at_once():
+    files = pd.DataFrame({"path": [f"f{i}.py" for i in range(1001)], "lang": "python", "text": "def a(): return b()\ndef b(): pass\n"})
+    got = list(parse.frames(iter([files])))
+    assert all(f["file"].nunique() <= parse.FILES for f in got) and len(pd.concat(got)) == 4 * 1001
