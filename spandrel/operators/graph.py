@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spandrel.functions.scalar import normalize_path
+from spandrel.operators.storage import written
 
 INVERSE = {"IMPLEMENTS": "IMPLEMENTED_BY", "EXTENDS": "EXTENDED_BY"}
 
@@ -43,8 +44,9 @@ def existing_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def with_inverse(edges: DataFrame) -> DataFrame:
     """Inheritance edges in both directions."""
     kinds = F.create_map(*(F.lit(x) for p in INVERSE.items() for x in p))
-    back = edges.where(F.col("type").isin(*INVERSE)).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.try_element_at(kinds, F.col("type")).alias("type"))
-    return edges.select("src", "dst", "type").unionAll(back)
+    edge = lambda src, dst, type_: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), type_.alias("type"))
+    there, back = edge("src", "dst", F.col("type")), edge("dst", "src", F.try_element_at(kinds, F.col("type")))
+    return edges.select(F.explode(F.when(F.col("type").isin(*INVERSE), F.array(there, back)).otherwise(F.array(there))).alias("_e")).select("_e.*")
 
 
 def lookup(refs: DataFrame, nodes: DataFrame, how: str = "inner", owner: bool = False) -> DataFrame:
@@ -116,7 +118,8 @@ def enrich(functions: DataFrame, types: DataFrame, calls: DataFrame, imports: Da
     """Nodes and edges of a snapshot.
 
     functions: id, name, file, class_name, ordinal. types: id, name, file, kind, extends, implements (``path::name`` references or names),
-    ordinal. calls: function_id, callee, target_file, caller, ordinal. imports: file, symbol, resolved, ordinal.
+    ordinal. calls: function_id, callee, target_file, caller, ordinal. imports: file, symbol, resolved, ordinal. Every end is a node: ends are
+    looked up among the nodes or are functions, types and files that nodes are made of, and calls of unknown functions are left out.
     """
     files = functions.select("file").union(types.select("file")).union(imports.select("file")).distinct()
     nodes = reduce(
@@ -127,19 +130,19 @@ def enrich(functions: DataFrame, types: DataFrame, calls: DataFrame, imports: Da
             functions.select("id", "name", F.col("file").alias("path"), F.lit("FUNCTION").alias("type"), F.nullif("class_name", F.lit("")).alias("owner"), F.col("ordinal").cast("long").alias("ordinal")),
         ],
     )
-    nodes = dedup_nodes(nodes)
-    parts = []
+    nodes = written(dedup_nodes(nodes))
+    calls = calls.join(nodes.select(F.col("id").alias("function_id")), "function_id", "left_semi")
+    parts, wanted = [], []
     for column, kind in (("implements", "IMPLEMENTS"), ("extends", "EXTENDS")):
         refs = types.select(F.col("id").alias("src"), "file", "ordinal", F.explode(column).alias("ref"))
         path = F.regexp_extract("ref", r"^(.+\.[a-zA-Z0-9]+)::(.+)$", 1)
-        refs = refs.select("src", "ordinal", F.element_at(F.split("ref", "::"), -1).alias("name"), F.when(path != "", path).otherwise(F.col("file")).alias("path"))
-        parts.append(lookup(refs, nodes).select("src", F.col("node_id").alias("dst"), F.lit(kind).alias("type"), "ordinal"))
+        wanted.append(refs.select("src", F.lit(kind).alias("type"), "ordinal", F.element_at(F.split("ref", "::"), -1).alias("name"), F.when(path != "", path).otherwise(F.col("file")).alias("path")))
     owners = functions.where("coalesce(class_name, '') <> ''").select(F.col("id").alias("dst"), F.col("class_name").alias("name"), F.col("file").alias("path"), "ordinal")
     parts.append(lookup(owners, nodes.where("type <> 'FUNCTION'")).select(F.col("node_id").alias("src"), "dst", F.lit("HAS_METHOD").alias("type"), "ordinal"))
-    wanted = imports.select(F.col("file").alias("src"), F.col("symbol").alias("name"), F.col("resolved").alias("path"), "ordinal")
-    parts.append(lookup(wanted, nodes).select("src", F.col("node_id").alias("dst"), F.lit("IMPORTS").alias("type"), "ordinal"))
+    wanted.append(imports.select(F.col("file").alias("src"), F.lit("IMPORTS").alias("type"), "ordinal", F.col("symbol").alias("name"), F.col("resolved").alias("path")))
+    parts.append(lookup(reduce(DataFrame.unionByName, wanted), nodes).select("src", F.col("node_id").alias("dst"), "type", "ordinal"))
     made = calls.select(F.col("function_id").alias("src"), F.col("callee").alias("name"), F.col("target_file").alias("path"), "caller", "ordinal")
     parts.append(lookup(made, nodes.where("type = 'FUNCTION'"), owner=True).select("src", F.col("node_id").alias("dst"), F.lit("CALLS").alias("type"), "ordinal"))
     parts.append(implementation_calls(functions, types, calls))
-    forward = dedup_edges(reduce(DataFrame.unionByName, parts))
-    return nodes, existing_ends(with_inverse(forward), nodes)
+    forward = dedup_edges(reduce(DataFrame.unionByName, parts).where("src IS NOT NULL AND dst IS NOT NULL"))
+    return nodes, with_inverse(forward)

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Parts that the imports of one package are dealt into.
+SALTS = 32
+
+
 def folder(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
@@ -22,7 +26,8 @@ def candidates(lang: Column, file: Column, origin: Column) -> Column:
     here = folder(file)
     dotted = F.regexp_replace(origin, r"\.", "/")
     script = F.when(origin.startswith("."), joined(here, origin)).otherwise(origin)
-    endings = lambda base, ends: F.array(*(F.concat(base, F.lit(e)) for e in ends))
+    # A lambda's variable, so that the base is worked out once for all endings.
+    endings = lambda base, ends: F.element_at(F.transform(F.array(base), lambda b: F.array(*(F.concat(b, F.lit(e)) for e in ends))), 1)
     return (
         F.when(lang.isin("typescript", "javascript"), endings(script, ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js")))
         .when(lang == "python", endings(joined(here, dotted), (".py", "/__init__.py")))
@@ -35,14 +40,21 @@ def candidates(lang: Column, file: Column, origin: Column) -> Column:
     )
 
 
+def declared(imports: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """``imports`` with _dep: true if a dependency declares their package, else null. Relative imports name no package, and those of a frequent
+    one are dealt into SALTS parts, so that no task takes them all."""
+    i = imports.withColumn("_head", F.nullif(F.regexp_extract("origin", r"^(@[^/]+/[^/]+|[^./\\:]+)", 1), F.lit("")))
+    i = i.withColumn("_salt", F.when(F.col("_head").isNull(), F.hash("file", "ordinal")).otherwise(F.pmod(F.hash("file", "ordinal"), F.lit(SALTS))))
+    known = dependencies.select(F.col("dependency").alias("_head")).distinct().select("_head", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.lit(True).alias("_dep"))
+    return i.join(known, ["_head", "_salt"], "left").drop("_head", "_salt")
+
+
 def resolve(imports: DataFrame, files: DataFrame, dependencies: DataFrame) -> DataFrame:
     """imports (file, lang, origin, ordinal) with resolved (a path of ``files``, else the origin) and is_external.
 
     A declared dependency is external and has no path; so is whatever no candidate finds, except a relative import.
     """
-    i = imports.withColumn("_head", F.regexp_extract("origin", r"^(@[^/]+/[^/]+|[^./\\:]+)", 1))
-    known = dependencies.select(F.col("dependency").alias("_head")).distinct().withColumn("_dep", F.lit(True))
-    i = i.join(known, "_head", "left")
+    i = declared(imports, dependencies)
     tried = i.where("_dep IS NULL").select("file", "origin", "ordinal", F.posexplode(candidates(F.col("lang"), F.col("file"), F.col("origin"))).alias("_rank", "_path"))
     hits = tried.join(files.select(F.col("path").alias("_path")).distinct(), "_path").groupBy("file", "origin", "ordinal").agg(F.min_by("_path", "_rank").alias("_path"))
     out = i.join(hits, ["file", "origin", "ordinal"], "left")

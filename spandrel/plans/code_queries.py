@@ -211,8 +211,12 @@ def enrich_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = project_sources(spark, sf_dir)
     rows = written(parse.parsed(sources))
     found = resolve.resolve(rows.where("kind = 'import'").select("file", "lang", "origin", "ordinal"), sources, spark.createDataFrame([], "path string, dependency string"))
-    imports = rows.where("kind = 'import'").select("file", "name", "ordinal").join(found.select("file", "ordinal", "resolved"), ["file", "ordinal"])
-    types, calls = graph.with_origins(rows.where("kind = 'type'").withColumnRenamed("type_kind", "type"), rows.where("kind = 'call'"), imports)
+    imports = written(rows.where("kind = 'import'").select("file", "name", "ordinal").join(found.select("file", "ordinal", "resolved"), ["file", "ordinal"]))
+    types, calls = map(written, graph.with_origins(
+        rows.where("kind = 'type'").select("id", "name", "file", F.col("type_kind").alias("type"), "extends", "implements", "ordinal"),
+        rows.where("kind = 'call'").select("owner_id", "name", "file", "caller", "ordinal"),
+        imports,
+    ))
     nodes, edges = graph.enrich(
         rows.where("kind = 'function'").select("id", "name", "file", "class_name", "ordinal"),
         types.select("id", "name", "file", F.col("type").alias("kind"), "extends", "implements", "ordinal"),

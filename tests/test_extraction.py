@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spandrel.functions import scalar
-from spandrel.operators import graph, similarity, storage
+from spandrel.operators import graph, resolve, similarity, storage
 from spandrel.sources import declarations, parse
 from spandrel.streaming import streams
 
@@ -150,3 +150,29 @@ def test_rows_of_few_files_are_held_at_once():
     files = pd.DataFrame({"path": [f"f{i}.py" for i in range(1001)], "lang": "python", "text": "def a(): return b()\ndef b(): pass\n"})
     got = list(parse.frames(iter([files])))
     assert all(f["file"].nunique() <= parse.FILES for f in got) and len(pd.concat(got)) == 4 * 1001
+
+
+def test_of_equal_texts_one_is_read(monkeypatch):
+    calls, read = [], declarations.read
+    monkeypatch.setattr(declarations, "read", lambda *a: calls.append(a) or read(*a))
+    text = "class A { run() { go(); } }\n"
+    files = pd.DataFrame({"path": [f"f{i}.ts" for i in range(90)], "lang": "typescript", "text": [text, text, text + "\n"] * 30})
+    got = pd.concat(list(parse.frames(iter([files]))))
+    assert len(calls) == 2 and len(got) == 4 * 90 and got["id"].nunique() == 2 * 90
+    assert list(got[got["file"] == "f7.ts"]["owner_id"].dropna()) == [parse.make_id("f7.ts", ["A"], "run", 1)]
+
+
+def test_imports_without_a_package_or_of_one_package_go_to_many_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        imports = spark.range(2000).select(F.concat(F.lit("f"), "id").alias("file"), F.lit("typescript").alias("lang"), F.expr("if(id % 2 = 0, './b', 'react')").alias("origin"), F.lit(0).alias("ordinal"))
+        found = resolve.declared(imports, spark.createDataFrame([("package.json", "react")], "path string, dependency string"))
+        per_task = found.groupBy("origin", "_dep", F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+        for origin, dep in (("./b", None), ("react", True)):
+            counts = [r.n for r in per_task if (r.origin, r._dep) == (origin, dep)]
+            assert sum(counts) == 1000 and len(counts) == 4 and max(counts) < 600
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
