@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.operators.storage import written
+from spandrel.operators.storage import dealt, written
 
 FUNCTION, CLASS, IMPORT, METHOD = "FUNCTION", "CLASS", "IMPORT", "HAS_METHOD"
 # Kinds of edges that relate nodes of a type.
@@ -13,9 +13,10 @@ RULES = [(FUNCTION, "CALLS"), (FUNCTION, METHOD), (CLASS, METHOD), (CLASS, "EXTE
 
 
 def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``edges`` (src, dst, type) whose ends exist, with src_type, src_path, dst_type and dst_path."""
-    end = lambda c: nodes.select(F.col("id").alias(c), F.col("type").alias(f"{c}_type"), F.col("path").alias(f"{c}_path"))
-    return edges.select("src", "dst", "type").distinct().join(end("src"), "src").join(end("dst"), "dst")
+    """``edges`` (src, dst, type) whose ends exist, with src_type, src_path, dst_type and dst_path. Edges pass by hashed nodes and are not sorted."""
+    end = lambda c: nodes.select(F.col("id").alias(c), F.col("type").alias(f"{c}_type"), F.col("path").alias(f"{c}_path")).hint("shuffle_hash")
+    once = dealt(edges.select("src", "dst", "type"), "src", "dst", "type").distinct()
+    return dealt(dealt(once, "src").join(end("src"), "src"), "dst").join(end("dst"), "dst")
 
 
 def related(nodes: DataFrame, edges: DataFrame, direction: str = "TO", kinds: list[str] | None = None, starts: DataFrame | None = None) -> DataFrame:
@@ -36,6 +37,7 @@ def related(nodes: DataFrame, edges: DataFrame, direction: str = "TO", kinds: li
         hop = hop.join(starts.select("start").distinct(), "start", "left_semi")
     if kinds:
         hop = hop.where(F.col("_type").isin(kinds))
-    foreign = hop.where((F.col("_type") == FUNCTION) & (F.col("_at") != F.col("_path"))).select("start", F.col("other").alias("dst")).distinct()
-    classes = foreign.join(ends.where((F.col("type") == METHOD) & (F.col("src_type") == CLASS)).select("dst", "src"), "dst")
-    return hop.select("start", "other", F.col("type").alias("edge_type"), F.lit(1).alias("hop")).unionAll(classes.select("start", F.col("src").alias("other"), F.lit(METHOD).alias("edge_type"), F.lit(2).alias("hop")).distinct())
+    foreign = hop.where((F.col("_type") == FUNCTION) & (F.col("_at") != F.col("_path"))).select("start", F.col("other").alias("dst"))
+    classes = dealt(foreign, "dst").join(ends.where((F.col("type") == METHOD) & (F.col("src_type") == CLASS)).select("dst", "src").hint("shuffle_hash"), "dst")
+    classes = dealt(classes.select("start", "src"), "start", "src").distinct()
+    return hop.select("start", "other", F.col("type").alias("edge_type"), F.lit(1).alias("hop")).unionAll(classes.select("start", F.col("src").alias("other"), F.lit(METHOD).alias("edge_type"), F.lit(2).alias("hop")))

@@ -42,6 +42,12 @@ def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in as many parts as the session shuffles into. Short strings pack well, so parts that adaptive execution joins until they have its
+    size in files are many times that size in a task; these stay apart."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def clean(spark: SparkSession) -> None:
     """Remove all that this application wrote; frames read from it are of no use afterwards."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

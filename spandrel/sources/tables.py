@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spandrel.operators.storage import dealt
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,7 +27,8 @@ def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, type: a customer calls the suppliers of its orders and extends its nation, which has its suppliers as methods."""
     orders, items = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
-    calls = items.select("l_orderkey", "l_suppkey").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    bought = dealt(items.select("l_orderkey", "l_suppkey"), "l_orderkey").join(orders.select("o_orderkey", "o_custkey").hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+    calls = dealt(bought.select("o_custkey", "l_suppkey"), "o_custkey", "l_suppkey").distinct()
     return reduce(
         DataFrame.unionAll,
         [
