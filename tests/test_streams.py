@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from spandrel.plans.stream_queries import with_rocks
@@ -116,3 +117,36 @@ def test_an_epoch_that_drain_runs_twice_is_there_once(spark, tmp_path):
     for name in ("0", ".0.crc"):
         os.remove(f"{tmp_path}/out/checkpoint/commits/{name}")
     assert streams.drain(stream(), folder=f"{tmp_path}/out").count() == 5
+
+
+class Store:
+    """A state store of one task that notes what it is asked."""
+
+    def __init__(self):
+        self.state, self.timers, self.asked = None, set(), []
+
+    def __getattr__(self, name):
+        def ask(*given):
+            self.asked.append(name)
+            if name in ("update", "clear"):
+                self.state = given[0] if given else None
+            elif name == "registerTimer":
+                self.timers.add(given[0])
+            elif name == "deleteTimer":
+                self.timers.remove(given[0])
+            return self if name == "getValueState" else self.state
+
+        return ask
+
+
+def test_a_task_has_one_timer_and_asks_its_store_for_no_more(spark):
+    store, m, row = Store(), machine.Machine(), Row("at_ms", "event_id", "event")
+    m.init(store)
+    seen = lambda *rows: (store.asked.clear(), [r.kind for r in m.handleInputRows((1,), iter([row(*r) for r in rows]), None)], list(store.asked))[1:]
+    assert seen((10, 2, "pause"), (5, 1, "start")) == (["moved", "moved"], ["get", "update", "registerTimer"])
+    assert store.state == ("PENDING", 10) and store.timers == {10 + machine.IDLE_MS}
+    assert seen((11, None, "nonsense"), (11, 3, "nonsense"), (11, None, "nonsense")) == (["illegal"] * 3, ["get"])
+    assert seen((12, 4, "resume")) == (["moved"], ["get", "update", "deleteTimer", "registerTimer"])
+    assert store.timers == {12 + machine.IDLE_MS}
+    assert seen((12 + 3 * machine.IDLE_MS, 5, "nonsense")) == (["cancelled", "deleted", "illegal"], ["get", "clear", "deleteTimer"])
+    assert store.state is None and not store.timers
