@@ -65,3 +65,14 @@ def test_a_large_component_is_spelled_out_by_many_tasks(spark, monkeypatch):
     assert sorted((r.start, r.id) for r in got.collect()) == sorted(want)
     tasks = [r.n for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert len(tasks) > 20 and max(tasks) < len(want) / 5
+
+
+def test_pairs_are_spelled_out_by_a_compiled_join_without_exploding(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "BLOCK", 8)
+    members = spark.createDataFrame([(f"a{i}", "a") for i in range(50)] + [(f"b{i}", "b") for i in range(3)] + [("c", "c")], "node string, component string")
+    reached = spark.createDataFrame([(x, x) for x in "abc"] + [("a", "b"), ("a", "c"), ("b", "c")], "component string, reached string")
+    got = traverse.spelled_out(members.withColumnRenamed("node", "start"), reached, members)
+    a, b = [f"a{i}" for i in range(50)], [f"b{i}" for i in range(3)]
+    assert sorted(map(tuple, got.collect())) == sorted([(s, i) for s in a for i in [*a, *b, "c"]] + [(s, i) for s in b for i in [*b, "c"]] + [("c", "c")])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortMergeJoin" in plan
