@@ -138,24 +138,28 @@ def _trimmed(edges: DataFrame, rounds: int = 2) -> DataFrame:
 
 
 def _coloured(edges: DataFrame) -> DataFrame:
-    """node and colour: the smallest node that reaches it. Colours of colours are taken too, which shortens long ways."""
-    colours = written(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("colour", F.col("node")))
+    """node and colour: the first node, in the order of a hash, that reaches it. Colours of colours are taken too, which shortens long ways.
+
+    By hash, colours cut a chain of components in the middle, about; by name, those in the order of their names would be found one after another.
+    """
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    colours = written(nodes.withColumn("colour", F.struct(F.xxhash64("node").alias("rank"), "node")))
     before = None
     while True:
         come = edges.join(colours, edges["src"] == colours["node"]).select(F.col("dst").alias("node"), "colour")
         least = colours.select("node", "colour").unionAll(come).groupBy("node").agg(F.min("colour").alias("colour"))
-        up = least.select(F.col("node").alias("colour"), F.col("colour").alias("_up"))
-        colours = written(least.join(up, "colour", "left").select("node", F.coalesce("_up", "colour").alias("colour")))
+        up = least.select(F.col("node").alias("_first"), F.col("colour").alias("_up"))
+        colours = written(least.join(up, F.col("colour.node") == F.col("_first"), "left").select("node", F.coalesce("_up", "colour").alias("colour")))
         state = colours.agg(F.sum(F.xxhash64("node", "colour").cast("decimal(38,0)"))).first()[0]
         if state == before:
-            return colours
+            return colours.select("node", F.col("colour.node").alias("colour"))
         before = state
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node of ``edges`` (src, dst).
 
-    Chains are passed over; then, until no edge is left, nodes without a way in or out are trimmed, every node takes the colour of the smallest node that reaches it, and what reaches
+    Chains are passed over; then, until no edge is left, nodes without a way in or out are trimmed, every node takes the colour of the first node that reaches it, and what reaches
     that node again inside its colour is a component (forward-backward colouring). Edges between colours belong to no component. Nodes of chains join where both their ends did.
     """
     every = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
@@ -187,6 +191,21 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return written(named.join(least, "_name").select("node", "component"))
 
 
+def acyclic_closure(edges: DataFrame) -> DataFrame:
+    """src, dst and level (the fewest steps) of every two nodes of a graph without cycles (src, dst) that a way leads between.
+
+    The length doubles round by round: a longer way starts with one of just that length, and what is left of it is known. So rounds are logarithmically many in the longest way.
+    """
+    known, length = written(edges.select("src", "dst", F.lit(1).alias("level")).distinct()), 1
+    while True:
+        far = known.where(F.col("level") == length).select("src", F.col("dst").alias("via"))
+        if not far.take(1):
+            return known
+        rest = known.select(F.col("src").alias("via"), "dst", (F.col("level") + length).alias("level"))
+        found = known.unionByName(far.join(rest, "via").select("src", "dst", "level"))
+        known, length = written(found.groupBy("src", "dst").agg(F.min("level").alias("level"))), 2 * length
+
+
 def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (node, component) of the strongly connected components of ``edges``, and links (component, reached) to every other component that one reaches."""
     members = strong_components(edges)
@@ -194,8 +213,7 @@ def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     between = written(edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("_src <> _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct())
     if not between.take(1):
         return members, between.select(F.col("src").alias("component"), F.col("dst").alias("reached"))
-    found = levels(between.withColumn("type", F.lit("")), between.select(F.col("src").alias("start")).distinct(), "forward")
-    return members, found.where("level > 0").select(F.col("start").alias("component"), F.col("id").alias("reached"))
+    return members, acyclic_closure(between).select(F.col("src").alias("component"), F.col("dst").alias("reached"))
 
 
 def spelled_out(starts: DataFrame, reached: DataFrame, members: DataFrame) -> DataFrame:

@@ -76,3 +76,25 @@ def test_pairs_are_spelled_out_by_a_compiled_join_without_exploding(spark, monke
     assert sorted(map(tuple, got.collect())) == sorted([(s, i) for s in a for i in [*a, *b, "c"]] + [(s, i) for s in b for i in [*b, "c"]] + [("c", "c")])
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "SortMergeJoin" in plan
+
+
+def test_a_long_chain_of_components_takes_few_rounds(spark, monkeypatch):
+    """Names go up along the chain, which finds components one after another where the first name wins."""
+    rounds = []
+    monkeypatch.setattr(traverse, "written", lambda df, real=traverse.written: rounds.append(1) or real(df))
+    trios = [[f"{k:02}{x}" for x in "abc"] for k in range(12)]
+    edges = [(x, y) for t in trios for x in t for y in t if x != y] + [(t[2], u[0]) for t, u in zip(trios, trios[1:], strict=False)]
+    check(spark, edges)
+    assert len(rounds) < 100
+
+
+def test_the_closure_of_an_acyclic_graph_has_the_fewest_steps(spark):
+    edges = [(i, i + 1) for i in range(20)] + [(2, 9), (9, 17), (0, 2), (30, 5), (30, 31), (31, 6)]
+    got = {(r.src, r.dst): r.level for r in traverse.acyclic_closure(spark.createDataFrame(edges + edges[:3], "src int, dst int")).collect()}
+    want = {}
+    for start in {a for a, _ in edges}:
+        here, level = {start}, 0
+        while here:
+            here, level = {b for a, b in edges if a in here} - {b for a, b in want if a == start}, level + 1
+            want |= {(start, b): level for b in here}
+    assert got == want
